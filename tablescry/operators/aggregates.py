@@ -16,7 +16,7 @@ from tablescry.functions.names import (
 )
 from tablescry.functions.scalars import is_numeric_type, percent, present, strip_ws, to_number, to_stamp
 from tablescry.operators.profile import TableProfile, kind_counts, profile_table
-from tablescry.operators.quantiles import exact_quantiles
+from tablescry.operators.quantiles import exact_quantiles, quantile_rows
 from tablescry.operators.routing import chart_categories, chart_measures, route_profile
 from tablescry.operators.value_counts import category_counts, value_counts
 
@@ -192,10 +192,7 @@ def summary_stats(df: DataFrame, measure: str) -> DataFrame:
 
 def quantiles(df: DataFrame, measures: list[str], probabilities: list[float]) -> DataFrame:
     """Exact quantiles of several measures as (measure, p, q)."""
-    from tablescry.operators.quantiles import stacked_values
-
-    stacked = stacked_values(df, {m: number_of(df, m) for m in measures}, "measure")
-    return exact_quantiles(stacked, ["measure"], probabilities)
+    return quantile_rows(df, {m: number_of(df, m) for m in measures}, probabilities)
 
 
 def overview(df: DataFrame) -> DataFrame:

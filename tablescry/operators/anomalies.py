@@ -36,29 +36,31 @@ def anomalies(df: DataFrame, measures: Sequence[str], key: Sequence[str] = (), k
     if not bounds:
         return spark.createDataFrame([], ANOMALY_SCHEMA)
     names = list(bounds)
-    keys = F.to_json(F.struct(*[F.col(f"`{k}`") for k in key])) if len(key) > 1 else (
-        F.col(f"`{key[0]}`").cast("string") if key else F.lit(None).cast("string")
-    )
     any_odd = F.lit(False)
     wanted = [F.count("*").alias("n_rows")]
     for i, name in enumerate(names):
-        b, value = bounds[name], number_of(df, name)
-        odd = outside(value, b["low"], b["high"])
+        odd = outside(number_of(df, name), bounds[name]["low"], bounds[name]["high"])
         any_odd = any_odd | odd
-        extreme = F.struct(keys.alias("row_key"), value.alias("value"))
-        # ties between equally distant values go to the smaller value, then key
-        order = F.struct(F.abs(value - b["median"]), -value)
-        wanted += [F.count_if(odd).alias(f"n{i}"), F.max_by(extreme, F.when(value.isNotNull(), order)).alias(f"x{i}")]
+        wanted.append(F.count_if(odd).alias(f"n{i}"))
     row = df.agg(*wanted, F.count_if(any_odd).alias("n_unusual")).first()
-    flagged = [(abs(row[f"x{i}"]["value"] - bounds[n]["median"]), -i, n) for i, n in enumerate(names) if row[f"n{i}"]]
+    # The value farthest from the median is the lowest or the highest one; ties go low.
+    flagged = []
+    for i, name in enumerate(names):
+        facts, middle = known.facts.columns[name], bounds[name]["median"]
+        if row[f"n{i}"]:
+            value = facts["min"] if middle - facts["min"] >= facts["max"] - middle else facts["max"]
+            flagged.append((abs(value - middle), -i, value))
     if not flagged:
         return spark.createDataFrame([], ANOMALY_SCHEMA)
-    _, minus_place, worst = max(flagged)
-    extreme, b = row[f"x{-minus_place}"], bounds[worst]
+    _, minus_place, value = max(flagged)
+    worst, b = names[-minus_place], bounds[names[-minus_place]]
+    row_key = None
+    if key:
+        named = F.col(f"`{key[0]}`").cast("string") if len(key) == 1 else F.to_json(F.struct(*[F.col(f"`{k}`") for k in key]))
+        row_key = df.where(number_of(df, worst) == value).agg(F.min(named).alias("k")).first()["k"]
     share = 100.0 * row["n_unusual"] / max(1, row["n_rows"])
     return spark.createDataFrame(
-        [(row["n_unusual"], share, row["n_rows"], worst, extreme["row_key"], extreme["value"], b["median"], b["p10"], b["p90"],
-          row[f"n{-minus_place}"])],
+        [(row["n_unusual"], share, row["n_rows"], worst, row_key, value, b["median"], b["p10"], b["p90"], row[f"n{-minus_place}"])],
         ANOMALY_SCHEMA,
     )
 

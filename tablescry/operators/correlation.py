@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,43 +21,74 @@ def strength(r: Column) -> Column:
     )
 
 
-def _pair_r(x: Column, y: Column) -> Column:
-    """Pearson r over rows that have both values; null where either is constant.
+def _moments(width: int, centres: list[float]):
+    """Per-batch matrix products that hold every pair's sums at once.
 
-    Written as covariance over deviations because the built-in ``corr`` divides
-    by zero on a constant column.
+    For centred values X (missing as 0) and presence M: X'X, X'M, (X*X)'M and
+    M'M give each pair its cross product, sums, squares and overlap over the
+    rows that have both.
     """
-    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
-    return F.try_divide(F.covar_pop(x, y), spread)
 
+    def products(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        centre, total = np.array(centres), np.zeros((4, width, width))
+        for batch in batches:
+            x = np.column_stack([np.asarray(c.to_numpy(zero_copy_only=False), dtype=float) for c in batch.columns])
+            present = ~np.isnan(x)
+            x, m = np.where(present, x - centre, 0.0), present.astype(float)
+            total += np.stack([x.T @ x, x.T @ m, (x * x).T @ m, m.T @ m])
+        yield pa.RecordBatch.from_pydict({"sums": [total.ravel().tolist()]}, schema=pa.schema([("sums", pa.list_(pa.float64()))]))
+
+    return products
 
-def correlation_pairs(df: DataFrame, columns: list[str], min_overlap: int = 1) -> DataFrame:
-    """(a, b, r, n) for every pair of at most twelve columns.
 
-    All pairs come out of one global aggregate over one scan: at most 66
-    covariances of constant size per task, no shuffle beyond that.
+def correlation_pairs(df: DataFrame, columns: list[str], min_overlap: int = 1, limit: int | None = MAX_COLUMNS) -> DataFrame:
+    """(a, b, r, n) for every pair of at most twelve columns; r is null for a constant.
+
+    One pass for the means, one for all pairs together: each task reduces its
+    rows to four small matrices, and only those are shuffled. Centring on the
+    means keeps the sums from cancelling.
     """
-    columns = columns[:MAX_COLUMNS]
-    pairs = list(combinations(range(len(columns)), 2))
+    columns = columns[:limit]
+    width = len(columns)
+    spark = df.sparkSession
+    if width < 2:
+        return spark.createDataFrame([], "a string, b string, r double, n long")
     values = df.select(*[number_of(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
-    wanted: list[Column] = []
-    for i, j in pairs:
-        x, y = F.col(f"x{i}"), F.col(f"x{j}")
-        wanted.append(
-            F.struct(
-                F.lit(columns[i]).alias("a"),
-                F.lit(columns[j]).alias("b"),
-                _pair_r(x, y).alias("r"),
-                F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).alias("n"),
-            ).alias(f"p{i}_{j}")
+    centres = [float(m or 0.0) for m in values.agg(*[F.avg(c) for c in values.columns]).first()]
+    pieces = values.mapInArrow(_moments(width, centres), "sums array<double>")
+    cells = pieces.select(F.posexplode("sums").alias("at", "s")).groupBy("at").agg(F.sum("s").alias("s"))
+    part, i, j = F.floor(F.col("at") / width**2), F.floor(F.col("at") / width) % width, F.col("at") % width
+
+    def pick(which: int, first: Column, second: Column) -> Column:
+        return F.max(F.when((F.col("part") == which) & (first < second), F.col("s")))
+
+    i_first, j_first = (F.col("i"), F.col("j")), (F.col("j"), F.col("i"))
+    sums = (
+        cells.select(part.alias("part"), i.alias("i"), j.alias("j"), "s").where("i != j")
+        .groupBy(F.least("i", "j").alias("left"), F.greatest("i", "j").alias("right"))
+        .agg(
+            pick(0, *i_first).alias("xy"), pick(1, *i_first).alias("x"), pick(1, *j_first).alias("y"),
+            pick(2, *i_first).alias("xx"), pick(2, *j_first).alias("yy"), pick(3, *i_first).cast("long").alias("n"),
         )
-    if not wanted:
-        return df.sparkSession.createDataFrame([], "a string, b string, r double, n long")
-    return (
-        values.agg(*wanted)
-        .select(F.explode(F.array(*[F.col(f"p{i}_{j}") for i, j in pairs])).alias("p"))
-        .select("p.a", "p.b", "p.r", "p.n")
-        .withColumn("r", F.when(F.col("n") >= min_overlap, F.col("r")))
+    )
+    names, means = F.array(*map(F.lit, columns)), F.array(*map(F.lit, centres))
+
+    def spread(square: str, total: str, place: str) -> Column:
+        """Variance, or null when it is only rounding noise around one value."""
+        variance = F.try_divide(F.col(square) - F.try_divide(F.col(total) * F.col(total), F.col("n")), F.col("n"))
+        noise = F.pow(F.abs(F.get(means, F.col(place).cast("int"))) * 1e-13, 2)
+        return F.when(variance > noise, variance)
+
+    covariance = F.try_divide(F.col("xy") - F.try_divide(F.col("x") * F.col("y"), F.col("n")), F.col("n"))
+    r = F.try_divide(covariance, F.sqrt(spread("xx", "x", "left") * spread("yy", "y", "right")))
+    return sums.select(
+        F.get(names, F.col("left").cast("int")).alias("a"),
+        F.get(names, F.col("right").cast("int")).alias("b"),
+        F.when(F.col("n") >= min_overlap, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"),
+        "n",
     )
 
 

@@ -1,13 +1,14 @@
-"""Per-column facts of a table, all gathered in one scan.
+"""Per-column facts of a table, which later plans are shaped by.
 
-Everything here is one global aggregate: fixed-size partial states, no shuffle
-beyond one row per task. What comes to the driver is one row, whose width is
-the number of columns. Later plans are shaped by these facts.
+One global aggregate over one scan for all columns, and one more question to
+text columns about what their values could be read as. Partial states have a
+fixed size, and what comes to the driver is one row per column.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -20,12 +21,11 @@ from tablescry.functions.scalars import (
     is_date_type,
     is_missing_word,
     is_numeric_type,
-    is_text_type,
     parse_number,
+    parse_stamp,
     present,
     strip_ws,
     to_number,
-    to_stamp,
 )
 
 
@@ -38,80 +38,42 @@ class Facts:
     skipped: list[str] = field(default_factory=list)
 
 
-def _derived(name: str, data_type: T.DataType, audit: bool) -> dict[str, Column]:
-    """Expressions worth computing once per row before they are aggregated."""
+def _aggregates(name: str, data_type: T.DataType, audit: bool) -> dict[str, Column]:
+    """What every column is asked; text is looked into separately."""
     c = F.col(f"`{name}`")
-    derived = {"value": present(c, data_type)}
-    if is_numeric_type(data_type):
-        derived["number"] = to_number(c, data_type)
-    elif is_date_type(data_type):
-        derived["stamp"] = c.cast("timestamp_ntz")
-    elif is_text_type(data_type):
-        derived["text"] = strip_ws(c)
-        derived["stamp"] = to_stamp(c, data_type)
-        derived["number"] = parse_number(strip_ws(c))
-        if audit:
-            derived["bare"] = parse_number(F.regexp_replace(strip_ws(c), r"(?U)[,\s]", ""))
-    return derived
-
-
-def _aggregates(data_type: T.DataType, at: dict[str, Column], audit: bool) -> dict[str, Column]:
-    value = at["value"]
+    value = present(c, data_type)
     wanted: dict[str, Column] = {
         "n_null": F.count_if(value.isNull()),
         "approx_distinct": F.approx_count_distinct(value, 0.05),
     }
     if audit:
         wanted["fingerprint"] = F.bit_xor(F.xxhash64(value))
-    if "number" in at:
-        wanted |= {
-            "n_numbers": F.count(at["number"]),
-            "min": F.min(at["number"]),
-            "max": F.max(at["number"]),
-            "mean": F.avg(at["number"]),
-            "std": F.stddev_samp(at["number"]),
-        }
-    if "stamp" in at:
-        plausible = F.lit(True) if is_date_type(data_type) else F.year(at["stamp"]).between(1900, 2100)
+    if is_numeric_type(data_type):
+        number = to_number(c, data_type)
         wanted |= {
-            "n_dates": F.count_if(at["stamp"].isNotNull() & plausible),
-            "min_date": F.min(at["stamp"]),
-            "max_date": F.max(at["stamp"]),
-        }
-    if audit and "text" in at:
-        text = at["text"]
-        head = F.left(text, F.lit(MAX_MARKER_LENGTH))
-        tail = F.reverse(F.right(text, F.lit(MAX_MARKER_LENGTH)))
-        wanted |= {
-            "n_words_for_missing": F.count_if(is_missing_word(text)),
-            "n_untidy": F.count_if(value != text),
-            "n_bare_numbers": F.count(at["bare"]),
-            "n_with_digit": F.count_if(text.rlike("[0-9]")),
-            "shortest": F.min(F.length(text)),
-            "head_min": F.min(head),
-            "head_max": F.max(head),
-            "tail_min": F.min(tail),
-            "tail_max": F.max(tail),
+            "n_numbers": F.count(number),
+            "min": F.min(number),
+            "max": F.max(number),
+            "mean": F.avg(number),
+            "std": F.stddev_samp(number),
         }
+    elif is_date_type(data_type):
+        stamp = c.cast("timestamp_ntz")
+        wanted |= {"n_dates": F.count(stamp), "min_date": F.min(stamp), "max_date": F.max(stamp)}
     return wanted
 
 
 def column_facts(df: DataFrame, audit: bool = False) -> Facts:
-    """Scan the table once. ``audit`` adds what only the quality checks need."""
+    """Count, distinct estimate, range and spread of every column, in one scan."""
     plan: list[tuple[str, str, Column]] = []
-    projected: list[Column] = []
     skipped = []
-    for place, item in enumerate(df.schema.fields):
+    for item in df.schema.fields:
         if not is_analysable(item.dataType):
             skipped.append(item.name)
             continue
-        at = {}
-        for label, expression in _derived(item.name, item.dataType, audit).items():
-            projected.append(expression.alias(f"d{place}_{label}"))
-            at[label] = F.col(f"d{place}_{label}")
-        for fact, expression in _aggregates(item.dataType, at, audit).items():
+        for fact, expression in _aggregates(item.name, item.dataType, audit).items():
             plan.append((item.name, fact, expression))
-    row = df.select(*projected).agg(
+    row = df.agg(
         F.count("*").alias("n_rows"),
         *[expression.alias(f"f{i}") for i, (_, _, expression) in enumerate(plan)],
     ).first()
@@ -119,3 +81,74 @@ def column_facts(df: DataFrame, audit: bool = False) -> Facts:
     for i, (name, fact, _) in enumerate(plan):
         facts.columns.setdefault(name, {})[fact] = row[f"f{i}"]
     return facts
+
+
+def _text_questions(audit: bool) -> dict[str, Column]:
+    """Aggregates over (value, n): a value that stands for n equal rows."""
+    n, number = F.col("n"), F.col("number")
+
+    def rows_where(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
+
+    total, square = F.sum(number * n), F.sum(number * number * n)
+    count = F.sum(F.when(number.isNotNull(), n))
+    wanted = {
+        "n_dates": rows_where(F.year("stamp").between(1900, 2100)),
+        "min_date": F.min("stamp"),
+        "max_date": F.max("stamp"),
+        "n_numbers": rows_where(number.isNotNull()),
+        "min": F.min(number),
+        "max": F.max(number),
+        "mean": F.try_divide(total, count),
+        "std": F.sqrt(F.greatest(F.try_divide(square - F.try_divide(total * total, count), count - 1), F.lit(0.0))),
+    }
+    if audit:
+        text = F.col("text")
+        head = F.left(text, F.lit(MAX_MARKER_LENGTH))
+        tail = F.reverse(F.right(text, F.lit(MAX_MARKER_LENGTH)))
+        wanted |= {
+            "n_words_for_missing": rows_where(is_missing_word(text)),
+            "n_untidy": rows_where(F.col("value") != text),
+            "n_bare_numbers": rows_where(F.col("bare").isNotNull()),
+            "n_with_digit": rows_where(text.rlike("[0-9]")),
+            "shortest": F.min(F.length(text)),
+            "head_min": F.min(head),
+            "head_max": F.max(head),
+            "tail_min": F.min(tail),
+            "tail_max": F.max(tail),
+        }
+    return wanted
+
+
+def _readings(values: DataFrame, audit: bool) -> DataFrame:
+    """What a text value could also be read as, worked out once per value."""
+    text = strip_ws(F.col("value"))
+    readings = {"text": text, "stamp": parse_stamp(F.col("value")), "number": parse_number(text)}
+    if audit:
+        readings["bare"] = parse_number(F.regexp_replace(text, r"(?U)[,\s]", ""))
+    return values.withColumns(readings)
+
+
+def text_facts(df: DataFrame, columns: list[str], counts: DataFrame | None, audit: bool = False) -> dict[str, dict[str, Any]]:
+    """Dates, numbers and untidiness in text columns.
+
+    Columns of a small vocabulary are judged on their value counts, so a value
+    is parsed once however often it occurs. The others are scanned row by row,
+    one aggregate per column over just that column.
+    """
+    questions = _text_questions(audit)
+    found: dict[str, dict[str, Any]] = {}
+    if counts is not None:
+        asked = _readings(counts.where(F.col("column").isin(*columns)), audit).groupBy("column")
+        for row in asked.agg(*[e.alias(k) for k, e in questions.items()]).collect():
+            found[row["column"]] = {k: row[k] for k in questions}
+    parts = []
+    for name in columns:
+        if name not in found:
+            values = df.select(F.col(f"`{name}`").alias("value"), F.lit(1).cast("long").alias("n")).where("value is not null")
+            asked = _readings(values, audit).agg(*[e.alias(k) for k, e in questions.items()])
+            parts.append(asked.select(F.lit(name).alias("column"), "*"))
+    if parts:
+        for row in reduce(DataFrame.unionByName, parts).collect():
+            found[row["column"]] = {k: row[k] for k in questions}
+    return found

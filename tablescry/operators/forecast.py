@@ -24,7 +24,7 @@ FEATURES = ["lag_1", "lag_7", "rolling_mean_7", "day_of_week", "month"]
 MIN_ROWS = 30
 TRAIN_SHARE = 0.8
 HEAVY_FILL = 0.30
-TREES, SEED, DEPTH = 100, 42, 15
+TREES, SEED, DEPTH = 100, 42, 8
 
 
 def _order(keys: Sequence[str]):
@@ -76,6 +76,7 @@ def naive_baseline(split: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def _forest(rows: DataFrame) -> RandomForestRegressionModel:
     forest = RandomForestRegressor(
         featuresCol="features", labelCol="y", numTrees=TREES, seed=SEED, maxDepth=DEPTH, featureSubsetStrategy="all",
+        maxMemoryInMB=1024,
     )
     return forest.fit(rows)
 

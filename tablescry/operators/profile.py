@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescry.functions.names import LATITUDE_NAMES, LONGITUDE_NAMES, normalised_name
-from tablescry.functions.scalars import is_date_type, is_numeric_type, present
-from tablescry.operators.facts import Facts, column_facts
+from tablescry.functions.scalars import is_date_type, is_numeric_type, is_text_type, present
+from tablescry.operators.facts import Facts, column_facts, text_facts
 from tablescry.operators.value_counts import top_values, value_counts
+from tablescry.session import cut_lineage
 
 DATE_SHARE = 0.80
 CATEGORY_MAX_DISTINCT = 20
@@ -54,6 +55,7 @@ class TableProfile:
     n_rows: int
     columns: list[dict[str, Any]] = field(default_factory=list)
     facts: Facts | None = None
+    counts: DataFrame | None = None  # value counts of the columns with a small vocabulary
 
     def of_type(self, *kinds: str) -> list[str]:
         return [c["column"] for c in self.columns if c["semantic_type"] in kinds]
@@ -132,21 +134,25 @@ def profile_table(df: DataFrame, distinct: str = "exact", audit: bool = False) -
     facts = column_facts(df, audit=audit)
     small = [n for n, f in facts.columns.items() if f["approx_distinct"] <= SMALL_VOCABULARY]
     wide = [n for n in facts.columns if n not in set(small)]
+    texts = [f.name for f in df.schema.fields if is_text_type(f.dataType)]
 
+    counts = None
     n_unique: dict[str, int] = {name: 0 for name in small}
     tops: dict[str, list[tuple[str, int]]] = {}
     if small and facts.n_rows:
-        counts = value_counts(df, small)
+        counts = cut_lineage(value_counts(df, small))  # some thousand rows, read several times
         sizes = counts.groupBy("column").agg(F.count("*").alias("n_unique"))
         for row in top_values(counts, TOP_VALUES).join(sizes, "column").orderBy("column", "position").collect():
             n_unique[row["column"]] = row["n_unique"]
             tops.setdefault(row["column"], []).append((row["value"], row["n"]))
+    for name, found in text_facts(df, texts, counts, audit).items():
+        facts.columns[name] |= found
     if distinct == "exact":
         n_unique |= _exact_distinct(df, wide)
     else:
         n_unique |= {name: facts.columns[name]["approx_distinct"] for name in wide}
 
-    result = TableProfile(n_rows=facts.n_rows, facts=facts)
+    result = TableProfile(n_rows=facts.n_rows, facts=facts, counts=counts)
     for ordinal, item in enumerate(df.schema.fields):
         if item.name not in facts.columns:
             continue

@@ -200,7 +200,10 @@ def spelling_variants(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     Works on the value counts of columns with at most 400 stripped values; the
     most frequent spelling of a key is canonical, ties go to the smaller text.
     """
-    counts = value_counts(df, columns, strip=True)
+    return _variants(value_counts(df, columns, strip=True))
+
+
+def _variants(counts: DataFrame) -> DataFrame:
     per_column = Window.partitionBy("column")
     per_key = Window.partitionBy("column", "key")
     ranked = per_key.orderBy(F.desc("n"), "value")
@@ -351,11 +354,13 @@ def issue_rows(df: DataFrame, known: TableProfile | None = None, checks: Sequenc
                 issues.append(_issue("whitespace", "warning", n, _pct(n, n_rows), name, "trim_whitespace"))
 
     if "category_variants" in checks:
-        small = [n for n in texts if facts[n]["approx_distinct"] <= SMALL_VOCABULARY * 2]
+        small = [n for n in texts if known.counts is not None and facts[n]["approx_distinct"] <= SMALL_VOCABULARY]
         mappings: dict[str, dict[str, str]] = {}
         counts: dict[str, int] = {}
         # at most 400 spellings per column
-        for row in spelling_variants(df, small).orderBy("column", "variant").collect() if small else []:
+        stripped = known.counts.where(F.col("column").isin(*small)).groupBy(
+            "column", strip_ws(F.col("value")).alias("value")).agg(F.sum("n").alias("n")) if small else None
+        for row in _variants(stripped).orderBy("column", "variant").collect() if small else []:
             mappings.setdefault(row["column"], {})[row["variant"]] = row["canonical"]
             counts[row["column"]] = counts.get(row["column"], 0) + row["n"]
         for name in small:

@@ -10,16 +10,21 @@ neighbouring ranks is linear.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablescry.session import cut_lineage
 
 BINS = 1024
+SHORT_GROUP_ROWS = 2_000_000
 SHORT_BRACKET_ROWS = 2_000_000
 MAX_PASSES = 12
+TABLE_BINS, MAX_TABLE_PASSES = 512, 16
+FEW_ROWS, FEW_BRACKET_ROWS = 50_000, 2_000
 BROADCAST_BRACKETS = 200_000
 
 
@@ -43,45 +48,42 @@ def _wanted_ranks(totals: DataFrame, probabilities: Sequence[float]) -> DataFram
     )
 
 
-def _read_ranks(counted: DataFrame, wanted: DataFrame, group: list[str]) -> DataFrame:
-    """Join wanted ranks to the running counts of a bracket's distinct values."""
-    running = Window.partitionBy(*group).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    spans = counted.withColumn("through", F.sum("n_v").over(running)).withColumn(
-        "before", F.col("through") - F.col("n_v")
-    )
-    return wanted.join(spans, group).where(
-        (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("through"))
-    )
-
-
 def exact_quantiles(pairs: DataFrame, keys: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
     """Rows of ``keys, p, q`` from rows of ``keys, v`` (v a non-null double).
 
-    ``keys`` may be empty and may hold any number of groups. Groups of up to two
-    million rows are ranked directly on their counted distinct values; larger
-    ones are bracketed first.
+    ``keys`` may be empty and may hold any number of groups. A group of up to
+    two million rows, which one count establishes, takes the built-in exact
+    percentile; larger ones are bracketed.
     """
     keys = list(keys)
     if not keys:
-        pairs = pairs.withColumn("_all", F.lit(1))
-        return exact_quantiles(pairs, ["_all"], probabilities).drop("_all")
-    for name in keys:  # a null key is a group like any other
+        return quantile_rows(pairs, {"v": F.col("v")}, probabilities).select("p", "q")
+    for name in keys:
         pairs = pairs.where(F.col(name).isNotNull())
 
     totals = pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    totals = cut_lineage(totals)
-    size = totals.agg(F.max("n").alias("biggest")).first()
+    n_long = totals.where(F.col("n") > SHORT_GROUP_ROWS).count()
+    if n_long == 0:
+        return _short_groups(pairs, keys, probabilities)
+    long = cut_lineage(totals.where(F.col("n") > SHORT_GROUP_ROWS))
+    names = F.broadcast(long.select(*keys)) if n_long <= BROADCAST_BRACKETS else long.select(*keys)
+    short = _short_groups(pairs.join(names, keys, "left_anti"), keys, probabilities)
+    return short.unionByName(_long_groups(pairs.join(names, keys, "left_semi"), long, keys, probabilities))
+
+
+def _short_groups(pairs: DataFrame, keys: list[str], probabilities: Sequence[float]) -> DataFrame:
+    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
+    together = pairs.groupBy(*keys).agg(F.percentile("v", wanted).alias("_q"))
+    paired = F.explode(F.arrays_zip(wanted.alias("p"), F.col("_q").alias("q")))
+    return together.select(*keys, paired.alias("_z")).select(*keys, F.col("_z.p").alias("p"), F.col("_z.q").alias("q"))
+
+
+def _long_groups(pairs: DataFrame, totals: DataFrame, keys: list[str], probabilities: Sequence[float]) -> DataFrame:
     wanted = _wanted_ranks(totals, probabilities)
     ranks = wanted.select(
         *keys, "lo", "hi", F.explode(F.array_distinct(F.array("lower", "upper"))).alias("rank")
     ).distinct()
-
-    if (size["biggest"] or 0) <= SHORT_BRACKET_ROWS:
-        counted = pairs.groupBy(*keys, "v").agg(F.count("*").alias("n_v"))
-        found = _read_ranks(counted, ranks.drop("lo", "hi"), keys)
-    else:
-        found = _bracketed(pairs, ranks, keys)
-    values = found.select(*keys, "rank", "v")
+    values = _bracketed(pairs, ranks, keys)
     low = values.withColumnsRenamed({"rank": "lower", "v": "v_low"})
     high = values.withColumnsRenamed({"rank": "upper", "v": "v_high"})
     return (
@@ -151,12 +153,131 @@ def _bracketed(pairs: DataFrame, ranks: DataFrame, keys: list[str]) -> DataFrame
     return settled.unionByName(read)
 
 
+# ------------------------------------------------- a bounded set of columns --
+def _interpolated(probabilities: Sequence[float], n: int, at_rank: dict[int, float]) -> dict[float, float]:
+    found = {}
+    for p in probabilities:
+        position = p * (n - 1)
+        low, high = at_rank[math.floor(position)], at_rank[math.ceil(position)]
+        found[p] = low + (position - math.floor(position)) * (high - low)
+    return found
+
+
 def quantile_table(df: DataFrame, columns: dict[str, Column], probabilities: Sequence[float]) -> dict[str, dict[float, float]]:
-    """Driver-side quantiles of a bounded set of columns: ``{column: {p: q}}``."""
+    """Driver-side quantiles of a few columns: ``{column: {p: q}}``.
+
+    The same bracketing with the brackets kept as a handful of numbers here: a
+    pass sends back at most 512 bin counts per column and wanted rank, and the
+    last one the few distinct values of brackets of at most 2,000 rows. Columns
+    without values are left out.
+    """
     if not columns:
         return {}
-    rows = exact_quantiles(stacked_values(df, columns), ["column"], probabilities).collect()
-    table: dict[str, dict[float, float]] = {}
-    for row in rows:
-        table.setdefault(row["column"], {})[row["p"]] = row["q"]
-    return table
+    names = list(columns)
+    stats = df.agg(*[
+        F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(f"s{i}")
+        for i, c in enumerate(columns.values())
+    ]).first()
+    sizes = {name: stats[f"s{i}"] for i, name in enumerate(names) if stats[f"s{i}"]["n"]}
+    if not sizes:
+        return {}
+    if max(s["n"] for s in sizes.values()) <= FEW_ROWS:
+        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
+        row = df.agg(*[F.percentile(columns[n], wanted).alias(f"q{i}") for i, n in enumerate(sizes)]).first()
+        return {n: dict(zip(probabilities, row[f"q{i}"])) for i, n in enumerate(sizes)}
+
+    pairs = stacked_values(df, {n: columns[n] for n in sizes})
+    at_rank: dict[str, dict[int, float]] = {n: {} for n in sizes}
+    current = []
+    for name, s in sizes.items():
+        ranks = {r for p in probabilities for r in (math.floor(p * (s["n"] - 1)), math.ceil(p * (s["n"] - 1)))}
+        current.append(_Bracket(name, s["lo"], s["hi"], 0, s["n"], sorted(ranks), name, None))
+    levels: list[DataFrame] = []
+    while True:
+        for b in current:
+            if b.lo == b.hi:
+                at_rank[b.column].update({r: b.lo for r in b.ranks})
+        current = [b for b in current if b.lo < b.hi]
+        if not current:
+            break
+        levels.append(_level(df.sparkSession, current))
+        rows = _in_brackets(pairs, levels)
+        if all(b.n <= FEW_BRACKET_ROWS for b in current):
+            values: dict[int, list] = {}
+            for row in rows.groupBy("bracket", "v").agg(F.count("*").alias("n")).collect():
+                values.setdefault(row["bracket"], []).append((row["v"], row["n"]))
+            for i, b in enumerate(current):
+                below = b.below
+                for v, n in sorted(values[i]):
+                    at_rank[b.column].update({r: v for r in b.ranks if below <= r < below + n})
+                    below += n
+            break
+        if len(levels) > MAX_TABLE_PASSES:
+            # values too unevenly spread for equal bins: rank those columns with windows
+            left = sorted({b.column for b in current})
+            uneven: dict[str, dict[float, float]] = {}
+            for row in exact_quantiles(pairs.where(F.col("column").isin(left)), ["column"], probabilities).collect():
+                uneven.setdefault(row["column"], {})[row["p"]] = row["q"]
+            return uneven | {n: _interpolated(probabilities, s["n"], at_rank[n]) for n, s in sizes.items() if n not in left}
+        bins: dict[int, list] = {}
+        counted = rows.groupBy("bracket", _bin(TABLE_BINS).alias("bin"))
+        for row in counted.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
+            bins.setdefault(row["bracket"], []).append(row)
+        narrowed = []
+        for i, b in enumerate(current):
+            below = b.below
+            for row in sorted(bins[i], key=lambda r: r["bin"]):
+                inside = [r for r in b.ranks if below <= r < below + row["n"]]
+                if inside:
+                    narrowed.append(_Bracket(b.column, row["lo"], row["hi"], below, row["n"], inside, i, row["bin"]))
+                below += row["n"]
+        current = narrowed
+    return {n: _interpolated(probabilities, s["n"], at_rank[n]) for n, s in sizes.items()}
+
+
+@dataclass
+class _Bracket:
+    """A value range that holds wanted ranks: bin ``bin`` of bracket ``parent``."""
+
+    column: str
+    lo: float
+    hi: float
+    below: int
+    n: int
+    ranks: list[int]
+    parent: str | int
+    bin: int | None
+
+
+def _bin(bins: int) -> Column:
+    width = (F.col("hi") - F.col("lo")) / bins
+    place = F.when(width > 0, F.floor((F.col("v") - F.col("lo")) / width)).otherwise(F.lit(0))
+    return F.least(place, F.lit(bins - 1)).cast("int")
+
+
+def _level(spark: SparkSession, brackets: list[_Bracket]) -> DataFrame:
+    """One pass's open brackets: at most a row per column and wanted rank."""
+    first = brackets[0].bin is None
+    rows = [(b.parent, b.bin, i, float(b.lo), float(b.hi)) for i, b in enumerate(brackets)]
+    kind = "string" if first else "int"
+    return spark.createDataFrame(rows, f"parent {kind}, bin int, bracket int, lo double, hi double")
+
+
+def _in_brackets(pairs: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """The rows inside the open brackets, found by retracing the bins of each pass.
+
+    Every step is a hash join on (bracket, bin) with a small table, so a row is
+    looked up once per pass and most rows leave at the first step.
+    """
+    rows = pairs.join(F.broadcast(levels[0].drop("bin").withColumnRenamed("parent", "column")), "column").drop("column")
+    for level in levels[1:]:
+        located = rows.select("v", F.col("bracket").alias("parent"), _bin(TABLE_BINS).alias("bin"))
+        rows = located.join(F.broadcast(level), ["parent", "bin"]).select("v", "bracket", "lo", "hi")
+    return rows
+
+
+def quantile_rows(df: DataFrame, columns: dict[str, Column], probabilities: Sequence[float], key: str = "measure") -> DataFrame:
+    """The same as rows of (key, p, q)."""
+    table = quantile_table(df, columns, probabilities)
+    rows = [(name, float(p), float(q)) for name, found in table.items() for p, q in found.items()]
+    return df.sparkSession.createDataFrame(rows, f"{key} string, p double, q double")

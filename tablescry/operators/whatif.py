@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablescry.functions.names import is_identifier, resolve_column
 from tablescry.operators.aggregates import number_of
-from tablescry.operators.correlation import strength
+from tablescry.operators.correlation import correlation_pairs, strength
 from tablescry.operators.profile import TableProfile, profile_table
 from tablescry.operators.routing import route_profile
 
@@ -28,20 +28,12 @@ def movable_columns(known: TableProfile) -> list[str]:
 
 
 def driver_links(df: DataFrame, candidates: list[str], target: str) -> DataFrame:
-    """(driver, r, n) of every candidate with the target: one scan, one aggregate."""
-    y = number_of(df, target)
+    """(driver, r, n) of every candidate with the target, all in one scan."""
     others = [c for c in candidates if c != target]
-    if not others:
-        return df.sparkSession.createDataFrame([], "driver string, r double, n long")
-    wanted = []
-    for i, name in enumerate(others):
-        x = number_of(df, name)
-        spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
-        wanted.append(F.struct(
-            F.lit(name).alias("driver"), F.try_divide(F.covar_pop(x, y), spread).alias("r"),
-            F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).alias("n"),
-        ).alias(f"d{i}"))
-    return df.agg(*wanted).select(F.explode(F.array(*[F.col(f"d{i}") for i in range(len(others))])).alias("d")).select("d.*")
+    pairs = correlation_pairs(df, [target, *others], limit=None)
+    return pairs.where((F.col("a") == target) | (F.col("b") == target)).select(
+        F.when(F.col("a") == target, F.col("b")).otherwise(F.col("a")).alias("driver"), "r", "n"
+    )
 
 
 def drivers(df: DataFrame, target: str | None = None, known: TableProfile | None = None) -> DataFrame:
