@@ -92,6 +92,11 @@ def _stamp(year: Column, month: Column, day: Column, clock: Column) -> Column:
     return F.concat_ws(" ", joined, F.when(clock != "", clock)).try_cast("timestamp_ntz")
 
 
+def begins_like_a_date(stripped: Column) -> Column:
+    """One cheap test that every layout ``parse_stamp`` knows passes."""
+    return stripped.rlike(r"^([0-9]{1,4}[-/. ]|[0-9]{8}$|" + MONTH_WORD + "[ .-])")
+
+
 def parse_stamp(text: Column) -> Column:
     """Date text in mixed layouts -> timestamp_ntz or null.
 
@@ -114,9 +119,8 @@ def parse_stamp(text: Column) -> Column:
         return ((F.instr(F.lit(MONTHS), F.lower(F.substring(word, 1, 3))) + 2) / 3).cast("int").cast("string")
 
     month_first = group(parts, 1).try_cast("int") <= 12
-    begins_like_a_date = t.rlike(r"^([0-9]{1,4}[-/. ]|[0-9]{8}$|" + MONTH_WORD + "[ .-])")
     return F.when(
-        begins_like_a_date,
+        begins_like_a_date(t),
         F.when(t.rlike(iso), t.try_cast("timestamp_ntz"))
         .when(t.rlike(slashed), _stamp(group(slashed, 1), group(slashed, 2), group(slashed, 3), group(slashed, 4)))
         .when(

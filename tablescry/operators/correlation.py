@@ -87,7 +87,8 @@ def correlation_pairs(df: DataFrame, columns: list[str], min_overlap: int = 1, l
     return sums.select(
         F.get(names, F.col("left").cast("int")).alias("a"),
         F.get(names, F.col("right").cast("int")).alias("b"),
-        F.when(F.col("n") >= min_overlap, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"),
+        # least and greatest skip nulls, so an undefined r must not reach them
+        F.when((F.col("n") >= min_overlap) & r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"),
         "n",
     )
 

@@ -21,6 +21,7 @@ from tablescry.functions.scalars import (
     is_date_type,
     is_missing_word,
     is_numeric_type,
+    begins_like_a_date,
     parse_number,
     parse_stamp,
     present,
@@ -29,6 +30,9 @@ from tablescry.functions.scalars import (
 )
 
 
+DATE_SHARE = 0.80
+
+
 @dataclass
 class Facts:
     """What one scan learned: table row count and a dict of facts per column."""
@@ -93,14 +97,12 @@ def _text_questions(audit: bool) -> dict[str, Column]:
     total, square = F.sum(number * n), F.sum(number * number * n)
     count = F.sum(F.when(number.isNotNull(), n))
     wanted = {
-        "n_dates": rows_where(F.year("stamp").between(1900, 2100)),
-        "min_date": F.min("stamp"),
-        "max_date": F.max("stamp"),
+        "n_date_like": rows_where(begins_like_a_date(F.col("text"))),
         "n_numbers": rows_where(number.isNotNull()),
         "min": F.min(number),
         "max": F.max(number),
         "mean": F.try_divide(total, count),
-        "std": F.sqrt(F.greatest(F.try_divide(square - F.try_divide(total * total, count), count - 1), F.lit(0.0))),
+        "std": F.when(count > 1, F.sqrt(F.greatest(F.try_divide(square - F.try_divide(total * total, count), count - 1), F.lit(0.0)))),
     }
     if audit:
         text = F.col("text")
@@ -123,32 +125,52 @@ def _text_questions(audit: bool) -> dict[str, Column]:
 def _readings(values: DataFrame, audit: bool) -> DataFrame:
     """What a text value could also be read as, worked out once per value."""
     text = strip_ws(F.col("value"))
-    readings = {"text": text, "stamp": parse_stamp(F.col("value")), "number": parse_number(text)}
+    readings = {"text": text, "number": parse_number(text)}
     if audit:
         readings["bare"] = parse_number(F.regexp_replace(text, r"(?U)[,\s]", ""))
     return values.withColumns(readings)
 
 
-def text_facts(df: DataFrame, columns: list[str], counts: DataFrame | None, audit: bool = False) -> dict[str, dict[str, Any]]:
-    """Dates, numbers and untidiness in text columns.
+def _date_questions() -> dict[str, Column]:
+    plausible = F.year("stamp").between(1900, 2100)
+    return {
+        "n_dates": F.coalesce(F.sum(F.when(plausible, F.col("n"))), F.lit(0)),
+        "min_date": F.min("stamp"),
+        "max_date": F.max("stamp"),
+    }
+
+
+def _ask(df: DataFrame, columns: list[str], counts: DataFrame | None, questions: dict[str, Column], readings) -> dict[str, dict[str, Any]]:
+    """Put questions about (value, n) to text columns.
 
     Columns of a small vocabulary are judged on their value counts, so a value
     is parsed once however often it occurs. The others are scanned row by row,
     one aggregate per column over just that column.
     """
-    questions = _text_questions(audit)
     found: dict[str, dict[str, Any]] = {}
-    if counts is not None:
-        asked = _readings(counts.where(F.col("column").isin(*columns)), audit).groupBy("column")
-        for row in asked.agg(*[e.alias(k) for k, e in questions.items()]).collect():
-            found[row["column"]] = {k: row[k] for k in questions}
+    wanted = [e.alias(k) for k, e in questions.items()]
+    if counts is not None and columns:
+        asked = readings(counts.where(F.col("column").isin(*columns))).groupBy("column").agg(*wanted)
+        found = {row["column"]: {k: row[k] for k in questions} for row in asked.collect()}
     parts = []
     for name in columns:
         if name not in found:
             values = df.select(F.col(f"`{name}`").alias("value"), F.lit(1).cast("long").alias("n")).where("value is not null")
-            asked = _readings(values, audit).agg(*[e.alias(k) for k, e in questions.items()])
-            parts.append(asked.select(F.lit(name).alias("column"), "*"))
+            parts.append(readings(values).agg(*wanted).select(F.lit(name).alias("column"), "*"))
     if parts:
         for row in reduce(DataFrame.unionByName, parts).collect():
             found[row["column"]] = {k: row[k] for k in questions}
     return found
+
+
+def text_facts(df: DataFrame, columns: dict[str, int], counts: DataFrame | None, audit: bool = False) -> dict[str, dict[str, Any]]:
+    """Dates, numbers and untidiness in text columns, given their value counts.
+
+    Dates are parsed only in columns where four values in five begin like one;
+    no other column can pass for a date column.
+    """
+    found = _ask(df, list(columns), counts, _text_questions(audit), lambda v: _readings(v, audit))
+    likely = [c for c, n_values in columns.items() if n_values and found[c]["n_date_like"] >= DATE_SHARE * n_values]
+    dated = _ask(df, likely, counts, _date_questions(), lambda v: v.withColumn("stamp", parse_stamp(F.col("value"))))
+    none = {"n_dates": 0, "min_date": None, "max_date": None}
+    return {c: found[c] | dated.get(c, none) for c in columns}

@@ -40,7 +40,8 @@ def map_view(df: DataFrame, lat: str, lon: str, measure: str) -> DataFrame:
         F.when(F.col("_w") > 0, F.log2(360.0 / F.col("_w"))),
         F.when(F.col("_h") > 0, F.log2(180.0 / F.col("_h"))),
     )
-    zoom = F.coalesce(F.greatest(F.lit(MIN_ZOOM), F.least(F.lit(MAX_ZOOM), fit - ZOOM_PADDING)), F.lit(DEFAULT_ZOOM))
+    fitted = F.greatest(F.lit(MIN_ZOOM), F.least(F.lit(MAX_ZOOM), fit - ZOOM_PADDING))
+    zoom = F.when(fit.isNotNull(), fitted).otherwise(F.lit(DEFAULT_ZOOM))
     return box.where("centre_lat is not null").select("centre_lat", "centre_lon", F.round(zoom, 2).alias("zoom"))
 
 

@@ -13,11 +13,10 @@ from pyspark.sql import types as T
 
 from tablescry.functions.names import LATITUDE_NAMES, LONGITUDE_NAMES, normalised_name
 from tablescry.functions.scalars import is_date_type, is_numeric_type, is_text_type, present
-from tablescry.operators.facts import Facts, column_facts, text_facts
+from tablescry.operators.facts import DATE_SHARE, Facts, column_facts, text_facts
 from tablescry.operators.value_counts import top_values, value_counts
 from tablescry.session import cut_lineage
 
-DATE_SHARE = 0.80
 CATEGORY_MAX_DISTINCT = 20
 CATEGORY_MAX_RATIO = 0.05
 CATEGORY_RATIO_FROM_ROWS = 200
@@ -145,7 +144,8 @@ def profile_table(df: DataFrame, distinct: str = "exact", audit: bool = False) -
         for row in top_values(counts, TOP_VALUES).join(sizes, "column").orderBy("column", "position").collect():
             n_unique[row["column"]] = row["n_unique"]
             tops.setdefault(row["column"], []).append((row["value"], row["n"]))
-    for name, found in text_facts(df, texts, counts, audit).items():
+    n_values = {n: facts.n_rows - facts.columns[n]["n_null"] for n in texts}
+    for name, found in text_facts(df, n_values, counts, audit).items():
         facts.columns[name] |= found
     if distinct == "exact":
         n_unique |= _exact_distinct(df, wide)

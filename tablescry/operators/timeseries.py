@@ -30,7 +30,7 @@ def suggest_freq(df: DataFrame, time: str) -> DataFrame:
     span = df.agg(F.min(stamp).alias("first"), F.max(stamp).alias("last"))
     days = F.floor((F.unix_micros(F.col("last").cast("timestamp")) - F.unix_micros(F.col("first").cast("timestamp"))) / F.lit(86_400_000_000))
     return span.select("first", "last", days.cast("long").alias("span_days")).withColumn(
-        "freq", F.coalesce(_days_to_freq(F.col("span_days")), F.lit("D"))
+        "freq", F.when(F.col("span_days").isNull(), "D").otherwise(_days_to_freq(F.col("span_days")))
     )
 
 

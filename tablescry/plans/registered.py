@@ -223,7 +223,7 @@ def category_spread(spark, folder):
 
 @query
 def best_pair(spark, folder):
-    return tidy(co.best_pair(load(spark, folder, "part"), ["p_partkey", "p_size", "p_retailprice"]))
+    return tidy(co.best_pair(load(spark, folder, "part"), ["p_partkey", "p_size", "p_retailprice"]), 6)
 
 
 # ----------------------------------------------------- summaries and filters --
