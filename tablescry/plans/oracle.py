@@ -213,17 +213,15 @@ SELECT (SELECT count(*) FROM orders) AS n_rows, count(*) AS n_cols, count(*) FIL
   count(*) FILTER (semantic_type = 'text') AS n_text, max(min_date[1:10] || ' to ' || max_date[1:10]) AS covers,
   (SELECT target_col FROM r) AS main_measure, (SELECT entity_col FROM r) AS grouped_by, (SELECT archetype FROM r) AS shaped_as FROM p"""
 ORACLES["kpis"] = """
-WITH s AS (SELECT count(*) AS n, stddev_samp(s_nationkey) / avg(s_nationkey) AS v1, stddev_samp(s_acctbal) / avg(s_acctbal) AS v2,
-  count(DISTINCT s_nationkey) <= 20 OR count(DISTINCT s_nationkey) / count(*) < 0.05 AND count(DISTINCT s_nationkey) <= 20 AS nation_is_category,
-  avg(s_suppkey) AS a0, min(s_suppkey)::DOUBLE AS l0, max(s_suppkey)::DOUBLE AS h0,
-  avg(s_nationkey) AS a1, min(s_nationkey)::DOUBLE AS l1, max(s_nationkey)::DOUBLE AS h1,
-  avg(s_acctbal) AS a2, min(s_acctbal) AS l2, max(s_acctbal) AS h2 FROM supplier)
+WITH s AS (SELECT count(*) AS n, stddev_samp(p_size) / avg(p_size) > stddev_samp(p_retailprice) / avg(p_retailprice) AS size_first,
+  avg(p_partkey) AS a0, min(p_partkey)::DOUBLE AS l0, max(p_partkey)::DOUBLE AS h0,
+  avg(p_size) AS a1, min(p_size)::DOUBLE AS l1, max(p_size)::DOUBLE AS h1,
+  avg(p_retailprice) AS a2, min(p_retailprice) AS l2, max(p_retailprice) AS h2 FROM part)
 SELECT 1::BIGINT AS position, 'Rows' AS label, NULL::VARCHAR AS "column", n::DOUBLE AS value, NULL::DOUBLE AS lowest, NULL::DOUBLE AS highest, 'shape' AS kind FROM s
-UNION ALL SELECT 2, 'Columns', NULL, 4.0, NULL, NULL, 'shape' FROM s
-UNION ALL SELECT 3, 'Average', 's_suppkey', round(a0, 2), l0, h0, 'measure' FROM s
-UNION ALL SELECT 4, 'Average', CASE WHEN v1 > v2 AND NOT nation_is_category THEN 's_nationkey' ELSE 's_acctbal' END,
-  round(CASE WHEN v1 > v2 AND NOT nation_is_category THEN a1 ELSE a2 END, 2), CASE WHEN v1 > v2 AND NOT nation_is_category THEN l1 ELSE l2 END,
-  CASE WHEN v1 > v2 AND NOT nation_is_category THEN h1 ELSE h2 END, 'measure' FROM s"""
+UNION ALL SELECT 2, 'Columns', NULL, 6.0, NULL, NULL, 'shape' FROM s
+UNION ALL SELECT 3, 'Average', 'p_partkey', round(a0, 2), l0, h0, 'measure' FROM s
+UNION ALL SELECT 4, 'Average', CASE WHEN size_first THEN 'p_size' ELSE 'p_retailprice' END, round(CASE WHEN size_first THEN a1 ELSE a2 END, 2),
+  CASE WHEN size_first THEN l1 ELSE l2 END, CASE WHEN size_first THEN h1 ELSE h2 END, 'measure' FROM s"""
 
 
 def segment_sql(table: str, column: str, target: str) -> str:
@@ -283,7 +281,7 @@ ORACLES["rolling_mean"] = f"""WITH {SPARSE_SQL} SELECT period, round(value, 4) A
 FROM {resample_sql('sparse', 'ts', 'value', 'D', 'avg')}"""
 ORACLES["resample_by_entity"] = f"""
 WITH top AS (SELECT l_discount FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, l_discount::VARCHAR LIMIT 6)
-SELECT l_discount::VARCHAR AS entity, {period('l_shipdate', 'M')} AS period, round(avg(l_extendedprice), 4) AS value, count(*) AS "rows"
+SELECT l_discount::VARCHAR AS entity, {period('l_shipdate', 'M')} AS period, round(avg(l_extendedprice), 6) AS value, count(*) AS "rows"
 FROM lineitem WHERE l_discount IN (SELECT l_discount FROM top) GROUP BY 1, 2"""
 ORDER_MONTHS = resample_sql("orders", "o_orderdate", "o_totalprice", "M", "avg")
 RANKED_MONTHS = f"SELECT period, value, row_number() OVER (ORDER BY period) - 1 AS i, count(*) OVER () AS n FROM {ORDER_MONTHS} WHERE value IS NOT NULL"
@@ -329,8 +327,8 @@ ORACLES["lag_features"] = f"""SELECT period, round(y, 6) AS y, filled, round(lag
 TYPE_DAYS = """(WITH o AS (SELECT event_type, ts::DATE AS period, avg(value) AS value FROM sparse WHERE value IS NOT NULL GROUP BY 1, 2),
   grid AS (SELECT event_type, unnest(generate_series(min(period)::TIMESTAMP, max(period)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS period FROM o GROUP BY 1)
   SELECT grid.event_type, grid.period, o.value FROM grid LEFT JOIN o ON grid.period = o.period AND grid.event_type = o.event_type)"""
-ORACLES["lag_features_by_type"] = f"""WITH {SPARSE_SQL} SELECT event_type, period, round(y, 4) AS y, filled, round(lag_1, 4) AS lag_1, round(lag_7, 4) AS lag_7,
-  round(rolling_mean_7, 4) AS rolling_mean_7, day_of_week, "month" FROM {lag_sql(TYPE_DAYS, 'event_type')}"""
+ORACLES["lag_features_by_type"] = f"""WITH {SPARSE_SQL} SELECT event_type, period, round(y, 6) AS y, filled, round(lag_1, 6) AS lag_1, round(lag_7, 6) AS lag_7,
+  round(rolling_mean_7, 6) AS rolling_mean_7, day_of_week, "month" FROM {lag_sql(TYPE_DAYS, 'event_type')}"""
 SPLIT = f"(SELECT *, row_number() OVER (ORDER BY period) <= floor(count(*) OVER () * 0.8) AS is_train FROM {ORDER_LAGS})"
 ORACLES["chronological_split"] = f"SELECT is_train, count(*) AS n, min(period) AS first_day, max(period) AS last_day FROM {SPLIT} GROUP BY 1"
 ORACLES["naive_baseline"] = f"""SELECT round(avg(abs(y - lag_1)) FILTER (NOT is_train), 2) AS baseline_mae, count(*) FILTER (is_train) AS n_train,
@@ -676,7 +674,7 @@ ORACLES["world_time_series"] = f"""SELECT period, round(value, 4) AS value, roun
 FROM {ORDER_MONTHS}"""
 ORACLES["world_geo"] = ORACLES["geo_stats"].replace("min(reading)", "min(c_custkey)::DOUBLE").replace("max(reading)", "max(c_custkey)::DOUBLE").replace(
     "avg(reading)", "avg(c_custkey)")
-ORACLES["world_tabular"] = histogram_sql("supplier", "s_suppkey")
+ORACLES["world_tabular"] = histogram_sql("part", "p_partkey")
 
 # ----------------------------------------------------------------- text jobs --
 DIGITS = """CASE WHEN v = 0 THEN v ELSE

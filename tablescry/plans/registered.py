@@ -313,7 +313,7 @@ def overview(spark, folder):
 
 @query
 def kpis(spark, folder):
-    return tidy(ag.kpis(load(spark, folder, "supplier")), 2)
+    return tidy(ag.kpis(load(spark, folder, "part")), 2)
 
 
 @query
@@ -390,7 +390,7 @@ def rolling_mean(spark, folder):
 
 @query
 def resample_by_entity(spark, folder):
-    return tidy(ts.resample_by_entity(load(spark, folder, "lineitem"), "l_shipdate", "l_extendedprice", "l_discount", "M"))
+    return tidy(ts.resample_by_entity(load(spark, folder, "lineitem"), "l_shipdate", "l_extendedprice", "l_discount", "M"), 6)
 
 
 @query
@@ -426,7 +426,7 @@ def lag_features(spark, folder):
 @query
 def lag_features_by_type(spark, folder):
     """Many series in one job: gap days carried forward within each event type."""
-    return tidy(fc.lag_features(fc.daily_series(sparse_events(spark, folder), "ts", "value", ["event_type"]), ["event_type"]))
+    return tidy(fc.lag_features(fc.daily_series(sparse_events(spark, folder), "ts", "value", ["event_type"]), ["event_type"]), 6)
 
 
 @query
@@ -804,7 +804,7 @@ def world_geo(spark, folder):
 
 @query
 def world_tabular(spark, folder):
-    return tidy(al.world(load(spark, folder, "supplier")).tables["distribution"])
+    return tidy(al.world(load(spark, folder, "part")).tables["distribution"])
 
 
 # ----------------------------------------------------------------- text jobs --
