@@ -31,7 +31,7 @@ def anomalies(df: DataFrame, measures: Sequence[str], key: Sequence[str] = (), k
     measures = list(measures)[:12]
     if known is None or known.facts is None:
         known = profile_table(df.select(*[F.col(f"`{m}`") for m in measures]), "sketch")
-    bounds = fences(df, measures, known, MIN_MEASURE_ROWS, extra=(0.1, 0.9))
+    bounds = fences(df, measures, known, MIN_MEASURE_ROWS)
     spark = df.sparkSession
     if not bounds:
         return spark.createDataFrame([], ANOMALY_SCHEMA)

@@ -32,7 +32,9 @@ def _as_findings(df: DataFrame, kind: str, **columns) -> DataFrame:
     return df.select(*[parts.get(name, F.lit(None)).cast(types[name]).alias(name) for name in FINDING_COLUMNS])
 
 
-def all_findings(df: DataFrame, known: TableProfile | None = None, roles: Routing | None = None) -> DataFrame:
+def all_findings(
+    df: DataFrame, known: TableProfile | None = None, roles: Routing | None = None, n_duplicates: int | None = None
+) -> DataFrame:
     """Everything found, unranked: trends, relationships, anomalies, segments,
     forecast readiness and data problems, with the score each earns."""
     known = known or profile_table(df, "sketch")
@@ -77,7 +79,7 @@ def all_findings(df: DataFrame, known: TableProfile | None = None, roles: Routin
             direction=F.when(F.col("ready"), "ready").otherwise("too short"), value=F.col("days_observed"),
             baseline=F.col("days_needed"), n=F.col("days_observed"), score=F.when(F.col("ready"), 45.0).otherwise(8.0),
         ))
-    d = data_issue_findings(df, known)
+    d = data_issue_findings(df, known, n_duplicates)
     found.append(_as_findings(
         d, "quality", subject=F.col("subject"), other=F.col("issue"), value=F.col("value"), n=F.col("n"), score=F.col("score"),
     ))

@@ -55,6 +55,7 @@ class TableProfile:
     columns: list[dict[str, Any]] = field(default_factory=list)
     facts: Facts | None = None
     counts: DataFrame | None = None  # value counts of the columns with a small vocabulary
+    quantiles: dict[str, dict[float, float]] = field(default_factory=dict)  # exact, filled in as asked for
 
     def of_type(self, *kinds: str) -> list[str]:
         return [c["column"] for c in self.columns if c["semantic_type"] in kinds]

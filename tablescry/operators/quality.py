@@ -219,18 +219,22 @@ def _variants(counts: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ outliers --
-def fences(df: DataFrame, measures: Sequence[str], known: TableProfile, min_rows: int = MIN_FENCE_ROWS,
-           extra: Sequence[float] = ()) -> dict[str, dict[str, float]]:
-    """Low and high fence, three quartile ranges out, per measure that has any spread."""
+def fences(df: DataFrame, measures: Sequence[str], known: TableProfile, min_rows: int = MIN_FENCE_ROWS) -> dict[str, dict[str, float]]:
+    """Low and high fence, three quartile ranges out, per measure that has any spread.
+
+    Quantiles are kept with the profile, so an audit and the findings of one
+    table share them.
+    """
     usable = [m for m in measures if known.facts.columns[m].get("n_numbers", 0) >= min_rows]
-    table = quantile_table(df, {m: number_of(df, m) for m in usable}, [0.25, 0.5, 0.75, *extra])
+    missing = {m: number_of(df, m) for m in usable if m not in known.quantiles}
+    known.quantiles |= quantile_table(df, missing, [0.1, 0.25, 0.5, 0.75, 0.9])
     found = {}
     for name in usable:
-        q = table[name]
+        q = known.quantiles[name]
         spread = q[0.75] - q[0.25]
         if spread > 0:
             found[name] = {"low": q[0.25] - FENCE * spread, "high": q[0.75] + FENCE * spread, "median": q[0.5],
-                           **{f"p{round(p * 100)}": q[p] for p in extra}}
+                           "p10": q[0.1], "p90": q[0.9]}
     return found
 
 
@@ -463,15 +467,20 @@ def health(df: DataFrame, known: TableProfile | None = None) -> tuple[DataFrame,
     return issues, health_score(issues, known.n_rows)
 
 
-def data_issue_findings(df: DataFrame, known: TableProfile | None = None) -> DataFrame:
-    """Gappy columns (20 % missing or more) and repeated rows, as findings."""
+def data_issue_findings(df: DataFrame, known: TableProfile | None = None, n_duplicates: int | None = None) -> DataFrame:
+    """Gappy columns (20 % missing or more) and repeated rows, as findings.
+
+    An audit has counted the repeated rows already and may pass them on.
+    """
     known = known or profile_table(df, "sketch")
     rows = []
     gappy = [c for c in known.columns if c["null_pct"] >= MANY_NULLS_PCT]
     if gappy:
         worst = max(gappy, key=lambda c: c["null_pct"])
         rows.append(("blanks", worst["column"], float(worst["null_pct"]), len(gappy), 12.0))
-    n = duplicate_rows(df).first()["n_duplicates"] if known.n_rows else 0
+    n = n_duplicates
+    if n is None:
+        n = duplicate_rows(df).first()["n_duplicates"] if known.n_rows else 0
     if n:
         rows.append(("duplicates", None, float(n), known.n_rows, 10.0))
     return df.sparkSession.createDataFrame(rows, "issue string, subject string, value double, n long, score double")

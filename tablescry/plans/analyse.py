@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from tablescry.operators.aggregates import kpis, number_of, numeric_columns, ran
 from tablescry.operators.correlation import correlation_matrix
 from tablescry.operators.findings import all_findings, briefing, finding_counts, ranked_findings
 from tablescry.operators.profile import TableProfile, profile_table
-from tablescry.operators.quality import health
+from tablescry.operators.quality import health_issues, health_score
 from tablescry.operators.routing import Routing, route_profile
 from tablescry.operators.value_counts import category_counts
 from tablescry.session import cut_lineage
@@ -21,36 +22,65 @@ from tablescry.session import cut_lineage
 MAX_BARS = 15
 
 
-@dataclass
 class Analysis:
-    profile: DataFrame
-    routing: DataFrame
-    issues: DataFrame
-    report: DataFrame
-    findings: DataFrame
-    counts: DataFrame
-    kpis: DataFrame
-    charts: DataFrame
-    briefing: DataFrame
+    """The parts of an automatic analysis, each worked out when first asked for.
 
+    One profile with its audit feeds all of them, and the quantiles and
+    duplicate counts of the audit are not computed again for the findings.
+    """
 
-def analyse(df: DataFrame) -> Analysis:
-    """Profile, route, audit, find, and propose charts.
+    def __init__(self, df: DataFrame):
+        self.df = df
+        self.spark = df.sparkSession
+        self.known = profile_table(df, "sketch", audit=True)
+        self.roles = route_profile(self.known)
 
-    One audit scan feeds all of it. The findings of all passes are a few dozen
-    rows; they are computed once and kept before they are ranked and counted.
-    """
-    known = profile_table(df, "sketch", audit=True)
-    roles = route_profile(known)
-    issues, report = health(df, known)
-    found = cut_lineage(all_findings(df, known, roles))
-    listed = ranked_findings(found)
-    spark = df.sparkSession
-    return Analysis(
-        profile=known.table(spark), routing=roles.table(spark), issues=issues, report=report, findings=listed,
-        counts=finding_counts(found), kpis=kpis(df, known), charts=chartdata.chart_candidates(df, known, roles),
-        briefing=briefing(listed, issues, report, known),
-    )
+    @property
+    def profile(self) -> DataFrame:
+        return self.known.table(self.spark)
+
+    @property
+    def routing(self) -> DataFrame:
+        return self.roles.table(self.spark)
+
+    @cached_property
+    def issues(self) -> DataFrame:
+        return health_issues(self.df, self.known)
+
+    @cached_property
+    def report(self) -> DataFrame:
+        return health_score(self.issues, self.known.n_rows)
+
+    @cached_property
+    def found(self) -> DataFrame:
+        """Everything found: a few dozen rows, kept before they are ranked and counted."""
+        copies = self.issues.where("kind = 'duplicate_rows'").select("n_affected").first()
+        return cut_lineage(all_findings(self.df, self.known, self.roles, copies["n_affected"] if copies else 0))
+
+    @property
+    def findings(self) -> DataFrame:
+        return ranked_findings(self.found)
+
+    @property
+    def counts(self) -> DataFrame:
+        return finding_counts(self.found)
+
+    @cached_property
+    def kpis(self) -> DataFrame:
+        return kpis(self.df, self.known)
+
+    @cached_property
+    def charts(self) -> DataFrame:
+        return chartdata.chart_candidates(self.df, self.known, self.roles)
+
+    @property
+    def briefing(self) -> DataFrame:
+        return briefing(self.findings, self.issues, self.report, self.known)
+
+
+def analyse(df: DataFrame) -> Analysis:
+    """Profile, route, audit, find, and propose charts."""
+    return Analysis(df)
 
 
 def analysis_report(df: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ def local_session(app: str = "tablescry", cores: str | int = "*", memory: str =
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.files.openCostInBytes", str(1 << 20))  # small local files still use every core
         .config("spark.sql.shuffle.partitions", os.environ.get("TABLESCRY_SHUFFLE", "16"))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
