@@ -55,8 +55,8 @@ def aggregate(df: DataFrame, measure: str, agg: str = "mean") -> DataFrame:
     values = df.select(number_of(df, measure).alias("v"))
     if agg == "median":
         counted = values.agg(F.count("v").alias("rows_used"), F.count_if(F.col("v").isNull()).alias("rows_excluded"))
-        median = exact_quantiles(values.where("v is not null"), [], [0.5]).select(F.col("q").alias("value"))
-        return counted.join(median, how="left").select("value", "rows_used", "rows_excluded")
+        median = exact_quantiles(values.where("v is not null"), [], [0.5]).select("q")
+        return counted.select(median.scalar().alias("value"), "rows_used", "rows_excluded")
     return values.agg(
         aggregate_column(F.col("v"), agg).cast("double").alias("value"),
         F.count("v").alias("rows_used"),
@@ -89,9 +89,8 @@ def rank_groups(
     n = max(1, min(MAX_GROUPS_LISTED, int(n)))
     ascending = str(order).lower() in ("bottom", "lowest", "worst", "asc")
     summary = grouped_summary(df, group, measure, aggregate_name(agg))
-    total = summary.agg(F.count("*").alias("n_groups"))
     by = F.asc("value") if ascending else F.desc("value")
-    return summary.orderBy(by, "group").limit(n).crossJoin(F.broadcast(total))
+    return summary.orderBy(by, "group").limit(n).withColumn("n_groups", summary.agg(F.count("*")).scalar())
 
 
 def count_where(df: DataFrame, column: str | None = None, value: object = None) -> DataFrame:
@@ -148,20 +147,20 @@ def describe_number(df: DataFrame, column: str) -> DataFrame:
     ).withColumn("missing_pct", percent(F.col("missing_rows"), F.greatest("n_rows", F.lit(1)))).drop("n_rows")
     distinct = df.agg(F.count_distinct(raw).alias("distinct_values"))
     middle = exact_quantiles(df.select(value.alias("v")).where("v is not null"), [], [0.5])
-    return base.crossJoin(distinct).join(middle.select(F.col("q").alias("typical")), how="left")
+    return base.withColumns({"distinct_values": distinct.scalar(), "typical": middle.select("q").scalar()})
 
 
 def describe_category(df: DataFrame, column: str, k: int = 5) -> DataFrame:
     """The k most common values with the column's distinct and missing counts."""
     column = resolve_column(df, column)
     counts = value_counts(df, [column])
-    missing = df.agg(
-        F.count_if(F.col(f"`{column}`").isNull()).alias("missing_rows"), F.count("*").alias("n_rows")
-    ).select("missing_rows", percent(F.col("missing_rows"), F.greatest("n_rows", F.lit(1))).alias("missing_pct"))
-    sizes = counts.agg(F.count("*").alias("distinct_values"))
-    return (
-        counts.orderBy(F.desc("n"), "value").limit(k).select("value", "n")
-        .crossJoin(F.broadcast(sizes)).crossJoin(F.broadcast(missing))
+    missing = df.agg(F.struct(F.count_if(F.col(f"`{column}`").isNull()).alias("rows"), F.count("*").alias("n_rows"))).scalar()
+    top = counts.orderBy(F.desc("n"), "value").limit(k)
+    return top.select(
+        "value", "n", counts.agg(F.count("*")).scalar().alias("distinct_values"), missing.alias("_m")
+    ).select(
+        "value", "n", "distinct_values", F.col("_m.rows").alias("missing_rows"),
+        percent(F.col("_m.rows"), F.greatest("_m.n_rows", F.lit(1))).alias("missing_pct"),
     )
 
 
@@ -187,7 +186,8 @@ def summary_stats(df: DataFrame, measure: str) -> DataFrame:
         F.max(F.when(F.col("p") == 0.5, F.col("q"))).alias("q50"),
         F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q75"),
     )
-    return base.crossJoin(quartiles)
+    at = quartiles.select(F.struct("q25", "q50", "q75")).scalar()
+    return base.select("*", at.alias("_q")).select("count", "mean", "std", "min", "max", "_q.*")
 
 
 def quantiles(df: DataFrame, measures: list[str], probabilities: list[float]) -> DataFrame:

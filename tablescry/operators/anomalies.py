@@ -86,13 +86,13 @@ def outlier_rows(df: DataFrame, measure: str, key: Sequence[str], n: int = 5) ->
     spread = q[0.75] - q[0.25]
     low, high = q[0.25] - FENCE * spread, q[0.75] + FENCE * spread
     odd = outside(F.col("value"), low, high) if spread > 0 else F.lit(False)
-    counts = present.agg(F.count("*").alias("n_values"), F.count_if(odd).alias("n_unusual"))
+    counts = present.agg(F.struct(F.count("*").alias("n_values"), F.count_if(odd).alias("n_unusual"))).scalar()
     return (
         present.withColumn("difference", F.col("value") - q[0.5])
         .orderBy(F.desc(F.abs("difference")), *[F.col(f"`{k}`") for k in key])
         .limit(n)
-        .crossJoin(F.broadcast(counts))  # one row
-        .where(F.col("n_values") >= MIN_ROWS)
+        .withColumn("counts", counts)
+        .where(F.col("counts.n_values") >= MIN_ROWS)
         .select(*[F.col(f"`{k}`") for k in key], "value", "difference", F.lit(q[0.5]).alias("typical"),
-                F.lit(q[0.1]).alias("usual_low"), F.lit(q[0.9]).alias("usual_high"), "n_unusual")
+                F.lit(q[0.1]).alias("usual_low"), F.lit(q[0.9]).alias("usual_high"), "counts.n_unusual")
     )

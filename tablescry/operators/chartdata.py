@@ -30,11 +30,12 @@ def bar_data(df: DataFrame, group: str, measure: str, agg: str = "mean", limit:
 def histogram(df: DataFrame, measure: str, bins: int = BINS) -> DataFrame:
     """Equal-width bins from lowest to highest value; the top value is in the last bin."""
     values = df.select(number_of(df, measure).alias("v")).where("v is not null")
-    ends = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"))
+    ends = values.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"))).scalar()
     width = (F.col("hi") - F.col("lo")) / bins
     place = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0))
     return (
-        values.crossJoin(F.broadcast(ends))  # one row
+        values.select("v", ends.alias("ends"))
+        .select("v", "ends.*")
         .select(place.cast("int").alias("bin"), "lo", width.alias("width"), "mean")
         .groupBy("bin", "lo", "width", "mean")
         .agg(F.count("*").alias("n"))

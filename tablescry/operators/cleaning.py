@@ -259,7 +259,7 @@ def _drop_duplicates_step(work: _Cleaning, number: int) -> None:
     work.close()
     before = work.frame
     after = drop_duplicates(before, work.order_by)
-    counts = before.agg(F.count("*").alias("rows_before")).crossJoin(after.agg(F.count("*").alias("rows_after")))
+    counts = before.agg(F.count("*").alias("rows_before")).withColumn("rows_after", after.agg(F.count("*")).scalar())
     work.closed.append(counts.select(
         F.lit(number).alias("step"), F.lit("drop_duplicates").alias("action"), F.lit(None).cast("string").alias("column"),
         "rows_before", "rows_after", F.lit(0).cast("long").alias("cells_changed"),

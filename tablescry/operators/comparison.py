@@ -169,9 +169,9 @@ def category_changes(a: DataFrame, b: DataFrame, categories: dict[str, str]) ->
 
 def quality_change(report_a: DataFrame, report_b: DataFrame) -> DataFrame:
     """A health score that moved by at least three points."""
-    before, after = report_a.select(F.col("score").alias("before")), report_b.select(F.col("score").alias("after"))
+    both = report_a.select(F.col("score").alias("before"), report_b.select("score").scalar().alias("after"))
     delta = F.col("after") - F.col("before")
-    return before.crossJoin(F.broadcast(after)).where(F.abs(delta) >= 3).select(  # one row each
+    return both.where(F.abs(delta) >= 3).select(
         F.lit("quality").alias("kind"), F.lit(None).cast("string").alias("column"),
         F.when(delta > 0, "up").otherwise("down").alias("direction"), "before", "after", delta.alias("pct_change"),
         F.when(delta < 0, 85.0).otherwise(60.0).alias("score"),

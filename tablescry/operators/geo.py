@@ -23,10 +23,10 @@ def placeable(df: DataFrame, lat: str, lon: str, measure: str, keep: list[str] |
 def map_points(df: DataFrame, lat: str, lon: str, measure: str, keep: list[str] | None = None) -> DataFrame:
     """Placeable rows with a marker size scaled to the measure; midway when it is constant."""
     points = placeable(df, lat, lon, measure, keep)
-    ends = points.agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    share = (F.col("value") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    ends = points.agg(F.struct(F.min("value").alias("lo"), F.max("value").alias("hi"))).scalar()
+    share = (F.col("value") - ends["lo"]) / F.nullif(ends["hi"] - ends["lo"], F.lit(0.0))
     size = F.coalesce(MIN_MARKER + (MAX_MARKER - MIN_MARKER) * share, F.lit((MIN_MARKER + MAX_MARKER) / 2))
-    return points.crossJoin(F.broadcast(ends)).withColumn("marker_size", size).drop("_lo", "_hi")  # one row
+    return points.withColumn("marker_size", size)
 
 
 def map_view(df: DataFrame, lat: str, lon: str, measure: str) -> DataFrame:

@@ -48,11 +48,8 @@ def category_counts(df: DataFrame, column: str, k: int = 15) -> DataFrame:
     values can be asked.
     """
     counts = value_counts(df, [column])
-    total = counts.agg(F.count("*").alias("n_categories"))
-    return (
-        counts.orderBy(F.desc("n"), "value").limit(k).crossJoin(F.broadcast(total))
-        .select("value", "n", "n_categories")
-    )
+    top = counts.orderBy(F.desc("n"), "value").limit(k)
+    return top.select("value", "n", counts.agg(F.count("*")).scalar().alias("n_categories"))
 
 
 def distinct_count(df: DataFrame, column: str) -> DataFrame:

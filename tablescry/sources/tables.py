@@ -23,9 +23,9 @@ def preview(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
     Planned as a bounded heap per task beside one count; no sort of the table.
     """
     n = max(1, min(MAX_PREVIEW, int(n)))
-    total = df.agg(F.count("*").alias("total_rows"))
+    total = df.agg(F.count("*")).scalar()
     first = df.orderBy(*[F.col(f"`{c}`") for c in order_by]).limit(n)
-    return first.crossJoin(F.broadcast(total)).withColumn("truncated", F.col("total_rows") > n)  # one row
+    return first.withColumn("total_rows", total).withColumn("truncated", F.col("total_rows") > n)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
