@@ -8,6 +8,7 @@ original, which stays readable and is the way back.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 from typing import Any
 
@@ -28,7 +29,7 @@ APPLY_ORDER = (
     "drop_invalid", "cap_outliers", "drop_duplicates", "fill_missing",
 )
 STRATEGIES = ("median", "mean", "zero", "forward", "drop", "label")
-CHUNKS = 1000
+CHUNKS, CHUNK_ROWS = 1000, 1_000_000
 
 RECEIPT_SCHEMA = "step int, action string, column string, rows_before long, rows_after long, cells_changed long"
 
@@ -98,36 +99,48 @@ def without_missing_words(df: DataFrame, column: str) -> Column:
 def forward_fill(df: DataFrame, column: str, order_by: str, keys: Sequence[str] = ()) -> DataFrame:
     """Last known value carried down, then the first known one carried up.
 
-    The table is cut into ranges of the order column. Each range reports its
-    last and first known value (one row per range), those rows are carried
-    across ranges, and every range then fills itself, so no task sees more than
-    one range however long the table is.
+    The table is cut into ranges of the order column, about a million rows
+    each. Each range reports its last and first known value (one row per
+    range), those rows are carried across ranges, and every range then fills
+    itself, so no task sees more than one range however long the table is.
     """
     c, o = F.col(f"`{column}`"), F.col(f"`{order_by}`")
-    numeric_order = o.cast("timestamp").cast("double") if not is_numeric_type(df.schema[order_by].dataType) else o.cast("double")
-    splits = df.select(numeric_order.alias("o")).agg(
-        F.percentile_approx("o", [i / CHUNKS for i in range(1, CHUNKS)], 10 * CHUNKS).alias("s")
-    ).first()["s"]
-    edges = sorted(set(splits or []))
-    ordered = df.withColumn("_o", numeric_order)
+    as_number = o.cast("double") if is_numeric_type(df.schema[order_by].dataType) else o.cast("timestamp").cast("double")
+    ends = df.select(as_number.alias("o")).agg(
+        F.count("*").alias("n"), F.min("o").alias("lo"), F.max("o").alias("hi"),
+        F.percentile_approx("o", [i / CHUNKS for i in range(1, CHUNKS)], 10 * CHUNKS).alias("splits"),
+    ).first()
+    edges = sorted({e for e in ends["splits"] or [] if ends["lo"] < e < ends["hi"]})
+    ordered = df.withColumn("_o", as_number).withColumn("_chunk", F.lit(0.0)).withColumn("_part", F.lit(0))
     if edges:
-        bounds = [float("-inf"), *edges, float("inf")]
-        ordered = Bucketizer(splits=bounds, inputCol="_o", outputCol="_chunk", handleInvalid="keep").transform(ordered)
-    else:
-        ordered = ordered.withColumn("_chunk", F.lit(0.0))
+        outer = [float("-inf"), *edges, float("inf")]
+        ordered = Bucketizer(splits=outer, inputCol="_o", outputCol="_bucket", handleInvalid="keep").transform(ordered)
+        parts = math.ceil(ends["n"] / (CHUNKS * CHUNK_ROWS))
+        limits = F.array(*[F.lit(e) for e in [ends["lo"], *edges, ends["hi"]]])
+        at = F.col("_bucket").cast("int")
+        low, high = F.get(limits, at), F.get(limits, at + 1)
+        within_bucket = F.floor((F.col("_o") - low) / (high - low) * parts)
+        ordered = ordered.withColumns({
+            "_chunk": F.coalesce(F.col("_bucket"), F.lit(-1.0)),
+            "_part": F.coalesce(F.least(within_bucket, F.lit(parts - 1)).cast("int"), F.lit(0)) if parts > 1 else F.lit(0),
+        }).drop("_bucket")
+    place = ["_chunk", "_part"]
     known = F.when(c.isNotNull(), F.struct(o.alias("o"), c.alias("v")))
-    ends = ordered.groupBy(*keys, "_chunk").agg(F.max(known)["v"].alias("_last"), F.min(known)["v"].alias("_first"))
-    by_chunk = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("_chunk")
-    carried = ends.select(
-        *keys, "_chunk", F.col("_first").alias("_own"),
-        F.last("_last", ignorenulls=True).over(by_chunk.rowsBetween(Window.unboundedPreceding, -1)).alias("_above"),
-        F.first("_first", ignorenulls=True).over(by_chunk.rowsBetween(1, Window.unboundedFollowing)).alias("_below"),
+    reported = ordered.groupBy(*keys, *place).agg(F.max(known)["v"].alias("_last"), F.min(known)["v"].alias("_first"))
+    along = Window.partitionBy(*(keys or [F.lit(1)])).orderBy(*place)  # a row per range
+    back = Window.partitionBy(*(keys or [F.lit(1)])).orderBy(*[F.desc(p) for p in place])
+    carried = reported.select(
+        *keys, *place, F.col("_first").alias("_own"),
+        F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_above"),
+        F.last("_first", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("_below"),
     )
-    within = Window.partitionBy(*keys, "_chunk").orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
-    joined = ordered.join(carried if keys else F.broadcast(carried), [*keys, "_chunk"])  # without keys: one row per range
+    within = Window.partitionBy(*keys, *place).orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
     # Only rows before the first known value of all are left to fill from below.
     filled = F.coalesce(F.last(c, ignorenulls=True).over(within), "_above", "_own", "_below")
-    return joined.withColumn("_filled", filled).select(
+    # Null keys are a group too, so they must meet in the join.
+    renamed = carried.withColumnsRenamed({k: f"_k_{i}" for i, k in enumerate([*keys, *place])})
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"_k_{i}")) for i, k in enumerate([*keys, *place])]
+    return ordered.join(renamed, same).withColumn("_filled", filled).select(
         *[F.col("_filled").alias(x) if x == column else F.col(f"`{x}`") for x in df.columns]
     )
 

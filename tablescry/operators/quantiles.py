@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from tablescry.session import cut_lineage
 
 BINS = 1024
-SHORT_GROUP_ROWS = 2_000_000
-SHORT_BRACKET_ROWS = 2_000_000
+SHORT_GROUP_ROWS = 1_000_000
+SHORT_BRACKET_ROWS = 1_000_000
 MAX_PASSES = 12
 TABLE_BINS, MAX_TABLE_PASSES = 512, 16
 FEW_ROWS, FEW_BRACKET_ROWS = 50_000, 2_000
@@ -52,7 +52,7 @@ def exact_quantiles(pairs: DataFrame, keys: Sequence[str], probabilities: Sequen
     """Rows of ``keys, p, q`` from rows of ``keys, v`` (v a non-null double).
 
     ``keys`` may be empty and may hold any number of groups. A group of up to
-    two million rows, which one count establishes, takes the built-in exact
+    a million rows, which one count establishes, takes the built-in exact
     percentile; larger ones are bracketed.
     """
     keys = list(keys)

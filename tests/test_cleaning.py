@@ -85,9 +85,10 @@ def test_cap_keeps_nulls_and_rows(spark):
     assert receipt.first()["cells_changed"] == 1
 
 
-@pytest.mark.parametrize("chunks", [3, 1000])
-def test_forward_fill_against_brute_force(spark, monkeypatch, chunks):
+@pytest.mark.parametrize("chunks, rows_each", [(3, 1_000_000), (1000, 1_000_000), (4, 7), (2, 1)])
+def test_forward_fill_against_brute_force(spark, monkeypatch, chunks, rows_each):
     monkeypatch.setattr(cl, "CHUNKS", chunks)
+    monkeypatch.setattr(cl, "CHUNK_ROWS", rows_each)
     data = [(i, i % 4, float(i) if (i * 7) % 11 < 3 and i > 6 else None) for i in range(200)]
     df = spark.createDataFrame(data, "i long, k long, v double").repartition(5)
 
@@ -100,5 +101,8 @@ def test_forward_fill_against_brute_force(spark, monkeypatch, chunks):
         return out
 
     assert sorted(map(tuple, cl.forward_fill(df, "v", "i").collect())) == brute(data)
+    loose = df.unionByName(spark.createDataFrame([(None, 1, 5.0), (900, None, None), (901, None, 2.0)], df.schema))
+    filled = {tuple(r) for r in cl.forward_fill(loose, "v", "i", ["k"]).collect()}
+    assert len(filled) == 203 and {(None, 1, 5.0), (900, None, 2.0), (901, None, 2.0)} <= filled
     expected = sorted(row for key in range(4) for row in brute([d for d in data if d[1] == key]))
     assert sorted(map(tuple, cl.forward_fill(df, "v", "i", ["k"]).collect())) == expected
