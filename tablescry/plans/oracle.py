@@ -569,6 +569,82 @@ ORDER BY score DESC LIMIT 12"""
 ORACLES["finding_counts"] = f"""WITH {STORY_SQL}, found AS ({story_findings()})
 SELECT kind, sum(CASE WHEN kind = 'anomaly' THEN n WHEN kind = 'forecast' AND direction != 'ready' THEN 0 ELSE 1 END)::BIGINT AS n_found FROM found GROUP BY 1"""
 
+# -------------------------------------------- audits of the story table, briefing --
+STORY_ALL = ("order_date", "revenue", "cost", "stock_level", "channel", "grade")
+STORY_TEXTS = ("channel", "grade")
+
+
+def story_issues() -> str:
+    """Every check on the story table; the ones it passes come out empty."""
+    pct = PCT.replace("messy", "story")
+    ranks = "CASE WHEN pct >= 20 THEN 'critical' WHEN pct >= 2 THEN 'warning' ELSE 'notice' END"
+    parts = [
+        f"""SELECT 'duplicate_rows' AS kind, NULL::VARCHAR AS col, n, {pct} AS pct, CASE WHEN {pct} >= 5 THEN 'critical' ELSE 'warning' END AS severity
+          FROM (SELECT (SELECT count(*) FROM story) - count(*) AS n FROM (SELECT DISTINCT * FROM story)) WHERE n > 0""",
+        "SELECT 'missing_values', col, n, pct, " + ranks + f" FROM (SELECT col, n, {pct} AS pct FROM (" + " UNION ALL ".join(
+            f"SELECT '{c}' AS col, count(*) FILTER ({c} IS NULL" + (f" OR lower({strip(c)}) IN ({WORDS})" if c in STORY_TEXTS else "") + ") AS n FROM story"
+            for c in STORY_ALL) + ") WHERE n > 0)",
+        f"SELECT 'whitespace', col, n, {pct}, 'warning' FROM (" + " UNION ALL ".join(
+            f"SELECT '{c}' AS col, count(*) FILTER ({c} != {strip(c)}) AS n FROM story" for c in STORY_TEXTS) + ") WHERE n > 0",
+        f"SELECT 'category_variants', col, sum(n)::BIGINT AS n, any_value(100.0::DOUBLE), 'warning' FROM ({variants_sql(STORY_TEXTS).replace('messy', 'story')}) WHERE v != canonical GROUP BY 2",
+        "SELECT 'constant_column', col, n, 100.0, 'notice' FROM (" + " UNION ALL ".join(
+            f"SELECT '{c}' AS col, count(*) AS n, count(DISTINCT {c}) AS u FROM story" for c in STORY_ALL) + ") WHERE u = 1",
+        f"SELECT 'impossible_values', col, n, {pct}, 'critical' FROM (" + " UNION ALL ".join(
+            f"SELECT '{c}' AS col, count(*) FILTER ({c} < 0) AS n FROM story" for c in ("revenue", "cost")) + ") WHERE n > 0",
+        f"SELECT 'outliers', col, n, {pct}, CASE WHEN {pct} > 1 THEN 'warning' ELSE 'notice' END FROM ("
+        + " UNION ALL ".join(fence_sql(c).replace("messy", "story") for c in STORY_COLUMNS) + ") WHERE n > 0",
+    ]
+    return issues_sql(" UNION ALL ".join(parts)).replace(f"1.0 / {N_COLS}", f"1.0 / {len(STORY_ALL)}")
+
+
+STORY_SCORE = f"""SELECT score, {GRADE} AS grade, n_issues, n_critical, n_warning, n_notice, n_fixable, (SELECT count(*) FROM story) AS n_rows FROM (
+  SELECT round(greatest(0, 100 - coalesce(sum(penalty), 0)), 1)::DOUBLE AS score, count(*) AS n_issues, count(*) FILTER (severity = 'critical') AS n_critical,
+    count(*) FILTER (severity = 'warning') AS n_warning, count(*) FILTER (severity = 'notice') AS n_notice, count(fix_action) AS n_fixable FROM i)"""
+ORACLES["health_score_story"] = f"WITH {STORY_SQL}, i AS ({story_issues()}) {STORY_SCORE}"
+ORACLES["passed_checks"] = f"""WITH {STORY_SQL}, i AS ({story_issues()})
+SELECT "check" FROM (SELECT unnest([{", ".join(f"'{c}'" for c in RAW_ISSUES)}]) AS "check") WHERE "check" NOT IN (SELECT kind FROM i)"""
+ORACLES["briefing"] = f"""WITH {STORY_SQL}, i AS ({story_issues()}), found AS ({story_findings()}),
+listed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score DESC, subject, other) AS k FROM found) WHERE kind != 'relationship' OR k <= 3
+  ORDER BY score DESC LIMIT 12),
+ranked AS (SELECT *, row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, pct_affected DESC, id) - 1 AS place FROM i)
+SELECT kind, subject, round(value, 4) AS value, round(score, 4) AS score FROM (
+  SELECT 'issue' AS kind, id AS subject, pct_affected AS value, 200.0::DOUBLE - place AS score FROM ranked WHERE severity = 'critical' AND place < 2
+  UNION ALL SELECT kind, subject, value, 100.0::DOUBLE - (row_number() OVER (ORDER BY score DESC) - 1) FROM listed
+  UNION ALL SELECT 'quality', grade, score, 40.0 FROM ({STORY_SCORE}) WHERE n_critical = 0
+  UNION ALL SELECT 'shape', count(*) || ' rows, {len(STORY_ALL)} columns', count(*)::DOUBLE, 30.0 FROM story) ORDER BY score DESC LIMIT 5"""
+ORACLES["quality_change"] = f"""WITH {MESSY_SQL}, i AS ({ALL_ISSUES}), s AS (SELECT round(greatest(0, 100 - sum(penalty)), 1)::DOUBLE AS after FROM i),
+odd AS (SELECT quantile_cont(c_acctbal, 0.25) AS q1, quantile_cont(c_acctbal, 0.75) AS q3, min(c_acctbal) AS lo, max(c_acctbal) AS hi, count(DISTINCT c_custkey) = count(*) AS keyed FROM customer)
+SELECT 'quality' AS kind, NULL::VARCHAR AS "column", 'down' AS direction, 100.0::DOUBLE AS before, after, round(after - 100, 1) AS pct_change, 85.0::DOUBLE AS score
+FROM s, odd WHERE keyed AND lo >= q1 - 3 * (q3 - q1) AND hi <= q3 + 3 * (q3 - q1)"""
+ORACLES["analysis_report_story"] = f"""WITH {STORY_SQL}, i AS ({story_issues()}), found AS ({story_findings()})
+SELECT 'issue' AS section, kind, split_part(id, ':', 2) AS subject, pct_affected AS value, penalty AS score FROM i
+UNION ALL SELECT 'finding', kind, subject, round(value, 4), round(score, 4) FROM (
+  SELECT *, row_number() OVER (ORDER BY score DESC) AS place FROM (
+    SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score DESC, subject, other) AS k FROM found) WHERE kind != 'relationship' OR k <= 3) WHERE place <= 12"""
+ORACLES["dataset_summaries"] = f"""WITH {STORY_SQL}, {MESSY_SQL}, si AS ({story_issues()}), mi AS ({ALL_ISSUES})
+SELECT added, "table", n_rows, n_cols, archetype, score, {GRADE} AS grade, is_cleaned FROM (
+  SELECT 0::BIGINT AS added, 'story' AS "table", (SELECT count(*) FROM story) AS n_rows, {len(STORY_ALL)}::BIGINT AS n_cols, 'timeseries' AS archetype,
+    round(greatest(0, 100 - sum(penalty)), 1)::DOUBLE AS score, true AS is_cleaned FROM si
+  UNION ALL SELECT 1, 'messy', (SELECT count(*) FROM messy), {N_COLS}, 'tabular', round(greatest(0, 100 - sum(penalty)), 1)::DOUBLE, false FROM mi)"""
+VARIED = " UNION ALL ".join(f"SELECT '{m}' AS m, stddev_samp({m}) / abs(avg({m})) AS v FROM story" for m in STORY_COLUMNS)
+STORY_PAIRS = " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM story" for a in STORY_COLUMNS for b in STORY_COLUMNS if a != b)
+SUMMED = "CASE WHEN m IN ('revenue', 'cost') THEN 'sum' ELSE 'mean' END"
+ORACLES["chart_candidates"] = f"""WITH {STORY_SQL},
+m AS (SELECT m, v, row_number() OVER (ORDER BY m != 'revenue', v DESC) AS i FROM ({VARIED})),
+spread AS (SELECT 'channel' AS c, stddev_samp(a) AS s FROM (SELECT avg(revenue) AS a FROM story GROUP BY channel)
+  UNION ALL SELECT 'grade', stddev_samp(a) FROM (SELECT avg(revenue) AS a FROM story GROUP BY grade)),
+best AS (SELECT arg_max(c, s) AS c FROM spread),
+pair AS (SELECT a, b, r FROM ({STORY_PAIRS}), m x, m y WHERE x.m = a AND y.m = b AND x.i < y.i AND abs(r) <= 0.995 ORDER BY abs(r) DESC LIMIT 1)
+SELECT kind, chart, x, y, agg, round(score, 4) AS score FROM (
+  SELECT 'trend' AS kind, 'line' AS chart, 'order_date' AS x, 'revenue' AS y, 'sum' AS agg, 10 + least(count(DISTINCT order_date::DATE) / 100.0::DOUBLE, 1) AS score FROM story
+  UNION ALL SELECT 'ranking', 'bar', c, 'revenue', 'sum', 9.0 FROM best
+  UNION ALL SELECT 'relationship', 'scatter', a, b, NULL, 6 + 4 * abs(r) FROM pair WHERE abs(r) >= 0.35
+  UNION ALL SELECT 'correlations', 'heatmap', string_agg(m, ',' ORDER BY i), NULL, NULL, 5.5 + least(count(*) / 20.0::DOUBLE, 0.5) FROM m
+  UNION ALL SELECT 'distribution', 'histogram', m, NULL, NULL, 4 + least(v, 2) FROM m WHERE i = 1
+  UNION ALL SELECT 'spread_by_group', 'box', c, 'revenue', NULL, 3.5 FROM best
+  UNION ALL SELECT 'trend_secondary', 'line', 'order_date', m, {SUMMED}, 3 + least(v, 1.5) FROM m WHERE i = 2) ORDER BY score DESC LIMIT 6"""
+
 # ---------------------------------------------------- comparison and what-if --
 HALVES = """
 before_half AS (SELECT * EXCLUDE (o_custkey) FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'),

@@ -94,8 +94,8 @@ def json_records(spark, folder):
 
 @query
 def dataset_summaries(spark, folder):
-    names = ("nation", "customer", "supplier", "part", "orders")
-    return tidy(st.dataset_summary({n: load(spark, folder, n) for n in names}))
+    tables = {"story": story_orders(spark, folder), "messy": messy_customers(spark, folder)}
+    return tidy(st.dataset_summary(tables, cleaned=["story"]))
 
 
 @query
@@ -481,9 +481,14 @@ def health_score_lineitem(spark, folder):
     return tidy(qu.health(load(spark, folder, "lineitem"))[1])
 
 
+@query
+def health_score_story(spark, folder):
+    return tidy(qu.health(story_orders(spark, folder))[1])
+
+
 @query
 def passed_checks(spark, folder):
-    return qu.passed_checks(qu.health_issues(load(spark, folder, "orders")))
+    return qu.passed_checks(qu.health_issues(story_orders(spark, folder)))
 
 
 @query
@@ -658,6 +663,11 @@ def analysis_report(spark, folder):
     return tidy(al.analysis_report(load(spark, folder, "lineitem")))
 
 
+@query
+def analysis_report_story(spark, folder):
+    return tidy(al.analysis_report(story_orders(spark, folder)))
+
+
 # ---------------------------------------------------- comparison and what-if --
 def _halves(spark, folder):
     o = load(spark, folder, "orders")
