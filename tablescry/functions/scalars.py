@@ -153,6 +153,22 @@ def to_stamp(c: Column, data_type: T.DataType) -> Column:
     return F.lit(None).cast("timestamp_ntz")
 
 
+def as_ordinal(c: Column, data_type: T.DataType) -> Column:
+    """A number that grows with the value, whatever the session's time zone.
+
+    Clock changes make zoned casts of local times step back, so a timestamp
+    without zone is counted by its own day and clock.
+    """
+    if is_numeric_type(data_type):
+        return c.cast("double")
+    if isinstance(data_type, T.TimestampType):
+        return c.cast("double")
+    local = c.cast("timestamp_ntz")
+    days = F.datediff(F.to_date(local), F.lit("1970-01-01").cast("date"))
+    clock = F.hour(local) * 3600 + F.minute(local) * 60 + F.extract(F.lit("SECOND"), local)
+    return (days.cast("double") * 86400.0) + clock.cast("double")
+
+
 def pct_change(before: Column, after: Column) -> Column:
     """Percent change on the size of ``before``; null where it has no answer."""
     limit = F.lit(1.7976931348623157e308)

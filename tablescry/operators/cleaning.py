@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescry.functions.names import NotCalculable, resolve_column
-from tablescry.functions.scalars import is_missing_word, is_numeric_type, is_text_type, present, strip_ws, undecorated_number
+from tablescry.functions.scalars import as_ordinal, is_missing_word, is_numeric_type, is_text_type, present, strip_ws, undecorated_number
 from tablescry.operators.aggregates import number_of, outside
 from tablescry.operators.profile import profile_table
 from tablescry.operators.quality import fences, number_markers
@@ -105,7 +105,7 @@ def forward_fill(df: DataFrame, column: str, order_by: str, keys: Sequence[str]
     itself, so no task sees more than one range however long the table is.
     """
     c, o = F.col(f"`{column}`"), F.col(f"`{order_by}`")
-    as_number = o.cast("double") if is_numeric_type(df.schema[order_by].dataType) else o.cast("timestamp").cast("double")
+    as_number = as_ordinal(o, df.schema[order_by].dataType)
     ends = df.select(as_number.alias("o")).agg(
         F.count("*").alias("n"), F.min("o").alias("lo"), F.max("o").alias("hi"),
         F.percentile_approx("o", [i / CHUNKS for i in range(1, CHUNKS)], 10 * CHUNKS).alias("splits"),

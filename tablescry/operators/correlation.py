@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescry.functions.names import NotCalculable, resolve_column
@@ -130,16 +130,10 @@ def relationships(df: DataFrame, measures: list[str], k: int | None = 3, min_r:
     """Pairs at or above ``min_r``, strongest first, with how many there are in all."""
     found = correlation_pairs(df, measures, min_overlap).where(F.abs("r") >= min_r)
     listed = found.select("a", "b", "r", "n", strength(F.col("r")).alias("strength"),
-                          F.count("*").over(_whole()).alias("n_pairs"))
+                          F.count("*").over(Window.partitionBy(F.lit(1))).alias("n_pairs"))
     return listed.orderBy(F.desc(F.abs("r")), "a", "b").limit(k) if k else listed
 
 
-def _whole():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))
-
-
 def best_pair(df: DataFrame, measures: list[str], min_rows: int = 10, too_close: float = 0.995) -> DataFrame:
     """The most correlated pair that is not one measure under two names (0 or 1 row)."""
     return (

@@ -21,6 +21,7 @@ from tablescry.functions.names import ID_NAME_AUDIT, is_identifier, plausible_ra
 from tablescry.functions.scalars import (
     is_numeric_type,
     is_text_type,
+    parse_number,
     present,
     shared_marker,
     strip_ws,
@@ -184,8 +185,6 @@ def numbers_in_text(df: DataFrame, known: TableProfile, columns: Sequence[str])
 
 def mixed_examples(df: DataFrame, column: str, numbers_are_odd: bool, k: int = 3) -> list[str]:
     """The k smallest minority values of a mixed column."""
-    from tablescry.functions.scalars import parse_number
-
     text = strip_ws(F.col(f"`{column}`"))
     number = parse_number(F.regexp_replace(text, r"(?U)[,\s]", ""))
     odd = number.isNotNull() if numbers_are_odd else number.isNull()

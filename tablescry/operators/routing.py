@@ -6,10 +6,9 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tablescry.functions.names import ID_NAME, ID_NAME_AUDIT, ID_NAME_FINDINGS, is_identifier
-from tablescry.functions.scalars import is_text_type, to_number
+from tablescry.functions.names import ID_NAME_AUDIT, ID_NAME_FINDINGS, is_identifier
+from tablescry.functions.scalars import to_number
 from tablescry.operators.profile import TableProfile, profile_table
 
 ROUTING_SCHEMA = "archetype string, time_col string, entity_col string, target_col string, lat_col string, lon_col string"

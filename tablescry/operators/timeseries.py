@@ -28,7 +28,7 @@ def suggest_freq(df: DataFrame, time: str) -> DataFrame:
     """D, W or M from the span of the dates; D for a column without dates."""
     stamp = stamp_of(df, time)
     span = df.agg(F.min(stamp).alias("first"), F.max(stamp).alias("last"))
-    days = F.floor((F.unix_micros(F.col("last").cast("timestamp")) - F.unix_micros(F.col("first").cast("timestamp"))) / F.lit(86_400_000_000))
+    days = F.extract(F.lit("DAY"), F.col("last") - F.col("first"))  # whole days, free of clock changes
     return span.select("first", "last", days.cast("long").alias("span_days")).withColumn(
         "freq", F.when(F.col("span_days").isNull(), "D").otherwise(_days_to_freq(F.col("span_days")))
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescry.functions.scalars import present
+from tablescry.functions.scalars import present, strip_ws
 
 
 def as_text(df: DataFrame, name: str) -> Column:
@@ -21,8 +21,6 @@ def value_counts(df: DataFrame, columns: Sequence[str], strip: bool = False) ->
     table travels once per task. ``strip`` counts values without the white
     space around them.
     """
-    from tablescry.functions.scalars import strip_ws
-
     wanted = [as_text(df, name) for name in columns]
     if strip:
         wanted = [strip_ws(value) for value in wanted]

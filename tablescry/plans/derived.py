@@ -7,6 +7,7 @@ views add them row by row from the keys, in place, over the whole table.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +21,6 @@ def scratch_folder(spark: SparkSession) -> str:
     """A fresh folder below the shared one; a temporary one only without any."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        import uuid
-
         return f"{shared.rstrip('/')}/tablescry-{uuid.uuid4().hex}"
     return tempfile.mkdtemp(prefix="tablescry-")
 

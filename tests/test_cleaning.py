@@ -1,6 +1,5 @@
 import pytest
 import samples
-from pyspark.sql import functions as F
 
 from tablescry.operators import cleaning as cl, quality as qu
 
@@ -106,3 +105,18 @@ def test_forward_fill_against_brute_force(spark, monkeypatch, chunks, rows_each)
     assert len(filled) == 203 and {(None, 1, 5.0), (900, None, 2.0), (901, None, 2.0)} <= filled
     expected = sorted(row for key in range(4) for row in brute([d for d in data if d[1] == key]))
     assert sorted(map(tuple, cl.forward_fill(df, "v", "i", ["k"]).collect())) == expected
+
+
+def test_fill_by_time_across_a_clock_change(spark):
+    from datetime import datetime, timedelta
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        start = datetime(2024, 3, 9, 20)
+        data = [(start + timedelta(minutes=15 * i), float(i) if i % 5 == 0 else None) for i in range(60)]
+        df = spark.createDataFrame(data, "t timestamp_ntz, v double").repartition(4)
+        got = [(r["t"], r["v"]) for r in cl.forward_fill(df, "v", "t").orderBy("t").collect()]
+        assert got == [(t, float(i - i % 5)) for i, (t, _) in enumerate(data)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
