@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tablescry.llm.common import code_points, held_out, sums_between, text_slices
 from tablescry.plans.derived import load
+from tablescry.session import cut_lineage
 
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 15
@@ -98,7 +99,7 @@ def _counter(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 def train(docs: DataFrame, bits: int = BUCKET_BITS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log-probabilities (languages x buckets) and log-priors from all rows with text and lang."""
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"))
-    summed = known.mapInArrow(_counter(bits), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    summed = cut_lineage(known.mapInArrow(_counter(bits), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
     found = summed.groupBy("lang").agg(F.max("bucket")).count()
     if found << bits > MAX_MODEL_CELLS:
         raise ValueError(f"{found} languages x {1 << bits} buckets is more than the broadcast model may hold")
