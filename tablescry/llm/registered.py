@@ -5,14 +5,16 @@ from __future__ import annotations
 from tablescry.llm.decontaminate import op4_decontaminate
 from tablescry.llm.language_id import op6_language_id
 from tablescry.llm.line_dedup import OP9_SQL, op9_line_dedup
+from tablescry.llm.mixing import OP3_SQL, op3_mixing
 from tablescry.llm.quality import op10_quality
 from tablescry.llm.token_output import op8_token_output
 
 QUERIES = {
+    "op3_mixing": op3_mixing,
     "op4_decontaminate": op4_decontaminate,
     "op6_language_id": op6_language_id,
     "op8_token_output": op8_token_output,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {"op9_line_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL, "op9_line_dedup": OP9_SQL}
