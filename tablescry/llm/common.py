@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 1 << 14
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 MULTIPLIER = 0x9E3779B97F4A7C15
 WORD_MASK = (1 << 64) - 1
@@ -23,7 +23,7 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges of a text column with their bytes and offsets: (first row, end row, bytes, offsets).
 
-    Null is empty. A range ends when it holds ``limit`` bytes; a longer text is a range of its own.
+    Null is empty. A range ends when it holds ``limit`` bytes or SLICE_ROWS rows; a longer text is a range of its own.
     """
     whole = column.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
@@ -32,7 +32,7 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
     first = 0
     while first < len(whole):
         end = int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1
-        end = min(max(end, first + 1), len(whole))
+        end = min(max(end, first + 1), first + SLICE_ROWS, len(whole))
         yield first, end, data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
         first = end
 

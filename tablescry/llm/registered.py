@@ -6,6 +6,7 @@ from tablescry.llm.decontaminate import op4_decontaminate
 from tablescry.llm.language_id import op6_language_id
 from tablescry.llm.line_dedup import OP9_SQL, op9_line_dedup
 from tablescry.llm.mixing import OP3_SQL, op3_mixing
+from tablescry.llm.near_dup import op7_near_dup
 from tablescry.llm.quality import op10_quality
 from tablescry.llm.token_output import op8_token_output
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_decontaminate": op4_decontaminate,
     "op6_language_id": op6_language_id,
+    "op7_near_dup": op7_near_dup,
     "op8_token_output": op8_token_output,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,
