@@ -8,9 +8,11 @@ from tablescry.llm.line_dedup import OP9_SQL, op9_line_dedup
 from tablescry.llm.mixing import OP3_SQL, op3_mixing
 from tablescry.llm.near_dup import op7_near_dup
 from tablescry.llm.quality import op10_quality
+from tablescry.llm.substring_dedup import op2_substring_dedup
 from tablescry.llm.token_output import op8_token_output
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_mixing": op3_mixing,
     "op4_decontaminate": op4_decontaminate,
     "op6_language_id": op6_language_id,
