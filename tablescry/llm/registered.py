@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tablescry.llm.decontaminate import op4_decontaminate
+from tablescry.llm.exact_search import OP5_SQL, op5_exact_search
 from tablescry.llm.language_id import op6_language_id
 from tablescry.llm.line_dedup import OP9_SQL, op9_line_dedup
 from tablescry.llm.mixing import OP3_SQL, op3_mixing
@@ -15,10 +16,11 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_mixing": op3_mixing,
     "op4_decontaminate": op4_decontaminate,
+    "op5_exact_search": op5_exact_search,
     "op6_language_id": op6_language_id,
     "op7_near_dup": op7_near_dup,
     "op8_token_output": op8_token_output,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL, "op9_line_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL, "op5_exact_search": OP5_SQL, "op9_line_dedup": OP9_SQL}
