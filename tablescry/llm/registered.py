@@ -6,6 +6,7 @@ from tablescry.llm.decontaminate import op4_decontaminate
 from tablescry.llm.exact_search import OP5_SQL, op5_exact_search
 from tablescry.llm.language_id import op6_language_id
 from tablescry.llm.line_dedup import OP9_SQL, op9_line_dedup
+from tablescry.llm.lm_scoring import op1_lm_scoring
 from tablescry.llm.mixing import OP3_SQL, op3_mixing
 from tablescry.llm.near_dup import op7_near_dup
 from tablescry.llm.quality import op10_quality
@@ -13,6 +14,7 @@ from tablescry.llm.substring_dedup import op2_substring_dedup
 from tablescry.llm.token_output import op8_token_output
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_mixing": op3_mixing,
     "op4_decontaminate": op4_decontaminate,
