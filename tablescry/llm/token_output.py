@@ -11,8 +11,10 @@ Spark in the order asked for. ``part`` and ``number`` order the blocks, ``before
 the tokens before the block within its part. Only the totals by part are needed for
 absolute positions, so no task sees more than one row for each part.
 
-Encoding keeps the ids of white-space separated pieces: the tokenizer drops white space
-and joins nothing across it, so a text's ids are those of its pieces in a row.
+Encoding keeps the ids of frequent pieces: the tokenizer drops white space and joins nothing
+across it, so a text's ids are those of its pieces in a row. In texts of Latin letters without
+apostrophes and special tokens, which it lower-cases, runs of letters and of other characters
+are such pieces too.
 
 Defined cases: null is an empty text, which has the end id alone; null ids come first;
 repeated rows are written again, ordered by their texts; an empty table has no blocks.
@@ -36,16 +38,28 @@ from tablescry.plans.derived import load, scratch_folder
 BLOCK_TOKENS = 1 << 18
 END_ID = 1
 STRIDE = 512
-CACHED_PIECES = 250_000
+CACHED_PIECES = 400_000
 TOKENIZER = "word_bpe_49k.json"
 BLOCK_SCHEMA = (
     "part long, number long, before long, n long, doc_ids array<long>, lengths array<long>, levels array<binary>, marks array<binary>, ranks array<binary>"
 )
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-_WORD_AND_MARK = re.compile(r"([a-zß-öø-ÿœ]+)([.,!?*#$%&|]+)")
+_SEPARATED = re.compile(r"[ \n\t\r]+")
+_RUNS = re.compile("[a-zªµºß-öø-ÿ]+|[^a-zªµºß-öø-ÿ \n\t\r]+".encode("latin-1"))
+_LATIN_LOWER = bytes(ord(chr(c).lower()) for c in range(256))
 _KNOWN: dict[str, dict] = {}
 
 
+def _latin_pieces(text: str) -> list[bytes] | None:
+    """Runs of lower-cased letters and of other characters of a plain Latin text; None for any other text."""
+    if "'" in text or "<|" in text:
+        return None
+    try:
+        return _RUNS.findall(text.encode("latin-1").translate(_LATIN_LOWER))
+    except UnicodeEncodeError:
+        return None
+
+
 class PieceEncoder:
     """Ids of texts, by the tokenizers library, with the ids of frequent pieces at hand."""
 
@@ -55,22 +69,26 @@ class PieceEncoder:
 
         self.tokenizer, self.known, self.most = Tokenizer.from_file(path), _KNOWN.setdefault(path, {}), known_pieces
 
-    def _learn(self, pieces: list[str]) -> None:
-        """A word and the marks behind it never share a token, so they are looked up apart."""
-        split = {p: m.groups() for p in pieces if (m := _WORD_AND_MARK.fullmatch(p))}
-        new = list(dict.fromkeys(x for p in pieces for x in split.get(p, (p,)) if x not in self.known))
-        for piece, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+    def _learn(self, pieces: list[str | bytes]) -> None:
+        rest = []
+        for piece in pieces:
+            if isinstance(piece, bytes) and piece.isalpha():  # ASCII: the steps before the merges leave it as it is
+                self.known[piece] = np.array([t.id for t in self.tokenizer.model.tokenize(piece.decode())], "<u4").tobytes()
+            else:
+                rest.append(piece)
+        texts = [p.decode("latin-1") if isinstance(p, bytes) else p for p in rest]
+        for piece, code in zip(rest, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             self.known[piece] = np.array(code.ids, "<u4").tobytes()
-        for piece, (word, mark) in split.items():
-            self.known[piece] = self.known[word] + self.known[mark]
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian 32-bit numbers."""
-        pieces = (text or "").replace("\n", " ").replace("\t", " ").split(" ")
+        pieces = _latin_pieces(text or "")
+        if pieces is None:
+            pieces = _SEPARATED.split(text)
         if len(self.known) > self.most:
             self.known.clear()
-        if new := [p for p in dict.fromkeys(pieces) if p not in self.known]:
-            self._learn(new)
+        if new := set(pieces).difference(self.known):
+            self._learn(list(new))
         return b"".join(map(self.known.__getitem__, pieces))
 
 
@@ -152,12 +170,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, order: list[
     ordered.mapInArrow(_block_writer(tokenizer_path, end_id, block_tokens), BLOCK_SCHEMA).write.parquet(folder)
 
 
-def read_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """The blocks of a file with ``start``, the number of tokens before each."""
-    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(folder)
-    parts = blocks.groupBy("part").agg(F.sum("n").alias("part_n"))  # a row for each part of the file
-    so_far = F.sum("part_n").over(_in_order("part")) - F.col("part_n")
-    return blocks.join(parts.select("part", so_far.alias("part_start")), "part").withColumn("start", F.col("part_start") + F.col("before"))
+def part_starts(spark: SparkSession, folder: str) -> DataFrame:
+    """(part, part_start): the number of tokens before each part of a file, a row for each part."""
+    parts = spark.read.schema(BLOCK_SCHEMA).parquet(folder).groupBy("part").agg(F.sum("n").alias("part_n"))
+    return parts.select("part", (F.sum("part_n").over(_in_order("part")) - F.col("part_n")).alias("part_start"))
 
 
 def _in_order(column: str):
@@ -168,27 +184,30 @@ def _in_order(column: str):
 
 def _documents_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start, docs, lengths, levels, marks in zip(*(batch[c].to_pylist() for c in ("start", "doc_ids", "lengths", "levels", "marks")), strict=True):
+        for part, before, docs, lengths, levels, marks in zip(*(batch[c].to_pylist() for c in ("part", "before", "doc_ids", "lengths", "levels", "marks")), strict=True):
             data = unpack(levels, marks).astype("<u4").tobytes()
             ends = np.cumsum(lengths)
             sums = [zlib.crc32(data[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths, strict=True)]
             yield pa.record_batch({
-                "doc_id": pa.array(docs, pa.int64()), "start": pa.array(start + ends - lengths, pa.int64()),
-                "n_tokens": pa.array(lengths, pa.int64()), "ids_crc32": pa.array(sums, pa.int64()),
+                "part": pa.array([part] * len(docs), pa.int64()), "before": pa.array(before + ends - lengths, pa.int64()),
+                "doc_id": pa.array(docs, pa.int64()), "n_tokens": pa.array(lengths, pa.int64()), "ids_crc32": pa.array(sums, pa.int64()),
             })
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Each document of a file with its place, length and the check sum of its ids."""
-    blocks = read_blocks(spark, folder).select("start", "doc_ids", "lengths", "levels", "marks")
-    return blocks.mapInArrow(_documents_in, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(folder).select("part", "before", "doc_ids", "lengths", "levels", "marks")
+    found = blocks.mapInArrow(_documents_in, "part long, before long, doc_id long, n_tokens long, ids_crc32 long")
+    placed = found.join(part_starts(spark, folder), "part")
+    return placed.select("doc_id", (F.col("part_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def tokens_at(spark: SparkSession, folder: str, places: list[int]) -> DataFrame:
     """The ids at these places of the whole file: (place, id); places outside have no row."""
-    blocks = read_blocks(spark, folder)
-    wanted = spark.createDataFrame([(p,) for p in places], "place long")
-    near = blocks.join(F.broadcast(wanted), (F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + F.col("n")))
+    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(folder).join(part_starts(spark, folder), "part")
+    start = F.col("part_start") + F.col("before")
+    wanted = F.filter(F.array(*[F.lit(p).cast("long") for p in places]), lambda p: (p >= start) & (p < start + F.col("n")))
+    near = blocks.select(F.explode(wanted).alias("place"), start.alias("start"), "levels", "marks", "ranks")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +215,7 @@ def tokens_at(spark: SparkSession, folder: str, places: list[int]) -> DataFrame:
             found = [token_at(r["levels"], r["marks"], r["ranks"], r["place"] - r["start"]) for r in rows]
             yield pa.record_batch({"place": pa.array([r["place"] for r in rows], pa.int64()), "id": pa.array(found, pa.int64())})
 
-    return near.select("place", "start", "levels", "marks", "ranks").mapInArrow(pick, "place long, id long")
+    return near.mapInArrow(pick, "place long, id long")
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
