@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,6 +85,11 @@ def plausible_range(name: str) -> tuple[float | None, float | None] | None:
     return None
 
 
+def columns_of(names: Iterable[str]) -> list[Column]:
+    """The columns of these names, dots and all."""
+    return [F.col(f"`{name}`") for name in names]
+
+
 def normalised_name(name: str) -> str:
     return re.sub(r"[ -]", "_", str(name).strip().lower())
 

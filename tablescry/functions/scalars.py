@@ -65,14 +65,15 @@ def variant_key(c: Column) -> Column:
 
 
 def parse_number(text: Column) -> Column:
-    return F.when(text.rlike(NUMBER_SHAPE), text.try_cast("double"))
+    value = text.try_cast("double")
+    return F.when(text.rlike(NUMBER_SHAPE) & (F.abs(value) < float("inf")), value)
 
 
 def to_number(c: Column, data_type: T.DataType) -> Column:
-    """Number or null. NaN counts as missing; dates are not numbers."""
+    """Number or null. NaN and the infinities count as missing; dates are not numbers."""
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
         value = c.cast("double")
-        return F.when(~F.isnan(value), value)
+        return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
     if is_numeric_type(data_type) or isinstance(data_type, T.BooleanType):
         return c.cast("double")
     if is_text_type(data_type):

@@ -18,9 +18,7 @@ from tablescry.functions.scalars import is_numeric_type, percent, present, strip
 from tablescry.operators.profile import TableProfile, kind_counts, profile_table
 from tablescry.operators.quantiles import exact_quantiles, quantile_rows
 from tablescry.operators.routing import chart_categories, chart_measures, route_profile
-from tablescry.operators.value_counts import category_counts, value_counts
-
-MAX_GROUPS_LISTED = 25
+from tablescry.operators.value_counts import category_counts, unpivoted, value_counts
 
 
 def number_of(df: DataFrame, name: str) -> Column:
@@ -83,10 +81,10 @@ def grouped_summary(df: DataFrame, group: str, measure: str, agg: str = "mean")
 def rank_groups(
     df: DataFrame, group: str, measure: str, agg: str = "mean", n: int = 10, order: str = "top"
 ) -> DataFrame:
-    """The n highest or lowest groups on a measure; ties go to the smaller group name."""
+    """The n highest or lowest groups on a measure with the number of groups; ties go to the smaller group name."""
     group = resolve_column(df, group, "the grouping")
     measure = resolve_column(df, measure, "the measure")
-    n = max(1, min(MAX_GROUPS_LISTED, int(n)))
+    n = max(1, int(n))
     ascending = str(order).lower() in ("bottom", "lowest", "worst", "asc")
     summary = grouped_summary(df, group, measure, aggregate_name(agg))
     by = F.asc("value") if ascending else F.desc("value")
@@ -260,9 +258,7 @@ def segments(df: DataFrame, categories: list[str], target: str, min_rows: int =
     count, and a category is reported when its best group is at least
     ``min_gap_pct`` away from the mean.
     """
-    stacked = df.select(number_of(df, target).alias("_v"), *[F.col(f"`{c}`").cast("string").alias(c) for c in categories]).unpivot(
-        ["_v"], categories, "category", "value"
-    )
+    stacked = unpivoted(df, {c: F.col(f"`{c}`").cast("string") for c in categories}, {"_v": number_of(df, target)}, "category")
     groups = stacked.groupBy("category", "value").agg(
         F.avg("_v").alias("mean"), F.sum("_v").alias("total"), F.count("_v").alias("n")
     )

@@ -14,7 +14,7 @@ from tablescry.operators.routing import Routing, best_category, chart_categories
 from tablescry.operators.timeseries import resample
 
 BINS = 30
-MAX_BARS, DEFAULT_BARS, BOX_GROUPS, SCATTER_POINTS, MAX_CHARTS = 20, 12, 8, 4000, 6
+DEFAULT_BARS, BOX_GROUPS, SCATTER_POINTS, MAX_CHARTS = 12, 8, 4000, 6
 SCATTER_MIN_R, GRID_MIN_COLUMNS = 0.35, 3
 
 
@@ -23,8 +23,7 @@ def line_data(df: DataFrame, time: str, measure: str, agg: str = "mean", freq: s
 
 
 def bar_data(df: DataFrame, group: str, measure: str, agg: str = "mean", limit: int = DEFAULT_BARS, ascending: bool = False) -> DataFrame:
-    n = max(1, min(MAX_BARS, int(limit)))
-    return rank_groups(df, group, measure, agg, n, "bottom" if ascending else "top").select("group", "value", "rows")
+    return rank_groups(df, group, measure, agg, limit, "bottom" if ascending else "top").select("group", "value", "rows")
 
 
 def histogram(df: DataFrame, measure: str, bins: int = BINS) -> DataFrame:
@@ -47,7 +46,7 @@ def histogram(df: DataFrame, measure: str, bins: int = BINS) -> DataFrame:
 def box_stats(df: DataFrame, group: str, measure: str, k: int = BOX_GROUPS) -> DataFrame:
     """Quartiles, whiskers at 1.5 quartile ranges and outlier counts of the k largest groups."""
     usable, _ = drop_unusable(df, {"group": F.col(f"`{group}`").cast("string"), "v": number_of(df, measure)})
-    kept = keep_top_values(usable, "group", max(1, min(MAX_BARS, int(k))))
+    kept = keep_top_values(usable, "group", max(1, int(k)))
     quartiles = exact_quantiles(kept, ["group"], [0.25, 0.5, 0.75]).groupBy("group").agg(
         F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q25"),
         F.max(F.when(F.col("p") == 0.5, F.col("q"))).alias("median"),
@@ -56,7 +55,7 @@ def box_stats(df: DataFrame, group: str, measure: str, k: int = BOX_GROUPS) -> D
     reach = 1.5 * (F.col("q75") - F.col("q25"))
     inside = (F.col("v") >= F.col("q25") - reach) & (F.col("v") <= F.col("q75") + reach)
     return (
-        kept.join(F.broadcast(quartiles), "group")  # at most twenty groups
+        kept.join(F.broadcast(quartiles), "group")  # k groups
         .groupBy("group", "q25", "median", "q75")
         .agg(
             F.count("*").alias("rows"),

@@ -16,7 +16,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescry.functions.names import NotCalculable, resolve_column
+from tablescry.functions.names import NotCalculable, columns_of, resolve_column
 from tablescry.functions.scalars import as_ordinal, is_missing_word, is_numeric_type, is_text_type, present, strip_ws, undecorated_number
 from tablescry.operators.aggregates import number_of, outside
 from tablescry.operators.profile import profile_table
@@ -126,15 +126,15 @@ def forward_fill(df: DataFrame, column: str, order_by: str, keys: Sequence[str]
         }).drop("_bucket")
     place = ["_chunk", "_part"]
     known = F.when(c.isNotNull(), F.struct(o.alias("o"), c.alias("v")))
-    reported = ordered.groupBy(*keys, *place).agg(F.max(known)["v"].alias("_last"), F.min(known)["v"].alias("_first"))
-    along = Window.partitionBy(*(keys or [F.lit(1)])).orderBy(*place)  # a row per range
-    back = Window.partitionBy(*(keys or [F.lit(1)])).orderBy(*[F.desc(p) for p in place])
+    reported = ordered.groupBy(*columns_of(keys), *place).agg(F.max(known)["v"].alias("_last"), F.min(known)["v"].alias("_first"))
+    along = Window.partitionBy(*(columns_of(keys) or [F.lit(1)])).orderBy(*place)  # a row per range
+    back = Window.partitionBy(*(columns_of(keys) or [F.lit(1)])).orderBy(*[F.desc(p) for p in place])
     carried = reported.select(
-        *keys, *place, F.col("_first").alias("_own"),
+        *columns_of(keys), *place, F.col("_first").alias("_own"),
         F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_above"),
         F.last("_first", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("_below"),
     )
-    within = Window.partitionBy(*keys, *place).orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*columns_of(keys), *place).orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
     # Only rows before the first known value of all are left to fill from below.
     filled = F.coalesce(F.last(c, ignorenulls=True).over(within), "_above", "_own", "_below")
     # Null keys are a group too, so they must meet in the join.

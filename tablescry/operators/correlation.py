@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tablescry.functions.names import NotCalculable, resolve_column
 from tablescry.operators.aggregates import number_of
 
-MAX_COLUMNS = 12
 STRONG, CLEAR, WEAK = 0.75, 0.5, 0.3
 
 
@@ -44,14 +43,13 @@ def _moments(width: int, centres: list[float]):
     return products
 
 
-def correlation_pairs(df: DataFrame, columns: list[str], min_overlap: int = 1, limit: int | None = MAX_COLUMNS) -> DataFrame:
-    """(a, b, r, n) for every pair of at most twelve columns; r is null for a constant.
+def correlation_pairs(df: DataFrame, columns: list[str], min_overlap: int = 1) -> DataFrame:
+    """(a, b, r, n) for every pair of columns; r is null for a constant.
 
     One pass for the means, one for all pairs together: each task reduces its
     rows to four small matrices, and only those are shuffled. Centring on the
     means keeps the sums from cancelling.
     """
-    columns = columns[:limit]
     width = len(columns)
     spark = df.sparkSession
     if width < 2:
@@ -83,7 +81,7 @@ def correlation_pairs(df: DataFrame, columns: list[str], min_overlap: int = 1, l
         return F.when(variance > noise, variance)
 
     covariance = F.try_divide(F.col("xy") - F.try_divide(F.col("x") * F.col("y"), F.col("n")), F.col("n"))
-    r = F.try_divide(covariance, F.sqrt(spread("xx", "x", "left") * spread("yy", "y", "right")))
+    r = F.nullif(F.try_divide(covariance, F.sqrt(spread("xx", "x", "left") * spread("yy", "y", "right"))), F.lit(float("nan")))
     return sums.select(
         F.get(names, F.col("left").cast("int")).alias("a"),
         F.get(names, F.col("right").cast("int")).alias("b"),
@@ -105,8 +103,8 @@ def correlation_matrix(df: DataFrame, columns: list[str], min_overlap: int = 1)
             F.lit(c).alias("a"), F.lit(c).alias("b"),
             F.when(F.stddev_pop(number_of(df, c)) > 0, 1.0).alias("r"), F.count(number_of(df, c)).alias("n"),
         ).alias(f"d{i}")
-        for i, c in enumerate(columns[:MAX_COLUMNS])
-    ]).select(F.explode(F.array(*[F.col(f"d{i}") for i in range(len(columns[:MAX_COLUMNS]))])).alias("p")).select("p.*")
+        for i, c in enumerate(columns)
+    ]).select(F.explode(F.array(*[F.col(f"d{i}") for i in range(len(columns))])).alias("p")).select("p.*")
     return mirrored.unionByName(own.where("r is not null"))
 
 

@@ -51,7 +51,7 @@ def _aggregates(name: str, data_type: T.DataType, audit: bool) -> dict[str, Colu
         "approx_distinct": F.approx_count_distinct(value, 0.05),
     }
     if audit:
-        wanted["fingerprint"] = F.bit_xor(F.xxhash64(value))
+        wanted["fingerprint"] = F.sum(F.xxhash64(value).cast("decimal(20,0)"))
     if is_numeric_type(data_type):
         number = to_number(c, data_type)
         wanted |= {
@@ -94,15 +94,13 @@ def _text_questions(audit: bool) -> dict[str, Column]:
     def rows_where(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
 
-    total, square = F.sum(number * n), F.sum(number * number * n)
     count = F.sum(F.when(number.isNotNull(), n))
     wanted = {
         "n_date_like": rows_where(begins_like_a_date(F.col("text"))),
         "n_numbers": rows_where(number.isNotNull()),
         "min": F.min(number),
         "max": F.max(number),
-        "mean": F.try_divide(total, count),
-        "std": F.when(count > 1, F.sqrt(F.greatest(F.try_divide(square - F.try_divide(total * total, count), count - 1), F.lit(0.0)))),
+        "mean": F.try_divide(F.sum(number * n), count),
     }
     if audit:
         text = F.col("text")
@@ -131,6 +129,13 @@ def _readings(values: DataFrame, audit: bool) -> DataFrame:
     return values.withColumns(readings)
 
 
+def _spread_questions(means: dict[str, float]) -> dict[str, Column]:
+    """Standard deviation around means that are known, so nothing cancels."""
+    mean = F.coalesce(*[F.when(F.col("column") == c, F.lit(m)) for c, m in means.items()])
+    count = F.sum(F.when(F.col("number").isNotNull(), F.col("n")))
+    return {"std": F.when(count > 1, F.sqrt(F.try_divide(F.sum(F.pow(F.col("number") - mean, 2) * F.col("n")), count - 1)))}
+
+
 def _date_questions() -> dict[str, Column]:
     plausible = F.year("stamp").between(1900, 2100)
     return {
@@ -155,7 +160,7 @@ def _ask(df: DataFrame, columns: list[str], counts: DataFrame | None, questions:
     parts = []
     for name in columns:
         if name not in found:
-            values = df.select(F.col(f"`{name}`").alias("value"), F.lit(1).cast("long").alias("n")).where("value is not null")
+            values = df.select(F.lit(name).alias("column"), F.col(f"`{name}`").alias("value"), F.lit(1).cast("long").alias("n")).where("value is not null")
             parts.append(readings(values).agg(*wanted).select(F.lit(name).alias("column"), "*"))
     if parts:
         for row in reduce(DataFrame.unionByName, parts).collect():
@@ -172,5 +177,7 @@ def text_facts(df: DataFrame, columns: dict[str, int], counts: DataFrame | None,
     found = _ask(df, list(columns), counts, _text_questions(audit), lambda v: _readings(v, audit))
     likely = [c for c, n_values in columns.items() if n_values and found[c]["n_date_like"] >= DATE_SHARE * n_values]
     dated = _ask(df, likely, counts, _date_questions(), lambda v: v.withColumn("stamp", parse_stamp(F.col("value"))))
-    none = {"n_dates": 0, "min_date": None, "max_date": None}
-    return {c: found[c] | dated.get(c, none) for c in columns}
+    means = {c: float(found[c]["mean"]) for c in columns if (found[c]["n_numbers"] or 0) > 1}
+    spread = _ask(df, list(means), counts, _spread_questions(means), lambda v: v.withColumn("number", parse_number(strip_ws(F.col("value"))))) if means else {}
+    none = {"n_dates": 0, "min_date": None, "max_date": None, "std": None}
+    return {c: none | found[c] | dated.get(c, {}) | spread.get(c, {}) for c in columns}

@@ -16,7 +16,6 @@ from tablescry.operators.routing import Routing, finding_categories, finding_mea
 from tablescry.operators.timeseries import forecast_readiness, trends
 
 MAX_FINDINGS = 12
-TREND_MEASURES = 6
 MAX_POINTS = 5
 
 FINDING_COLUMNS = ("kind", "subject", "other", "direction", "value", "baseline", "comparison", "n", "score")
@@ -45,7 +44,7 @@ def all_findings(
     found = [df.sparkSession.createDataFrame([], FINDING_SCHEMA)]
 
     if roles.time_col and measures:
-        t = trends(df, roles.time_col, measures[:TREND_MEASURES])
+        t = trends(df, roles.time_col, measures)
         found.append(_as_findings(
             t, "trend", subject=F.col("measure"), other=F.lit(roles.time_col), direction=F.col("direction"),
             value=F.col("change_pct"), baseline=F.col("start_average"), comparison=F.col("end_average"),
@@ -66,7 +65,7 @@ def all_findings(
         ))
     if measures and categories and target:
         chosen = target if target in measures else measures[0]
-        s = segments(df, categories[:2], chosen)
+        s = segments(df, categories, chosen)
         found.append(_as_findings(
             s, "segment", subject=F.col("best_group"), other=F.col("category"), direction=F.lit("above"),
             value=F.col("gap_pct"), baseline=F.col("overall_average"), comparison=F.col("best_average"),

@@ -16,7 +16,7 @@ from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegre
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescry.functions.names import NotCalculable, resolve_column
+from tablescry.functions.names import NotCalculable, columns_of, resolve_column
 from tablescry.operators.timeseries import resample
 from tablescry.session import cut_lineage
 
@@ -28,7 +28,7 @@ TREES, SEED, DEPTH = 100, 42, 8
 
 
 def _order(keys: Sequence[str]):
-    return Window.partitionBy(*(keys or [F.lit(1)])).orderBy("period")
+    return Window.partitionBy(*(columns_of(keys) or [F.lit(1)])).orderBy("period")
 
 
 def daily_series(df: DataFrame, time: str, target: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -59,14 +59,14 @@ def lag_features(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def chrono_split(features: DataFrame, keys: Sequence[str] = (), train_share: float = TRAIN_SHARE) -> DataFrame:
     """Flag the first 80 % of the days, in time order, as training days."""
-    part = Window.partitionBy(*(keys or [F.lit(1)]))
+    part = Window.partitionBy(*(columns_of(keys) or [F.lit(1)]))
     n = F.count("*").over(part)
     return features.withColumn("is_train", F.row_number().over(_order(keys)) <= F.floor(n * F.lit(train_share)))
 
 
 def naive_baseline(split: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Error of predicting yesterday's value over the test days."""
-    return split.groupBy(*keys).agg(
+    return split.groupBy(*columns_of(keys)).agg(
         F.avg(F.when(~F.col("is_train"), F.abs(F.col("y") - F.col("lag_1")))).alias("baseline_mae"),
         F.count_if(F.col("is_train")).alias("n_train"),
         F.count_if(~F.col("is_train")).alias("n_test"),

@@ -31,7 +31,7 @@ from tablescry.functions.scalars import (
 from tablescry.operators.aggregates import number_of, outside
 from tablescry.operators.profile import SMALL_VOCABULARY, TableProfile, profile_table
 from tablescry.operators.quantiles import quantile_table
-from tablescry.operators.value_counts import value_counts
+from tablescry.operators.value_counts import unpivoted, value_counts
 
 # What a kind of issue can cost at most.
 PENALTY_CEILING = {
@@ -100,7 +100,10 @@ def row_fingerprint(df: DataFrame) -> list[Column]:
     Nulls leave a hash unchanged, so a mask of the nulls is hashed along;
     without it (null, 'a') and ('a', null) would look alike.
     """
-    columns = [present(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    columns = [
+        F.array_sort(F.map_entries(F.col(f"`{f.name}`"))) if isinstance(f.dataType, T.MapType) else present(F.col(f"`{f.name}`"), f.dataType)
+        for f in df.schema.fields
+    ]
     mask = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in columns])
     return [
         F.xxhash64(F.lit(1), mask, *columns).alias("_h1"),
@@ -129,24 +132,21 @@ def duplicate_column_pairs(df: DataFrame, known: TableProfile) -> list[tuple[str
     Equal type, null count and hash total only nominate a pair; one more pass
     over just the nominated columns compares the values themselves.
     """
-    nominated: list[tuple[str, str]] = []
-    first_with: dict[tuple, list[str]] = {}
+    alike: dict[tuple, list[str]] = {}
     for c in known.columns:
         facts = known.facts.columns[c["column"]]
-        token = (c["dtype"], facts["n_null"], facts["fingerprint"])
-        for earlier in first_with.get(token, []):
-            nominated.append((c["column"], earlier))
-        first_with.setdefault(token, []).append(c["column"])
-    if not nominated:
-        return []
-    row = df.agg(*[
-        F.bool_and(F.col(f"`{a}`").eqNullSafe(F.col(f"`{b}`"))).alias(f"e{i}") for i, (a, b) in enumerate(nominated)
-    ]).first()
-    confirmed: dict[str, str] = {}
-    for i, (column, earlier) in enumerate(nominated):
-        if row[f"e{i}"] and column not in confirmed and earlier not in confirmed:
-            confirmed[column] = earlier
-    return list(confirmed.items())
+        alike.setdefault((c["dtype"], facts["n_null"], facts["fingerprint"]), []).append(c["column"])
+    groups, confirmed = [g for g in alike.values() if len(g) > 1], {}
+    while groups:  # each column meets its group's first; those that differ from it make the next group
+        nominated = [(column, group[0]) for group in groups for column in group[1:]]
+        row = df.agg(*[
+            F.bool_and(F.col(f"`{a}`").eqNullSafe(F.col(f"`{b}`"))).alias(f"e{i}") for i, (a, b) in enumerate(nominated)
+        ]).first()
+        equal = {pair for i, pair in enumerate(nominated) if row[f"e{i}"]}
+        confirmed |= dict(equal)
+        rest = [[column for column in group[1:] if (column, group[0]) not in equal] for group in groups]
+        groups = [g for g in rest if len(g) > 1]
+    return [(c["column"], confirmed[c["column"]]) for c in known.columns if c["column"] in confirmed]
 
 
 # ------------------------------------------------------------ text vs number --
@@ -203,15 +203,11 @@ def spelling_variants(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _variants(counts: DataFrame) -> DataFrame:
-    per_column = Window.partitionBy("column")
-    per_key = Window.partitionBy("column", "key")
-    ranked = per_key.orderBy(F.desc("n"), "value")
+    sizes = counts.groupBy("column").agg(F.count("*").alias("vocabulary")).where(F.col("vocabulary").between(2, MAX_VARIANT_VOCABULARY))
+    keyed = counts.join(F.broadcast(sizes.select("column")), "column").withColumn("key", variant_key(F.col("value"))).where("key != ''")  # a row for each column
+    spelled = keyed.groupBy("column", "key").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("canonical"), F.count("*").alias("spellings"))
     return (
-        counts.withColumn("vocabulary", F.count("*").over(per_column))
-        .where((F.col("vocabulary") > 1) & (F.col("vocabulary") <= MAX_VARIANT_VOCABULARY))
-        .withColumn("key", variant_key(F.col("value")))
-        .where("key != ''")
-        .withColumn("canonical", F.first("value").over(ranked))
+        keyed.join(spelled.where("spellings > 1").drop("spellings"), ["column", "key"])
         .where("value != canonical")
         .select("column", "key", F.col("value").alias("variant"), "canonical", "n")
     )
@@ -270,7 +266,7 @@ def worst_outliers(df: DataFrame, key: Sequence[str], measures: Sequence[str], k
         [(m, b["low"], b["high"], b["median"]) for m, b in bounds.items()],
         "measure string, low double, high double, median double",
     )
-    values = df.select(*keys, *[number_of(df, m).alias(m) for m in bounds]).unpivot(list(key), list(bounds), "measure", "value")
+    values = unpivoted(df, {m: number_of(df, m) for m in bounds}, dict(zip(key, keys)), "measure")
     odd = (
         values.join(F.broadcast(table), "measure")  # one row per measure
         .where((F.col("value") < F.col("low")) | (F.col("value") > F.col("high")))

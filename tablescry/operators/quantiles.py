@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tablescry.functions.names import columns_of
+from tablescry.operators.value_counts import unpivoted
 from tablescry.session import cut_lineage
 
 BINS = 1024
@@ -31,8 +33,7 @@ BROADCAST_BRACKETS = 200_000
 def stacked_values(df: DataFrame, columns: dict[str, Column], key: str = "column") -> DataFrame:
     """(key, v) rows for several numeric expressions, nulls dropped."""
     return (
-        df.select(*[expression.alias(name) for name, expression in columns.items()])
-        .unpivot([], list(columns), key, "v")
+        unpivoted(df, columns, key=key, value="v")
         .where(F.col("v").isNotNull())
     )
 
@@ -51,37 +52,34 @@ def _wanted_ranks(totals: DataFrame, probabilities: Sequence[float]) -> DataFram
 def exact_quantiles(pairs: DataFrame, keys: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
     """Rows of ``keys, p, q`` from rows of ``keys, v`` (v a non-null double).
 
-    ``keys`` may be empty and may hold any number of groups. A group of up to
+    ``keys`` may be empty and may hold any number of groups; a null key is a group. A group of up to
     a million rows, which one count establishes, takes the built-in exact
     percentile; larger ones are bracketed.
     """
     keys = list(keys)
     if not keys:
         return quantile_rows(pairs, {"v": F.col("v")}, probabilities).select("p", "q")
-    for name in keys:
-        pairs = pairs.where(F.col(name).isNotNull())
-
-    totals = pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    totals = pairs.groupBy(*columns_of(keys)).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     n_long = totals.where(F.col("n") > SHORT_GROUP_ROWS).count()
     if n_long == 0:
         return _short_groups(pairs, keys, probabilities)
     long = cut_lineage(totals.where(F.col("n") > SHORT_GROUP_ROWS))
-    names = F.broadcast(long.select(*keys)) if n_long <= BROADCAST_BRACKETS else long.select(*keys)
+    names = F.broadcast(long.select(*columns_of(keys))) if n_long <= BROADCAST_BRACKETS else long.select(*columns_of(keys))
     short = _short_groups(pairs.join(names, keys, "left_anti"), keys, probabilities)
     return short.unionByName(_long_groups(pairs.join(names, keys, "left_semi"), long, keys, probabilities))
 
 
 def _short_groups(pairs: DataFrame, keys: list[str], probabilities: Sequence[float]) -> DataFrame:
     wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-    together = pairs.groupBy(*keys).agg(F.percentile("v", wanted).alias("_q"))
+    together = pairs.groupBy(*columns_of(keys)).agg(F.percentile("v", wanted).alias("_q"))
     paired = F.explode(F.arrays_zip(wanted.alias("p"), F.col("_q").alias("q")))
-    return together.select(*keys, paired.alias("_z")).select(*keys, F.col("_z.p").alias("p"), F.col("_z.q").alias("q"))
+    return together.select(*columns_of(keys), paired.alias("_z")).select(*columns_of(keys), F.col("_z.p").alias("p"), F.col("_z.q").alias("q"))
 
 
 def _long_groups(pairs: DataFrame, totals: DataFrame, keys: list[str], probabilities: Sequence[float]) -> DataFrame:
     wanted = _wanted_ranks(totals, probabilities)
     ranks = wanted.select(
-        *keys, "lo", "hi", F.explode(F.array_distinct(F.array("lower", "upper"))).alias("rank")
+        *columns_of(keys), "lo", "hi", F.explode(F.array_distinct(F.array("lower", "upper"))).alias("rank")
     ).distinct()
     values = _bracketed(pairs, ranks, keys)
     low = values.withColumnsRenamed({"rank": "lower", "v": "v_low"})
@@ -89,7 +87,7 @@ def _long_groups(pairs: DataFrame, totals: DataFrame, keys: list[str], probabili
     return (
         wanted.join(low, keys + ["lower"])
         .join(high, keys + ["upper"])
-        .select(*keys, "p", (F.col("v_low") + F.col("fraction") * (F.col("v_high") - F.col("v_low"))).alias("q"))
+        .select(*columns_of(keys), "p", (F.col("v_low") + F.col("fraction") * (F.col("v_high") - F.col("v_low"))).alias("q"))
     )
 
 
@@ -97,7 +95,7 @@ def _bracketed(pairs: DataFrame, ranks: DataFrame, keys: list[str]) -> DataFrame
     """Narrow every wanted rank to a short value range, then read it off."""
     brackets = cut_lineage(ranks.withColumn("below", F.lit(0).cast("long")).withColumn("rows", F.lit(None).cast("long")))
     for _ in range(MAX_PASSES):
-        ranges = brackets.where("lo < hi").select(*keys, "lo", "hi", "below").distinct()
+        ranges = brackets.where("lo < hi").select(*columns_of(keys), "lo", "hi", "below").distinct()
         n_ranges = ranges.count()
         if n_ranges == 0:
             break
@@ -109,10 +107,10 @@ def _bracketed(pairs: DataFrame, ranks: DataFrame, keys: list[str]) -> DataFrame
             pairs.join(ranges, keys)
             .where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
             .withColumn("bin", F.least(place, F.lit(BINS - 1)).cast("int"))
-            .groupBy(*keys, "lo", "hi", "below", "bin")
+            .groupBy(*columns_of(keys), "lo", "hi", "below", "bin")
             .agg(F.count("*").alias("n_bin"), F.min("v").alias("bin_lo"), F.max("v").alias("bin_hi"))
         )
-        running = Window.partitionBy(*keys, "lo", "hi").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        running = Window.partitionBy(*columns_of(keys), "lo", "hi").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
         spans = counted.withColumn("through", F.col("below") + F.sum("n_bin").over(running)).withColumn(
             "before", F.col("through") - F.col("n_bin")
         )
@@ -121,7 +119,7 @@ def _bracketed(pairs: DataFrame, ranks: DataFrame, keys: list[str]) -> DataFrame
             .drop("below", "rows")
             .join(spans, keys + ["lo", "hi"])
             .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("through")))
-            .select(*keys, F.col("bin_lo").alias("lo"), F.col("bin_hi").alias("hi"), "rank",
+            .select(*columns_of(keys), F.col("bin_lo").alias("lo"), F.col("bin_hi").alias("hi"), "rank",
                     F.col("before").alias("below"), F.col("n_bin").alias("rows"))
         )
         settled = brackets.where("lo = hi").select(*narrowed.columns)
@@ -130,17 +128,17 @@ def _bracketed(pairs: DataFrame, ranks: DataFrame, keys: list[str]) -> DataFrame
         if longest is None or longest <= SHORT_BRACKET_ROWS:
             break
 
-    settled = brackets.where("lo = hi").select(*keys, "rank", F.col("lo").alias("v"))
-    ranges = brackets.where("lo < hi").select(*keys, "lo", "hi", "below").distinct()
+    settled = brackets.where("lo = hi").select(*columns_of(keys), "rank", F.col("lo").alias("v"))
+    ranges = brackets.where("lo < hi").select(*columns_of(keys), "lo", "hi", "below").distinct()
     if ranges.count() <= BROADCAST_BRACKETS:
         ranges = F.broadcast(ranges)
     counted = (
         pairs.join(ranges, keys)
         .where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-        .groupBy(*keys, "lo", "hi", "below", "v")
+        .groupBy(*columns_of(keys), "lo", "hi", "below", "v")
         .agg(F.count("*").alias("n_v"))
     )
-    running = Window.partitionBy(*keys, "lo", "hi").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy(*columns_of(keys), "lo", "hi").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     spans = counted.withColumn("through", F.col("below") + F.sum("n_v").over(running)).withColumn(
         "before", F.col("through") - F.col("n_v")
     )
@@ -148,7 +146,7 @@ def _bracketed(pairs: DataFrame, ranks: DataFrame, keys: list[str]) -> DataFrame
         brackets.where("lo < hi").drop("below", "rows")
         .join(spans, keys + ["lo", "hi"])
         .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("through")))
-        .select(*keys, "rank", "v")
+        .select(*columns_of(keys), "rank", "v")
     )
     return settled.unionByName(read)
 

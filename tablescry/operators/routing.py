@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablescry.functions.names import ID_NAME_AUDIT, ID_NAME_FINDINGS, is_identifier
 from tablescry.functions.scalars import to_number
+from tablescry.operators.value_counts import unpivoted
 from tablescry.operators.profile import TableProfile, profile_table
 
 ROUTING_SCHEMA = "archetype string, time_col string, entity_col string, target_col string, lat_col string, lon_col string"
@@ -60,7 +61,7 @@ def route(df: DataFrame) -> DataFrame:
     return route_profile(profile_table(df, "sketch")).table(df.sparkSession)
 
 
-def finding_measures(df: DataFrame, known: TableProfile, limit: int = 12) -> list[str]:
+def finding_measures(df: DataFrame, known: TableProfile, limit: int | None = None) -> list[str]:
     """Measures worth analysing, most varied first.
 
     Numbers and number-coded categories with at least three values of three
@@ -126,8 +127,7 @@ def category_spread(df: DataFrame, categories: list[str], measure: str) -> DataF
     relative to the overall mean. One scan for all categories."""
     value = to_number(F.col(f"`{measure}`"), df.schema[measure].dataType)
     stacked = (
-        df.select(value.alias("_v"), *[F.col(f"`{c}`").cast("string").alias(c) for c in categories])
-        .unpivot(["_v"], categories, "category", "value")
+        unpivoted(df, {c: F.col(f"`{c}`").cast("string") for c in categories}, {"_v": value}, "category")
         .where(F.col("_v").isNotNull())
     )
     groups = stacked.groupBy("category", "value").agg(F.avg("_v").alias("mean"), F.sum("_v").alias("total"), F.count("*").alias("n"))
@@ -142,11 +142,11 @@ def category_spread(df: DataFrame, categories: list[str], measure: str) -> DataF
 
 
 def best_category(df: DataFrame, categories: list[str], measure: str) -> str | None:
-    """The category (of the first eight) whose group means differ most."""
+    """The category whose group means differ most."""
     if not categories:
         return None
-    place = {name: i for i, name in enumerate(categories[:8])}
-    rows = category_spread(df, categories[:8], measure).where("spread is not null").collect()
+    place = {name: i for i, name in enumerate(categories)}
+    rows = category_spread(df, categories, measure).where("spread is not null").collect()
     if not rows:
         return categories[0]
     return min(rows, key=lambda r: (-r["spread"], place[r["category"]]))["category"]

@@ -8,8 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablescry.functions.names import columns_of
+
 SMALL_WHOLE_NUMBER = 12
-BROADCAST_NUMBERS = 1_000_000
 
 # A digit run directly after a letter belongs to a name (PM2.5, Q1), so the
 # letter is captured with it and such captures are dropped.
@@ -57,30 +58,22 @@ def grounding_audit(texts: DataFrame, text: str, keys: Sequence[str], allowed: D
     """Per text: how many numbers it states and how many of them are unsupported.
 
     ``allowed`` holds the supported numbers in a column ``number``. A number
-    passes by value or by size without its sign, and whole numbers from 0 to 12
-    always pass.
+    passes by its size without the sign, and whole numbers from 0 to 12 always
+    pass. Each row is judged apart, whatever its keys.
     """
     supported = (
-        allowed.select(six_digits(F.col("number").cast("double")).alias("number"))
-        .where("number is not null")
-        .select(F.explode(F.array("number", F.abs("number"))).alias("number"))
-        .distinct()
+        allowed.select(F.abs(six_digits(F.col("number").cast("double"))).alias("size")).where("size is not null").distinct().withColumn("_met", F.lit(True))
     )
-    stated = number_tokens(texts, text, keys)
+    told = texts.select(F.monotonically_increasing_id().alias("_row"), F.struct(*columns_of(keys)).alias("_keys"), numbers_in(F.col(f"`{text}`")).alias("_numbers"))
+    rows = told.select("_row", "_keys", F.explode_outer("_numbers").alias("number"))
     small = (F.col("number") == F.floor("number")) & F.col("number").between(0, SMALL_WHOLE_NUMBER)
-    # limit() makes the size check cheap: it stops counting at the bound
-    if supported.limit(BROADCAST_NUMBERS + 1).count() <= BROADCAST_NUMBERS:
-        supported = F.broadcast(supported)
-    doubtful = stated.where(~small)
-    by_value = doubtful.join(supported, "number", "left_anti")
-    unsupported = by_value.withColumn("_size", F.abs("number")).join(
-        supported.withColumnRenamed("number", "_size"), "_size", "left_anti"
-    ).groupBy(*keys).agg(F.count("*").alias("n_unsupported"))
-    counted = texts.select(*[F.col(f"`{k}`") for k in keys], F.size(numbers_in(F.col(f"`{text}`"))).alias("n_numbers"))
-    n_unsupported = F.coalesce("n_unsupported", F.lit(0))
-    return counted.join(unsupported, list(keys), "left").select(
-        *keys, F.coalesce("n_numbers", F.lit(0)).alias("n_numbers"), n_unsupported.alias("n_unsupported"),
-        (n_unsupported == 0).alias("grounded"),
+    met = rows.withColumn("size", F.abs("number")).join(supported, "size", "left")
+    judged = met.groupBy("_row").agg(
+        F.any_value("_keys").alias("_keys"), F.count("number").cast("int").alias("n_numbers"),
+        F.count_if(F.col("number").isNotNull() & ~small & F.col("_met").isNull()).alias("n_unsupported"),
+    )
+    return judged.select(
+        *[F.col("_keys").getField(k).alias(k) for k in keys], "n_numbers", "n_unsupported", (F.col("n_unsupported") == 0).alias("grounded"),
     )
 
 

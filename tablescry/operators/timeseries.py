@@ -11,9 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescry.functions.names import NotCalculable, aggregate_column, aggregate_name
+from tablescry.functions.names import NotCalculable, aggregate_column, aggregate_name, columns_of
 from tablescry.operators.aggregates import keep_top_values, number_of, stamp_of
 from tablescry.operators.quantiles import exact_quantiles
+from tablescry.operators.value_counts import unpivoted
 
 FREQUENCIES = ("D", "W", "M")
 MAX_ENTITIES = 6
@@ -76,7 +77,7 @@ def complete_calendar(periods: DataFrame, freq: str, values: Sequence[str], keys
     Each observed period is spread up to the day before the next observed one,
     so the gaps are filled without building a calendar and joining it.
     """
-    order = Window.partitionBy(*keys).orderBy("period") if keys else Window.partitionBy(F.lit(1)).orderBy("period")
+    order = Window.partitionBy(*columns_of(keys)).orderBy("period") if keys else Window.partitionBy(F.lit(1)).orderBy("period")
     upcoming = F.lead("period").over(order)
     last_of_gap = F.coalesce(F.col("_next"), _period_after(F.col("period"), freq))
     spread = (
@@ -107,7 +108,7 @@ def resample(
     if agg == "median":
         observed = exact_quantiles(rows, [*keys, "period"], [0.5]).select(*keys, "period", F.col("q").alias("value"))
     else:
-        observed = rows.groupBy(*keys, "period").agg(aggregate_column(F.col("v"), agg).cast("double").alias("value"))
+        observed = rows.groupBy(*columns_of(keys), "period").agg(aggregate_column(F.col("v"), agg).cast("double").alias("value"))
     zero = ["value"] if agg in ("sum", "count") else []
     return complete_calendar(observed, freq, ["value"], keys, zero).withColumn("value", F.col("value").cast("double"))
 
@@ -116,7 +117,7 @@ def rolling_mean(series: DataFrame, window: int = 7, keys: Sequence[str] = ()) -
     """Trailing mean over the last ``window`` periods, empty periods skipped."""
     if window < 1:
         raise NotCalculable("the rolling window must hold at least one period")
-    frame = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("period").rowsBetween(-(window - 1), 0)
+    frame = Window.partitionBy(*(columns_of(keys) or [F.lit(1)])).orderBy("period").rowsBetween(-(window - 1), 0)
     return series.withColumn("rolling_mean", F.avg("value").over(frame))
 
 
@@ -135,7 +136,7 @@ def resample_by_entity(df: DataFrame, time: str, measure: str, entity: str, freq
 
 def _ranked(series: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Observed periods with their place and the series' length."""
-    part = Window.partitionBy(*(keys or [F.lit(1)]))
+    part = Window.partitionBy(*(columns_of(keys) or [F.lit(1)]))
     return (
         series.where("value is not null")
         .withColumn("i", F.row_number().over(part.orderBy("period")) - 1)
@@ -145,7 +146,7 @@ def _ranked(series: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def trend_slope(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Least-squares slope per period; flat when the fitted change is under 5 % of the scale."""
-    fit = _ranked(series, keys).groupBy(*keys).agg(
+    fit = _ranked(series, keys).groupBy(*columns_of(keys)).agg(
         F.regr_slope("value", "i").alias("slope"),
         F.count("*").alias("n_periods"),
         F.avg("value").alias("_mean"),
@@ -169,7 +170,7 @@ def trend_thirds(series: DataFrame, keys: Sequence[str] = (), min_periods: int =
     third = F.greatest(F.floor(F.col("n_periods") / 3), F.lit(1))
     return (
         _ranked(series, keys)
-        .groupBy(*keys)
+        .groupBy(*columns_of(keys))
         .agg(
             F.count("*").alias("n_periods"),
             F.avg(F.when(F.col("i") < third, F.col("value"))).alias("start_average"),
@@ -195,7 +196,7 @@ def trend_thirds(series: DataFrame, keys: Sequence[str] = (), min_periods: int =
 
 def series_stats(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Statistics of the resampled series, as drawn: per period, not per row."""
-    return series.groupBy(*keys).agg(
+    return series.groupBy(*columns_of(keys)).agg(
         F.avg("value").alias("mean"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
@@ -229,7 +230,7 @@ def trends(df: DataFrame, time: str, measures: list[str], freq: str | None = Non
         .groupBy("period")
         .agg(*[F.avg(F.col(f"`{m}`")).alias(m) for m in measures])
     )
-    long = wide.unpivot(["period"], measures, "measure", "value")
+    long = unpivoted(wide, dict(zip(measures, columns_of(measures))), {"period": F.col("period")}, "measure")
     return trend_thirds(long, ["measure"], min_periods).where(
         (F.col("start_average") != 0) & (F.abs("change_pct") >= min_pct)
     ).withColumn("freq", F.lit(freq))

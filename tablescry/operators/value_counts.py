@@ -14,6 +14,15 @@ def as_text(df: DataFrame, name: str) -> Column:
     return present(F.col(f"`{name}`"), df.schema[name].dataType).cast("string")
 
 
+def unpivoted(df: DataFrame, values: dict[str, Column], kept: dict[str, Column] | None = None, key: str = "column", value: str = "value") -> DataFrame:
+    """A row for each of the named values of a row, whatever the names: (kept, key, value)."""
+    kept, names = kept or {}, F.array(*map(F.lit, values))
+    flat = df.select(*[c.alias(f"_k{i}") for i, c in enumerate(kept.values())], *[c.alias(f"_v{i}") for i, c in enumerate(values.values())])
+    long = flat.unpivot([f"_k{i}" for i in range(len(kept))], [f"_v{i}" for i in range(len(values))], "_place", "_value")
+    name = F.get(names, F.substring("_place", 3, 10).cast("int"))
+    return long.select(*[F.col(f"_k{i}").alias(n) for i, n in enumerate(kept)], name.alias(key), F.col("_value").alias(value))
+
+
 def value_counts(df: DataFrame, columns: Sequence[str], strip: bool = False) -> DataFrame:
     """Counts of every non-null value of the named columns, as text.
 
@@ -25,8 +34,7 @@ def value_counts(df: DataFrame, columns: Sequence[str], strip: bool = False) ->
     if strip:
         wanted = [strip_ws(value) for value in wanted]
     return (
-        df.select(*[value.alias(name) for value, name in zip(wanted, columns)])
-        .unpivot([], list(columns), "column", "value")
+        unpivoted(df, dict(zip(columns, wanted)))
         .where(F.col("value").isNotNull())
         .groupBy("column", "value")
         .agg(F.count("*").alias("n"))

@@ -30,7 +30,7 @@ def movable_columns(known: TableProfile) -> list[str]:
 def driver_links(df: DataFrame, candidates: list[str], target: str) -> DataFrame:
     """(driver, r, n) of every candidate with the target, all in one scan."""
     others = [c for c in candidates if c != target]
-    pairs = correlation_pairs(df, [target, *others], limit=None)
+    pairs = correlation_pairs(df, [target, *others])
     return pairs.where((F.col("a") == target) | (F.col("b") == target)).select(
         F.when(F.col("a") == target, F.col("b")).otherwise(F.col("a")).alias("driver"), "r", "n"
     )

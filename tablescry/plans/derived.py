@@ -6,23 +6,24 @@ views add them row by row from the keys, in place, over the whole table.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablescry.session import own_folder
+
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A fresh folder below the shared one; a temporary one only without any."""
+    """A fresh folder below the shared one; a local session without any gets a temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/tablescry-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="tablescry-")
+    return own_folder(spark, "tablescry-")
 
 
 def messy_customers(spark: SparkSession, folder: str) -> DataFrame:

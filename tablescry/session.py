@@ -27,13 +27,20 @@ def local_session(app: str = "tablescry", cores: str | int = "*", memory: str =
     )
 
 
+def own_folder(spark: SparkSession, prefix: str) -> str:
+    """A temporary folder for a local session; a cluster must name a shared one."""
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix=prefix)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session that has no folder at all (a local test) gets a temporary one.
+    Only a local session without one gets a temporary folder.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tablescry-checkpoint-"))
+        context.setCheckpointDir(shared or own_folder(df.sparkSession, "tablescry-checkpoint-"))
     return df.checkpoint(eager=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,26 +44,42 @@ def _read(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool
     )
 
 
-def read_text_table(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """All cells as text, header repaired, UTF-8 with a Latin-1 fallback.
+def _utf8(cell: Column) -> Column:
+    """The bytes of a cell that was read as Latin-1, as UTF-8."""
+    return F.encode(cell, "ISO-8859-1").cast("string")
 
-    Spark replaces bytes that are not UTF-8 instead of failing, so the
-    replacement character decides whether the file is read again. ``multi_line``
-    makes each file one task; leave it off unless cells hold line breaks.
+
+def _has_broken_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a line holds an odd number of quotes, so a cell goes on in the next line."""
+    line = F.col("value")
+    return not spark.read.text(path).where((F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1).isEmpty()
+
+
+def read_text_table(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """All cells as text, header repaired, each file UTF-8 or else Latin-1.
+
+    Files are read as Latin-1, which keeps every byte; a file whose cells are
+    all valid UTF-8 is then decoded as that. ``multi_line`` makes each file one
+    task; left open, it is chosen where a cell holds a line break.
     """
-    head = spark.read.csv(path, header=False, multiLine=multi_line, escape='"').limit(1).first()
+    if multi_line is None:
+        multi_line = _has_broken_lines(spark, path)
+    head = spark.read.csv(path, header=False, multiLine=multi_line, escape='"', encoding="ISO-8859-1").limit(1).first()
     if head is None:
         raise EmptyTable(f"{path} holds nothing")
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in repaired_header(list(head))])
-    table = _read(spark, path, schema, multi_line, "UTF-8")
-    broken = F.lit(False)
+    try:
+        names = [n if n is None else n.encode("latin-1").decode("utf-8") for n in head]
+    except UnicodeDecodeError:
+        names = list(head)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in repaired_header(names)])
+    table = _read(spark, path, schema, multi_line, "ISO-8859-1")
+    sound = F.lit(True)
     for name in schema.fieldNames():
-        broken = broken | F.coalesce(F.contains(F.col(f"`{name}`"), F.lit("�")), F.lit(False))
-    if not table.where(broken).isEmpty() or any("�" in n for n in schema.fieldNames()):
-        head = spark.read.csv(path, header=False, multiLine=multi_line, escape='"', encoding="ISO-8859-1").limit(1).first()
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in repaired_header(list(head))])
-        table = _read(spark, path, schema, multi_line, "ISO-8859-1")
-    return table
+        sound = sound & F.coalesce(F.is_valid_utf8(_utf8(F.col(f"`{name}`"))), F.lit(True))
+    file = F.col("_metadata.file_path")
+    latin = [r[0] for r in table.where(~sound).select(file).distinct().collect()]  # the names of files that are not UTF-8
+    decoded = {n: _utf8(F.col(f"`{n}`")) for n in schema.fieldNames()}
+    return table.select(*[(F.when(file.isin(latin), F.col(f"`{n}`")).otherwise(c) if latin else c).alias(n) for n, c in decoded.items()])
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -116,7 +132,7 @@ def with_row_id(df: DataFrame, name: str = "_row_id") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def read_csv_table(spark: SparkSession, path: str, multi_line: bool = False, row_id: bool = False) -> DataFrame:
+def read_csv_table(spark: SparkSession, path: str, multi_line: bool | None = None, row_id: bool = False) -> DataFrame:
     """A delimited file as a typed table, refused when empty."""
     table = read_text_table(spark, path, multi_line)
     if row_id:

@@ -14,15 +14,13 @@ from tablescry.operators.profile import profile_table
 from tablescry.operators.quality import health
 from tablescry.operators.routing import route_profile
 
-MAX_PREVIEW = 200
-
 
 def preview(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
     """The first rows in the given order, with the table's size and whether it was cut.
 
     Planned as a bounded heap per task beside one count; no sort of the table.
     """
-    n = max(1, min(MAX_PREVIEW, int(n)))
+    n = max(1, int(n))
     total = df.agg(F.count("*")).scalar()
     first = df.orderBy(*[F.col(f"`{c}`") for c in order_by]).limit(n)
     return first.withColumn("total_rows", total).withColumn("truncated", F.col("total_rows") > n)
@@ -40,7 +38,7 @@ def as_records(df: DataFrame) -> DataFrame:
         if isinstance(item.dataType, (T.DoubleType, T.FloatType)):
             c = F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
         elif isinstance(item.dataType, (T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+            c = F.regexp_replace(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", "")
         elif isinstance(item.dataType, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
         out.append(c.alias(item.name))
