@@ -794,3 +794,40 @@ ORACLES["intents_of_documents"] = f"SELECT {intent_sql('text')} AS intent, count
 NAMES = sorted(["text", "lang", "source", "the", "time", "part", "order", "user_id"], key=len, reverse=True)
 ORACLES["mentioned_columns"] = "SELECT doc_id, concat_ws('|', " + ", ".join(
     f"CASE WHEN regexp_matches(lower(text), '(^|{EDGE})({n}|{n.replace('_', ' ')})({EDGE}|$)') THEN '{n}' END" for n in NAMES) + ") AS mentioned FROM documents"
+
+# ------------------------------------- dots, infinities, null and repeated keys --
+ORACLES["dotted_names_profile"] = """
+SELECT 'a' AS "column", count(*) FILTER (c_custkey IS NULL) AS n_null, count(DISTINCT c_custkey) AS n_unique, min(c_custkey)::DOUBLE AS min, max(c_custkey)::DOUBLE AS max, round(avg(c_custkey), 4) AS mean FROM customer
+UNION ALL SELECT 'a.1', count(*) FILTER (c_mktsegment IS NULL), count(DISTINCT c_mktsegment), NULL, NULL, NULL FROM customer
+UNION ALL SELECT 'b.c', count(*) FILTER (c_acctbal IS NULL), count(DISTINCT c_acctbal), round(min(c_acctbal), 4), round(max(c_acctbal), 4), round(avg(c_acctbal), 4) FROM customer
+UNION ALL SELECT 'd.e.f', count(*) FILTER (c_name IS NULL), count(DISTINCT c_name), NULL, NULL, NULL FROM customer"""
+ORACLES["dotted_names_audit"] = """
+WITH t AS (SELECT c_mktsegment AS a, CASE WHEN c_custkey % 3 > 0 THEN c_nationkey END AS b FROM customer)
+SELECT 'duplicate_rows' AS kind, '' AS columns, count(*) - (SELECT count(*) FROM (SELECT DISTINCT a, b FROM t)) AS n_affected FROM t
+UNION ALL SELECT 'missing_values', 'b.c', count(*) FILTER (b IS NULL) FROM t"""
+WIDE_PRIMES = (97, 101, 103, 107, 109, 113, 127, 131, 137, 139, 149, 151, 157, 163, 167)
+WIDE_SQL = "wide AS (SELECT " + ", ".join(f"(l_orderkey * {p} % 1009 + l_quantity * ({p} % 7))::DOUBLE AS x{i}" for i, p in enumerate(WIDE_PRIMES)) + " FROM lineitem)"
+ORACLES["correlation_matrix_wide"] = f"""
+WITH {WIDE_SQL}, p AS ({pairs_sql("wide", [f"x{i}" for i in range(15)])})
+SELECT a, b, round(r, 6) AS r, n FROM (SELECT a, b, r, n FROM p UNION ALL SELECT b, a, r, n FROM p
+  UNION ALL {" UNION ALL ".join(f"SELECT 'x{i}', 'x{i}', 1.0, count(x{i}) FROM wide" for i in range(15))})"""
+FINITE_SQL = "f AS (SELECT CASE WHEN l_orderkey % 97 != 0 THEN l_extendedprice::DOUBLE END AS price, l_quantity::DOUBLE AS quantity FROM lineitem)"
+ORACLES["correlation_with_infinities"] = f"WITH {FINITE_SQL} SELECT a, b, round(r, 6) AS r, n FROM ({pairs_sql('f', ['price', 'quantity'])})"
+ORACLES["quantiles_with_infinities"] = f"""WITH {FINITE_SQL}
+SELECT 'price' AS measure, p::DOUBLE AS p, round(quantile_cont(price, p), 4) AS q FROM f, (SELECT 0.1 AS p UNION ALL SELECT 0.5 UNION ALL SELECT 0.9) GROUP BY p""".replace(
+    "quantile_cont(price, p)", "CASE p WHEN 0.1 THEN quantile_cont(price, 0.1) WHEN 0.5 THEN quantile_cont(price, 0.5) ELSE quantile_cont(price, 0.9) END")
+ORACLES["histogram_with_infinities"] = f"""WITH {FINITE_SQL}, e AS (SELECT min(price) AS lo, (max(price) - min(price)) / 8 AS w, avg(price) AS mean FROM f),
+b AS (SELECT least(floor((price - lo) / w), 7)::BIGINT AS bin, lo, w, mean FROM f, e WHERE price IS NOT NULL)
+SELECT bin, round(lo + bin * w, 4) AS bin_start, round(lo + (bin + 1) * w, 4) AS bin_end, count(*) AS n, round(mean, 4) AS mean FROM b GROUP BY bin, lo, w, mean"""
+ORACLES["rank_hundred_groups"] = """
+SELECT l_partkey::VARCHAR AS "group", sum(l_quantity)::DOUBLE AS value, count(*) AS "rows", count(*) OVER () AS n_groups
+FROM lineitem GROUP BY l_partkey ORDER BY value DESC, "group" LIMIT 100"""
+ORACLES["resample_median_with_null_keys"] = """
+SELECT CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS flag, last_day(l_shipdate)::DATE AS period, round(median(l_extendedprice), 4) AS value
+FROM lineitem GROUP BY 1, 2"""
+ORACLES["grounding_with_repeated_keys"] = f"""
+WITH stated AS ({tokens_sql('documents', 'doc_id')}), allowed AS (SELECT abs({DIGITS}) AS size FROM (SELECT p_retailprice AS v FROM part)),
+bad AS (SELECT doc_id, count(*) AS k FROM stated WHERE NOT (number = floor(number) AND number BETWEEN 0 AND 12) AND abs(number) NOT IN (SELECT size FROM allowed) GROUP BY 1),
+per AS (SELECT doc_id, count(*) AS n FROM stated GROUP BY 1)
+SELECT CASE WHEN d.doc_id % 5 > 0 THEN d.lang END AS lang, coalesce(per.n, 0) AS n_numbers, coalesce(bad.k, 0) AS n_unsupported, bad.k IS NULL AS grounded
+FROM documents d LEFT JOIN per ON d.doc_id = per.doc_id LEFT JOIN bad ON d.doc_id = bad.doc_id"""

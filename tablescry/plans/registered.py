@@ -74,6 +74,25 @@ def csv_round_trip(spark, folder):
     return tidy(sc.read_csv_table(spark, path))
 
 
+@query
+def dotted_names_profile(spark, folder):
+    """A file whose header repeats a name and holds dots, read back and profiled."""
+    path = scratch_folder(spark) + "/customers"
+    named = load(spark, folder, "customer").select(
+        F.col("c_custkey").alias("a"), F.col("c_mktsegment").alias("a.1"), F.col("c_acctbal").alias("b.c"), F.col("c_name").alias("d.e.f"))
+    st.write_csv(named, path)
+    return tidy(pr.profile(sc.read_csv_table(spark, path)).select("column", "n_null", "n_unique", "min", "max", "mean"))
+
+
+@query
+def dotted_names_audit(spark, folder):
+    """Duplicate rows and gaps of a table with dots in its names."""
+    table = load(spark, folder, "customer").select(
+        F.col("c_mktsegment").alias("a.1"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_nationkey")).alias("b.c"))
+    issues = qu.health_issues(table, checks=["duplicate_rows", "missing_values"])
+    return tidy(issues.select("kind", F.array_join("columns", ",").alias("columns"), "n_affected"))
+
+
 @query
 def infer_column_types(spark, folder):
     """Types recovered from a table whose every cell was turned into text."""
@@ -242,6 +261,11 @@ def rank_groups(spark, folder):
     return tidy(ag.rank_groups(load(spark, folder, "lineitem"), "l_returnflag", "l_extendedprice", "sum"), 2)
 
 
+@query
+def rank_hundred_groups(spark, folder):
+    return tidy(ag.rank_groups(load(spark, folder, "lineitem"), "l_partkey", "l_quantity", "sum", 100))
+
+
 @query
 def rank_groups_by_median(spark, folder):
     return tidy(ag.rank_groups(load(spark, folder, "lineitem"), "l_suppkey", "l_extendedprice", "median", 25, "bottom"))
@@ -333,6 +357,38 @@ def correlation_matrix(spark, folder):
     return tidy(co.correlation_matrix(load(spark, folder, "lineitem"), MEASURES), 6)
 
 
+WIDE_COLUMNS = [f"x{i}" for i in range(15)]
+
+
+@query
+def correlation_matrix_wide(spark, folder):
+    """Fifteen columns give fifteen columns."""
+    primes = (97, 101, 103, 107, 109, 113, 127, 131, 137, 139, 149, 151, 157, 163, 167)
+    wide = load(spark, folder, "lineitem").select(*[(F.col("l_orderkey") * p % 1009 + F.col("l_quantity") * (p % 7)).cast("double").alias(c) for c, p in zip(WIDE_COLUMNS, primes)])
+    return tidy(co.correlation_matrix(wide, WIDE_COLUMNS), 6)
+
+
+def _with_infinities(spark, folder):
+    endless = F.when(F.col("l_orderkey") % 2 == 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
+    return load(spark, folder, "lineitem").select(
+        F.when(F.col("l_orderkey") % 97 == 0, endless).otherwise(F.col("l_extendedprice").cast("double")).alias("price"), F.col("l_quantity").cast("double").alias("quantity"))
+
+
+@query
+def correlation_with_infinities(spark, folder):
+    return tidy(co.correlation_pairs(_with_infinities(spark, folder), ["price", "quantity"]), 6)
+
+
+@query
+def quantiles_with_infinities(spark, folder):
+    return tidy(ag.quantiles(_with_infinities(spark, folder), ["price"], [0.1, 0.5, 0.9]))
+
+
+@query
+def histogram_with_infinities(spark, folder):
+    return tidy(ch.histogram(_with_infinities(spark, folder), "price", 8))
+
+
 @query
 def correlation_with_gaps(spark, folder):
     """Pairwise deletion: each pair uses the rows that hold both values."""
@@ -378,6 +434,13 @@ def resample_monthly_median(spark, folder):
     return tidy(ts.resample(load(spark, folder, "lineitem"), "l_shipdate", "l_extendedprice", "M", "median"))
 
 
+@query
+def resample_median_with_null_keys(spark, folder):
+    """Items without a flag are a series like the others."""
+    flagged = load(spark, folder, "lineitem").select("l_shipdate", "l_extendedprice", F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("flag"))
+    return tidy(ts.resample(flagged, "l_shipdate", "l_extendedprice", "M", "median", ["flag"]).where("value is not null"))
+
+
 @query
 def resample_daily_count(spark, folder):
     return tidy(ts.resample(sparse_events(spark, folder), "ts", "value", "D", "count"))
@@ -832,6 +895,14 @@ def grounding_audit(spark, folder):
     return tidy(tx.grounding_audit(load(spark, folder, "documents"), "text", ["doc_id"], allowed))
 
 
+@query
+def grounding_with_repeated_keys(spark, folder):
+    """The same documents, keyed by a language that repeats and is null in places."""
+    allowed = load(spark, folder, "part").select(F.col("p_retailprice").alias("number"))
+    texts = load(spark, folder, "documents").select(F.when(F.col("doc_id") % 5 > 0, F.col("lang")).alias("lang"), "text")
+    return tidy(tx.grounding_audit(texts, "text", ["lang"], allowed))
+
+
 @query
 def tag_intent(spark, folder):
     return tidy(tx.tag_intent(load(spark, folder, "conversations"), "text", ["conv_id", "turn"]))

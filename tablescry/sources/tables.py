@@ -14,13 +14,15 @@ from tablescry.operators.profile import profile_table
 from tablescry.operators.quality import health
 from tablescry.operators.routing import route_profile
 
+MAX_PREVIEW = 200
+
 
 def preview(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
     """The first rows in the given order, with the table's size and whether it was cut.
 
     Planned as a bounded heap per task beside one count; no sort of the table.
     """
-    n = max(1, int(n))
+    n = max(1, min(MAX_PREVIEW, int(n)))  # total_rows and truncated tell what is not shown
     total = df.agg(F.count("*")).scalar()
     first = df.orderBy(*[F.col(f"`{c}`") for c in order_by]).limit(n)
     return first.withColumn("total_rows", total).withColumn("truncated", F.col("total_rows") > n)
