@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescry.plans.derived import load, scratch_folder
+from tablescry.session import cut_lineage
 
 LEAST_LENGTH = 20
 LEAST_DOCUMENTS = 3
@@ -129,7 +130,8 @@ def deduplicate_lines(
     runs = LineRuns(spark, f"{folder}/runs")
     for number in range(batches):
         runs.add(keys.where(F.col("batch") == number).select("doc_id", "key"))
-    gone = keys.join(runs.frequent(least_documents), "key").where(~F.col("doc_id").eqNullSafe(F.col("last")))
+    frequent = cut_lineage(runs.frequent(least_documents))  # behind a plain exchange a hot key's join is split
+    gone = keys.join(frequent, "key").where(~F.col("doc_id").eqNullSafe(F.col("last")))
     losing = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("key")).alias("losing"))
     named = losing.select(F.col("doc_id").alias("_id"), "losing")
     joined = own.join(named, F.col("doc_id").eqNullSafe(F.col("_id")), "left")

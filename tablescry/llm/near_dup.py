@@ -9,10 +9,10 @@ similarity of 0.85 agree on fewer places is below one in 100,000.
 
 Posting lists of large groups of copies are not expanded into all pairs. First each class
 meets some hubs of its lists; links confirmed on the full shingle sets join components. Then
-only lists that still span several components are merged: their classes outside the list's
-largest component meet all classes of other components. Pairs with enough signature matches
-are confirmed on full sets. Classes of one component need no further comparison, so no
-link between components is lost.
+only lists that still span several components are merged, by the same prefix rule on full
+sets: a list's classes outside its largest component meet those of other components whose
+remaining shingles allow enough overlap, and these pairs are confirmed too. Classes of one
+component need no further comparison, so no link between components is lost.
 
 Defined cases: null or empty text has no shingles and no links; rows with the same doc_id
 are one document; a null doc_id is linked like any other but never names a component
@@ -100,6 +100,17 @@ def _full_sets(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return sets
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(v.as_buffer(), np.int64) for v in batch["shingles"]]
+        sizes = np.array([len(x) for x in sets], int)
+        rows = pa.array(np.repeat(np.arange(len(sets)), sizes))
+        yield pa.record_batch({
+            "id": batch["id"].take(rows), "label": batch["label"].take(rows), "own": batch["own"].take(rows),
+            "n": pa.array(np.repeat(sizes, sizes), pa.int32()), "shingle": pa.array(np.concatenate(sets) if sets else [], pa.int64()),
+        })
+
+
 def _confirm(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,10 +132,10 @@ class _Linker:
         self.percent = percent
         self.codes = classes.select("id", "codes")
         elements = classes.select("id", F.explode("codes").alias("code"))
-        counts = elements.groupBy("code").agg(F.count("*").alias("n")).where("n > 1")
+        counts = cut_lineage(elements.groupBy("code").agg(F.count("*").alias("n")).where("n > 1"))  # so that a hot code's join is split
         own = elements.join(counts, "code").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "code"))).alias("held"))  # at most COORDINATES
-        posted = own.select("id", F.explode(F.slice("held", 1, F.greatest(F.lit(0), F.size("held") - (COORDINATES - PREFIX)))).alias("p"))
-        self.posts = cut_lineage(posted.select("id", F.col("p.code").alias("code")))
+        posted = own.select("id", F.size("held").alias("shared"), F.explode(F.slice("held", 1, F.greatest(F.lit(0), F.size("held") - (COORDINATES - PREFIX)))).alias("p"))
+        self.posts = cut_lineage(posted.select("id", "shared", F.col("p.code").alias("code")))
         active = self.posts.select("id").distinct()
         texts = docs.select("doc_id", "text").join(active.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
         self.full = cut_lineage(texts.mapInArrow(_full_sets(words), "id long, shingles binary"))
@@ -149,24 +160,43 @@ class _Linker:
         return cut_lineage(both.mapInArrow(_confirm(self.percent), "a long, b long"))
 
     def meet_hubs(self, number: int) -> None:
-        """Confirm each class's best match among some hubs of its lists."""
+        """Confirm each class's best match among some hubs of its lists: classes that share most with others."""
         posts = self._labelled()
-        order = F.xxhash64("id", F.pmod("code", F.lit(HUBS)), F.lit(number))
-        hubs = posts.groupBy("code").agg(F.min_by(F.struct("id", "label"), order).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"))
+        order = F.struct("shared", F.xxhash64("id", F.pmod("code", F.lit(HUBS)), F.lit(number)))
+        hubs = posts.groupBy("code").agg(F.max_by(F.struct("id", "label"), order).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"))
         hubs = hubs.where("low <> high").select("code", F.col("hub.id").alias("hub"), F.col("hub.label").alias("hub_label"))
         pairs = posts.join(hubs, "code").where("label <> hub_label").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
         best = self._matching(pairs).groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b"))
         self.links.append(self._confirmed(best))
 
     def merge_rest(self) -> None:
-        """Confirm every pair of lists that span components still."""
-        posts = cut_lineage(self._labelled())
-        shares = posts.groupBy("code", "label").agg(F.count("*").alias("n"))
-        largest = shares.groupBy("code").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
-        apart = posts.join(largest, "code").where("label <> most").select("code", F.col("id").alias("a"), F.col("label").alias("label_a"))
-        pairs = apart.join(posts.toDF("b", "code", "label_b"), "code").where("label_a <> label_b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        self.links.append(self._confirmed(self._matching(pairs)))
+        """Confirm every pair that may be similar among the lists that span components still.
+
+        Their classes' shingles are put in order, rarest first. Similar sets share a shingle
+        early enough in both for the rest of either to hold the overlap that is needed; so a
+        class with too many shingles of its own meets nobody.
+        """
+        posts = self._labelled()
+        spans = posts.groupBy("code").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("code")
+        open_ids = posts.join(spans, "code").groupBy("id").agg(F.min("label").alias("label"))
+        sets = cut_lineage(self.full.join(open_ids, "id").select("id", "label", "shingles", F.xxhash64("shingles").alias("own")))
+        rows = sets.mapInArrow(_shingle_rows, "id long, label long, own long, n int, shingle long")
+        counts = cut_lineage(rows.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1"))
+        shared = rows.join(counts, "shingle").groupBy("id", "own").agg(  # at most the shingles of one text
+            F.any_value("label").alias("label"), F.any_value("n").alias("n"), F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("held"))
+        reach = F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1  # places in which a similar set must meet this one
+        single = F.col("n") - F.size("held")
+        early = shared.select("id", "label", "n", single.alias("single"), F.posexplode(F.slice("held", 1, F.greatest(F.lit(0), (reach - single).cast("int")))).alias("at", "p"))
+        early = cut_lineage(early.select("id", "label", "n", (F.col("n") - F.col("single") - F.col("at")).alias("left"), F.col("p.shingle").alias("shingle")))
+        sizes = early.groupBy("shingle", "label").agg(F.count("*").alias("size"))
+        largest = sizes.groupBy("shingle").agg(F.max_by("label", F.struct("size", "label")).alias("most"), F.count("*").alias("labels"))
+        largest = cut_lineage(largest.where("labels > 1").drop("labels"))
+        apart = early.join(largest, "shingle").where("label <> most").select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("id", "label", "n", "left")])
+        others = early.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("id", "label", "n", "left")])
+        needed = F.ceil((F.col("n_a") + F.col("n_b")) * self.percent / (100 + self.percent))
+        met = apart.join(others, "shingle").where((F.col("label_a") != F.col("label_b")) & (F.least("left_a", "left_b") >= needed))
+        pairs = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+        self.links.append(self._confirmed(pairs))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle_words: int = SHINGLE_WORDS) -> DataFrame:

@@ -140,7 +140,8 @@ def repeated_places(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     place is the first word << LENGTH_BITS | the number of windows."""
     paths = docs.mapInArrow(_paths(window, anchor), "doc_id long, rid long, place long, anchor long, path long")
     shape = paths.groupBy("anchor").agg(F.count("*").alias("n"), F.min("path").alias("low"), F.max("path").alias("high")).where("n > 1")
-    held = cut_lineage(paths.join(shape.select("anchor", F.expr("low <> high").alias("branching")), "anchor"))
+    shape = cut_lineage(shape.select("anchor", F.expr("low <> high").alias("branching")))  # behind a plain exchange a hot anchor's join is split
+    held = cut_lineage(paths.join(shape, "anchor"))
     compact = held.where("not branching").select("doc_id", "rid", "place")
     branches = held.where("branching")
     kinds = branches.groupBy("anchor", "path").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rid", "place")).alias("at"))
