@@ -143,11 +143,16 @@ class _Linker:
 
     def _labelled(self) -> DataFrame:
         """Posts with the component each class belongs to by now."""
-        if not self.links:
-            return self.posts.withColumn("label", F.col("id"))
         found = components(reduce(DataFrame.union, self.links))
         return self.posts.join(found.toDF("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
 
+    def _starred(self) -> DataFrame:
+        """Posts labelled with the hub each class is linked to by now, or itself; cheaper than components and enough between hub rounds."""
+        if not self.links:
+            return self.posts.withColumn("label", F.col("id"))
+        stars = reduce(DataFrame.union, self.links).groupBy("a").agg(F.min("b").alias("label"))
+        return self.posts.join(stars.toDF("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+
     def _matching(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) with enough equal signature places, and how many."""
         one, other = self.codes.toDF("a", "one"), self.codes.toDF("b", "other")
@@ -161,7 +166,7 @@ class _Linker:
 
     def meet_hubs(self, number: int) -> None:
         """Confirm each class's best match among some hubs of its lists: classes that share most with others."""
-        posts = self._labelled()
+        posts = self._starred()
         order = F.struct("shared", F.xxhash64("id", F.pmod("code", F.lit(HUBS)), F.lit(number)))
         hubs = posts.groupBy("code").agg(F.max_by(F.struct("id", "label"), order).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"))
         hubs = hubs.where("low <> high").select("code", F.col("hub.id").alias("hub"), F.col("hub.label").alias("hub_label"))
