@@ -25,9 +25,12 @@ of an unseen one; repeated rows count each; an empty table gives an empty result
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from heapq import heapify, heapreplace
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +51,7 @@ _ENDINGS = (b".", b",", b"!?", b"*#$%&", b"|", b";:", b"0123456789")
 _ACCENTS = ("äöüß", "éèêçàâùûîœ", "ñóíáú")
 TAIL_CLASSES = (len(_ENDINGS) + 1) * (len(_ACCENTS) + 2)
 _ENDING_OF = {c: i for i, group in enumerate(_ENDINGS) for c in group}
-_ACCENT_OF = {ch.encode(): i for i, group in enumerate(_ACCENTS) for ch in group}
+_ACCENTED = re.compile("|".join(f"([{group}])" for group in _ACCENTS))
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -56,11 +59,12 @@ def words_of(text: bytes | None) -> list[bytes]:
     return [w if w != END else b"\x00\x00" for w in text.lower().split()] if text else []
 
 
+@lru_cache(maxsize=1 << 17)
 def tail_class(word: bytes) -> int:
     accent = 0
     if not word.isascii():
-        text = word.decode("utf-8", "replace")
-        accent = next((1 + i for i, group in enumerate(_ACCENTS) if any(ch in group for ch in text)), len(_ACCENTS) + 1)
+        first = _ACCENTED.search(word.decode("utf-8", "replace"))
+        accent = first.lastindex if first else len(_ACCENTS) + 1
     return accent * (len(_ENDINGS) + 1) + _ENDING_OF.get(word[-1], len(_ENDINGS))
 
 
@@ -112,8 +116,7 @@ class Vocabulary:
 
     def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The network's symbol of each word, and its place among the known words (-1: not known)."""
-        get = self.place.get
-        place = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        place = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
         symbol = self.symbol[place]
         for i in np.flatnonzero(place < 0).tolist():
             symbol[i] = self.net + tail_class(words[i])
@@ -179,19 +182,20 @@ class Network:
         rows = np.arange(len(targets))
         out = logits[rows, of] - np.log(total)
         soft /= total[:, None]
-        order = np.argsort(of, kind="stable")
+        order = np.argsort(of.astype(np.int16), kind="stable")
         bounds = np.searchsorted(of[order], np.arange(self.classes + 1))
-        inner = []
+        sorted_states, word = states[order], targets[order]
+        inside, inner = np.zeros(len(targets), np.float32), []
         for c in range(self.classes):
-            own = order[bounds[c] : bounds[c + 1]]
-            if len(own):
-                scores = states[own] @ self.w["wo"][c] + self.w["bo"][c]
+            own = slice(bounds[c], bounds[c + 1])
+            if own.start < own.stop:
+                scores = sorted_states[own] @ self.w["wo"][c] + self.w["bo"][c]
                 scores -= scores.max(axis=1, keepdims=True)
                 chances = np.exp(scores)
-                sums = chances.sum(axis=1)
-                word = targets[own] - c * CLASS_WORDS
-                out[own] += scores[np.arange(len(own)), word] - np.log(sums)
-                inner.append((c, own, word, chances / sums[:, None]))
+                sums, place = chances.sum(axis=1), word[own] - c * CLASS_WORDS
+                inside[own] = scores[rows[: len(place)], place] - np.log(sums)
+                inner.append((c, order[own], place, chances, sums))
+        out[order] += inside
         return out, (of, soft, inner)
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, weights: np.ndarray, fresh: np.ndarray, h: np.ndarray, speed: "Adagrad") -> np.ndarray:
@@ -205,7 +209,8 @@ class Network:
         d_states = soft @ self.w["wc"].T
         speed.step("wc", states.T @ soft)
         speed.step("bc", soft.sum(axis=0))
-        for c, own, word, chances in inner:
+        for c, own, word, chances, sums in inner:
+            chances /= sums[:, None]
             chances[np.arange(len(own)), word] -= 1
             chances *= scale[own]
             d_states[own] += chances @ self.w["wo"][c].T
@@ -260,6 +265,8 @@ class Lanes:
         self.targets = np.zeros((self.count, self.steps), np.int32)
         self.document = np.full((self.count, self.steps), -1, np.int32)
         self.fresh = np.zeros((self.count, self.steps), bool)
+        dealt.sort(key=lambda own: -sum(len(documents[d]) for d in own))  # lanes end from the last to the first
+        self.loads = np.array([sum(len(documents[d]) for d in own) for own in dealt])
         for lane, own in enumerate(dealt):
             at = 0
             for d in own:
@@ -271,9 +278,10 @@ class Lanes:
         self.inputs[self.fresh] = 0
 
     def windows(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(inputs, targets, documents, fresh) with steps first."""
+        """(inputs, targets, documents, fresh) with steps first, of the lanes that have not ended."""
         for s in range(0, self.steps, STEPS):
-            yield tuple(np.ascontiguousarray(a[:, s : s + STEPS].T) for a in (self.inputs, self.targets, self.document, self.fresh))
+            live = int((self.loads > s).sum())
+            yield tuple(np.ascontiguousarray(a[:live, s : s + STEPS].T) for a in (self.inputs, self.targets, self.document, self.fresh))
 
 
 def _documents(batch: pa.RecordBatch, vocabulary: Vocabulary) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
@@ -294,6 +302,7 @@ def _trainer(vocabulary, flat) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             lanes = Lanes([symbols for _, symbols, _ in _documents(batch, known)])
             h = np.zeros((lanes.count, WIDTH), np.float32)
             for number, (inputs, targets, document, fresh) in enumerate(lanes.windows()):
+                h = h[: inputs.shape[1]]
                 if number % BACK_EVERY:
                     h, _ = network.read(inputs, fresh, h)
                 else:
@@ -352,7 +361,8 @@ def _scorer(vocabulary, flat, names: list[str]) -> Callable[[Iterator[pa.RecordB
         for batch in batches:
             if not batch.num_rows:
                 continue
-            symbols, base, within, n_tokens, n_known, tails = [], [], [], [], [], []
+            symbols, base, within, n_tokens, n_known = [], [], [], [], []
+            tail_keys, tail_counts, tail_ends = [], [], [0]
             for words, symbol, place in _documents(batch, known):
                 symbols.append(symbol)
                 n_tokens.append(len(words))
@@ -361,18 +371,21 @@ def _scorer(vocabulary, flat, names: list[str]) -> Callable[[Iterator[pa.RecordB
                 base.append(float(logs.sum()) - len(words) * unseen)
                 tail = symbol >= known.net
                 within.append(float(logs[tail].sum() - inside[symbol[tail] - known.net].sum()))
-                tails.append(list(Counter(words[i] for i in np.flatnonzero(place < 0).tolist()).items()))
+                tail_words = Counter([words[i] for i in np.flatnonzero(place < 0).tolist()])
+                tail_keys += tail_words.keys()
+                tail_counts += tail_words.values()
+                tail_ends.append(len(tail_keys))
             lanes, logs = Lanes(symbols), np.zeros(len(symbols))
             h = np.zeros((lanes.count, WIDTH), np.float32)
             for inputs, targets, document, fresh in lanes.windows():
-                h, kept = network.read(inputs, fresh, h)
+                h, kept = network.read(inputs, fresh, h[: inputs.shape[1]])
                 out, _ = network.log_chances(kept["h"].reshape(-1, WIDTH), targets.ravel())
                 of = document.ravel()
                 logs += np.bincount(of[of >= 0], out[of >= 0], len(logs))
-            kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+            parts = pa.StructArray.from_arrays([pa.array(tail_keys, pa.binary()), pa.array(tail_counts, pa.int64())], ["word", "n"])
             made = {
                 "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base": pa.array(base),
-                "score": pa.array(logs / math.log(10) + np.array(within)), "tail": pa.array([[{"word": w, "n": n} for w, n in t] for t in tails], kind),
+                "score": pa.array(logs / math.log(10) + np.array(within)), "tail": pa.ListArray.from_arrays(pa.array(tail_ends, pa.int32()), parts),
             }
             yield pa.record_batch([*(batch[n] for n in names), pa.array(uid + np.arange(batch.num_rows)), *made.values()], names=[*names, "uid", *made])
             uid += batch.num_rows
