@@ -10,9 +10,9 @@ only has to learn what the context adds.
 
 Training is truncated backpropagation in numpy inside the tasks: documents lie one behind
 the other in lanes, the state is carried from window to window and reset where a document
-begins, every window is read and each ``BACK_EVERY``-th is backpropagated. After each round,
-over a growing share of the documents and over all of them in the end, the tasks' weights
-are averaged in two steps of partial sums, so the driver gets a few rows.
+begins, and every window is backpropagated. After each round, over a growing share of the
+documents and over all of them in the end, the tasks' weights are averaged in two steps of
+partial sums, so the driver gets a few rows.
 
 Scoring carries the state through each complete document. The tasks know the counts of the
 ``KNOWN_WORDS`` most frequent words; occurrences of others are joined with the counts.
@@ -44,7 +44,7 @@ from tablescry.session import cut_lineage
 
 NET_WORDS, CLASS_WORDS, KNOWN_WORDS = 4096, 64, 1 << 16
 WIDTH, LANES, STEPS = 16, 384, 16
-BACK_EVERY, RATE, SEED = 3, 0.08, 7
+RATE, SEED = 0.08, 7
 ROUND_SHARES = (1, 1, 2, 4, 8)  # sixteenths of the training documents
 END = b"\x00"  # no word holds it alone: it is written as its own token below
 _ENDINGS = (b".", b",", b"!?", b"*#$%&", b"|", b";:", b"0123456789")
@@ -184,38 +184,42 @@ class Network:
         soft /= total[:, None]
         order = np.argsort(of.astype(np.int16), kind="stable")
         bounds = np.searchsorted(of[order], np.arange(self.classes + 1))
-        sorted_states, word = states[order], targets[order]
-        inside, inner = np.zeros(len(targets), np.float32), []
-        for c in range(self.classes):
-            own = slice(bounds[c], bounds[c + 1])
-            if own.start < own.stop:
-                scores = sorted_states[own] @ self.w["wo"][c] + self.w["bo"][c]
-                scores -= scores.max(axis=1, keepdims=True)
-                chances = np.exp(scores)
-                sums, place = chances.sum(axis=1), word[own] - c * CLASS_WORDS
-                inside[own] = scores[rows[: len(place)], place] - np.log(sums)
-                inner.append((c, order[own], place, chances, sums))
-        out[order] += inside
-        return out, (of, soft, inner)
+        own, met = order[: bounds[-1]], np.flatnonzero(np.diff(bounds))  # tokens by class, and the classes they are of
+        sorted_states, kind = states[own], of[own]
+        chances = np.empty((len(own), CLASS_WORDS), np.float32)
+        for c in met.tolist():
+            np.matmul(sorted_states[bounds[c] : bounds[c + 1]], self.w["wo"][c], out=chances[bounds[c] : bounds[c + 1]])
+        chances += self.w["bo"][kind]
+        chances -= chances.max(axis=1, keepdims=True)
+        place = targets[own] - kind * CLASS_WORDS
+        scores = chances[rows[: len(own)], place]
+        np.exp(chances, out=chances)
+        sums = chances.sum(axis=1)
+        out[own] += scores - np.log(sums)
+        return out, (of, soft, own, met, bounds, place, chances, sums)
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, weights: np.ndarray, fresh: np.ndarray, h: np.ndarray, speed: "Adagrad") -> np.ndarray:
         """One window of truncated backpropagation; returns the state after it."""
         after, kept = self.read(inputs, fresh, h)
         states, flat_targets = kept["h"].reshape(-1, WIDTH), targets.ravel()
-        _, (of, soft, inner) = self.log_chances(states, flat_targets)
+        _, (of, soft, own, met, bounds, place, chances, sums) = self.log_chances(states, flat_targets)
         scale = (weights.ravel() / max(1.0, weights.sum())).astype(np.float32)[:, None]
         soft[np.arange(len(of)), of] -= 1
         soft *= scale
         d_states = soft @ self.w["wc"].T
         speed.step("wc", states.T @ soft)
         speed.step("bc", soft.sum(axis=0))
-        for c, own, word, chances, sums in inner:
-            chances /= sums[:, None]
-            chances[np.arange(len(own)), word] -= 1
-            chances *= scale[own]
-            d_states[own] += chances @ self.w["wo"][c].T
-            speed.step("wo", states[own].T @ chances, c)
-            speed.step("bo", chances.sum(axis=0), c)
+        chances /= sums[:, None]
+        chances[np.arange(len(own)), place] -= 1
+        chances *= scale[own]
+        sorted_states, d_sorted, d_wo = states[own], np.empty((len(own), WIDTH), np.float32), np.empty((len(met), WIDTH, CLASS_WORDS), np.float32)
+        for i, c in enumerate(met.tolist()):
+            span = slice(bounds[c], bounds[c + 1])
+            np.matmul(chances[span], self.w["wo"][c].T, out=d_sorted[span])
+            np.matmul(sorted_states[span].T, chances[span], out=d_wo[i])
+        d_states[own] += d_sorted
+        speed.step("wo", d_wo, met)
+        speed.step("bo", np.add.reduceat(chances, bounds[met], axis=0), met)
         d_states = d_states.reshape(kept["h"].shape)
         d_x, d_h = np.empty((*inputs.shape, 3 * WIDTH), np.float32), np.empty((*inputs.shape, 3 * WIDTH), np.float32)
         d_next = np.zeros_like(h)
@@ -301,12 +305,8 @@ def _trainer(vocabulary, flat) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                 speed = Adagrad(network)
             lanes = Lanes([symbols for _, symbols, _ in _documents(batch, known)])
             h = np.zeros((lanes.count, WIDTH), np.float32)
-            for number, (inputs, targets, document, fresh) in enumerate(lanes.windows()):
-                h = h[: inputs.shape[1]]
-                if number % BACK_EVERY:
-                    h, _ = network.read(inputs, fresh, h)
-                else:
-                    h = network.learn(inputs, targets, (document >= 0).astype(np.float32), fresh, h, speed)
+            for inputs, targets, document, fresh in lanes.windows():
+                h = network.learn(inputs, targets, (document >= 0).astype(np.float32), fresh, h[: inputs.shape[1]], speed)
             tokens += int((lanes.document >= 0).sum())
         if network is not None:
             yield _weights_row(network.flat.astype(float) * tokens, tokens)

@@ -1,9 +1,12 @@
 """Each training-text operator against a plain version, on tables with every awkward row."""
 
 import random
+from collections import Counter
+from types import SimpleNamespace
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +89,24 @@ def test_lm_chances_sum_to_one_and_carry_the_state(spark):
     assert np.allclose(np.concatenate(parts), whole["h"], atol=1e-6)
 
 
+def test_lm_every_token_is_learnt_from(spark, monkeypatch):
+    counts = spark.createDataFrame([(lm_scoring.END, 5)] + [(f"w{i}".encode(), 200 - i) for i in range(150)], "word binary, n long")
+    vocabulary = lm_scoring.Vocabulary(counts)
+    texts = [" ".join(f"w{(i * k) % 150}" for k in range(words)) for i, words in enumerate((10, 40, 48, 100, 333), 1)]
+    learnt, learn = Counter(), lm_scoring.Network.learn
+
+    def noted(network, inputs, targets, weights, *others):
+        learnt.update(targets[weights > 0].tolist())
+        return learn(network, inputs, targets, weights, *others)
+
+    monkeypatch.setattr(lm_scoring.Network, "learn", noted)
+    train = lm_scoring._trainer(SimpleNamespace(value=vocabulary), SimpleNamespace(value=lm_scoring.Network(vocabulary).flat))
+    batches = [pa.record_batch({"text": texts[:2]}), pa.record_batch({"text": texts[2:]})]  # each document has a lane of its own
+    tokens = sum(row["tokens"] for out in train(iter(batches)) for row in out.to_pylist())
+    every = Counter(vocabulary.symbols([w for t in texts for w in [*lm_scoring.words_of(t.encode()), lm_scoring.END]])[0].tolist())
+    assert learnt == every and tokens == every.total()
+
+
 def test_lm_gradient_is_the_slope():
     class Known:
         net, classes, n = 70, 2, np.arange(70, 0, -1.0)
