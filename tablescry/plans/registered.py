@@ -779,7 +779,7 @@ def quality_change(spark, folder):
 
 @query
 def compare(spark, folder):
-    return tidy(cp.compare(*_halves(spark, folder), with_quality=False))
+    return tidy(cp.compare(*_halves(spark, folder)))
 
 
 @query

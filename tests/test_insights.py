@@ -11,6 +11,7 @@ from tablescry.operators import (
 from tablescry.operators.profile import profile_table
 from tablescry.operators.routing import Routing
 from tablescry.plans import analyse as al
+from tablescry.plans.registered import QUERIES
 
 
 def test_ranking_ties_and_limits(spark):
@@ -79,6 +80,16 @@ def test_compare_pair(spark):
     assert same.count() == 0
 
 
+def test_registered_compare_reports_quality(spark, tmp_path):
+    day = F.when(F.col("id") < 60, F.lit("1997-06-01")).otherwise(F.lit("1998-06-01")).cast("timestamp_ntz")
+    orders = spark.range(120).select(
+        F.col("id").alias("o_orderkey"), F.lit(7).cast("long").alias("o_custkey"), F.lit("O").alias("o_orderstatus"),
+        (F.col("id") % 10 + 95.5).alias("o_totalprice"), day.alias("o_orderdate"), F.lit("1-URGENT").alias("o_orderpriority"))
+    orders.unionByName(orders.where("o_orderkey >= 60")).write.parquet(str(tmp_path / "orders.parquet"))
+    rows = [r for r in QUERIES["compare"](spark, str(tmp_path)).collect() if r["kind"] == "quality"]
+    assert len(rows) == 1 and rows[0]["direction"] == "down" and rows[0]["before"] - rows[0]["after"] >= 3
+
+
 def test_unrelated_tables_do_not_compare(spark):
     a, b = spark.createDataFrame([(1, 2)], "x int, y int"), spark.createDataFrame([(1, "a")], "totally int, different string")
     assert not cp.comparable(a, b).first()["comparable"] and cp.compare(a, b).count() == 0
