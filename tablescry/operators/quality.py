@@ -447,10 +447,10 @@ def health_score(issues: DataFrame, n_rows: int) -> DataFrame:
 
 
 def passed_checks(issues: DataFrame, known: TableProfile | None = None) -> DataFrame:
-    """The checks that found nothing. Given the profile, spelling variants only pass
-    where every text column has few enough values to be checked for them."""
+    """The checks that found nothing. Spelling variants only pass where the profile shows
+    that every text column has few enough values to be checked for them."""
     spark = issues.sparkSession
-    unread = known is not None and any(c["dtype"] == "string" and c["n_unique"] > MAX_VARIANT_VOCABULARY for c in known.columns)
+    unread = known is None or any(c["dtype"] == "string" and c["n_unique"] > MAX_VARIANT_VOCABULARY for c in known.columns)
     ran = spark.createDataFrame([(c,) for c in CHECKS if not (unread and c == "category_variants")], "check string")
     kinds = issues.select(F.when(F.col("kind") == "empty_column", "missing_values").otherwise(F.col("kind")).alias("check")).distinct()
     return ran.join(F.broadcast(kinds), "check", "left_anti")  # at most eleven kinds

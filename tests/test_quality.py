@@ -47,6 +47,14 @@ def test_tidy_table(spark):
     assert qu.passed_checks(issues).count() >= 9
 
 
+def test_unread_spellings_are_not_passed(spark):
+    few = spark.range(500).select(F.concat(F.lit("name "), (F.col("id") % 401).cast("string")).alias("c"))
+    known = profile_table(few, "sketch", audit=True)
+    issues = qu.health_issues(few, known)
+    assert "category_variants" not in {r["check"] for r in qu.passed_checks(issues, known).collect()}
+    assert "category_variants" not in {r["check"] for r in qu.passed_checks(issues).collect()}
+
+
 def test_empty_table_scores_zero(spark):
     report = qu.health(spark.createDataFrame([], "a long"))[1].first()
     assert report["score"] == 0.0 and report["grade"] == "Critical" and report["n_issues"] == 0
