@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablescry.plans.derived import scratch_folder
+
 SLICE_BYTES, SLICE_ROWS = 1 << 20, 1 << 14
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -20,6 +22,26 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
+class Tables:
+    """Written tables in a scratch folder that every executor sees: they cut lineage and can be dropped once spent."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, scratch_folder(spark), {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.paths)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        for frame in frames:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[id(frame)][0])
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges of a text column with their bytes and offsets: (first row, end row, bytes, offsets).
 
