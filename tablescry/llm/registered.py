@@ -9,7 +9,9 @@ from tablescry.llm.line_dedup import OP9_SQL, op9_line_dedup
 from tablescry.llm.lm_scoring import op1_lm_scoring
 from tablescry.llm.mixing import OP3_SQL, op3_mixing
 from tablescry.llm.near_dup import op7_near_dup
+from tablescry.llm.periodic_runs import op12_periodic_runs
 from tablescry.llm.quality import op10_quality
+from tablescry.llm.secret_scan import op13_secret_scan
 from tablescry.llm.substring_dedup import op2_substring_dedup
 from tablescry.llm.token_output import op8_token_output
 
@@ -24,5 +26,7 @@ QUERIES = {
     "op8_token_output": op8_token_output,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_secret_scan": op13_secret_scan,
 }
 ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL, "op5_exact_search": OP5_SQL, "op9_line_dedup": OP9_SQL}

@@ -110,3 +110,55 @@ def earliest_deadlines(shares):
         out.append(min(due)[1])
         done[out[-1]] += 1
     return out
+
+
+def folded(words, doc_id):
+    """Words after the change that the id's crc32 asks for."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    g = h // 10
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+
+
+def runs(words, least=6, repeats=4):
+    """(start, length, period) of each maximal stretch with its smallest period."""
+    n, out = len(words), set()
+    for q in range(1, n // repeats + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(least, repeats * q) and not any(all(words[k] == words[k + r] for k in range(i, j + q - r)) for r in range(1, q)):
+                out.add((i, j + q - i, q))
+            i = j + 1
+    return sorted(out)
+
+
+def run_digests(text, doc_id):
+    """(n_runs, start, length, period, exponent_milli, runs_sha256, collapsed_sha256)."""
+    words = folded(WORD.findall(text or ""), doc_id)
+    found = runs(words)
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    kept = " ".join(w for i, w in enumerate(words) if i not in gone)
+    best = min(found, key=lambda r: (-r[1], r[0], r[2]), default=None)
+    first = (*best, 1000 * best[1] // best[2]) if best else (None,) * 4
+    lines = "".join(f"{s},{n},{q}\n" for s, n, q in found)
+    return (len(found), *first, hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(kept.encode()).hexdigest())
+
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+
+
+def base_secrets(text):
+    """(n_assign, n_access, n_hex, sha256 of all) of the base spans."""
+    text = text or ""
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 24]
+    names = ("assign", "access", "hex")
+    joined = ",".join(f"{names[k]}:{s}:{e}" for s, k, e in sorted(found))
+    return (*(sum(k == i for _, k, _ in found) for i in range(3)), hashlib.sha256(joined.encode()).hexdigest())
