@@ -20,13 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tablescry.llm.common import code_points, held_out, lowered, sums_between, text_slices, word_bounds, word_hashes
 from tablescry.plans.derived import load
 
 SAMPLE_ROWS = 12_000
 ROUNDS, DEPTH, BINS, RATE = 80, 4, 48, 0.15
-LEAST_WEIGHT, RIDGE = 3.0, 1.0
+LEAST_WEIGHT, LEAST_SHARE, RIDGE = 1.0, 0.1, 1.0  # a node has LEAST_WEIGHT of hessian, or that share of all of it on few rows
 THRESHOLD = 0.3
 _CLASS: dict[str, np.ndarray] = {}
 KINDS = ("lower", "upper", "letter", "digit", "space", "newline", "stop", "comma", "exclaim", "bar", "mark", "other", "control")
@@ -144,6 +145,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, depth: int = D
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(width)]
     binned = np.column_stack([np.searchsorted(cuts[j], x[:, j], side="left") for j in range(width)])
     total, features, thresholds, values = np.full(len(y), empty.base), [], [], []
+    least = min(LEAST_WEIGHT, LEAST_SHARE * share * (1 - share) * len(y))
     for _ in range(rounds):
         chance = 1 / (1 + np.exp(-total))
         gradient, weight = chance - y, np.maximum(chance * (1 - chance), 1e-9)
@@ -157,7 +159,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, depth: int = D
                 at = place + binned[:, j]
                 g, w = (np.bincount(at, v, count * bins).reshape(count, bins).cumsum(axis=1) for v in (gradient, weight))
                 gain = g**2 / (w + RIDGE) + (g_all[:, None] - g) ** 2 / (w_all[:, None] - w + RIDGE) - (g_all**2 / (w_all + RIDGE))[:, None]
-                gain[(w < LEAST_WEIGHT) | (w_all[:, None] - w < LEAST_WEIGHT)] = 0
+                gain[(w < least) | (w_all[:, None] - w < least)] = 0
                 gain = gain[:, : len(cuts[j])]
                 if not gain.shape[1]:
                     continue
@@ -202,21 +204,25 @@ def score_quality(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD, k
     and no column is added."""
     keep = ["doc_id"] if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(trees)
-    source = docs.select(*keep, F.col("text").alias("_text_to_score"))
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # whatever their names
+    kept = [f"c{docs.columns.index(c)}" for c in keep]
+    source = numbered.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(kept)), F.col(f"c{docs.columns.index('text')}").alias("text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [shared.value.score(text_statistics(data, offsets)) for _, _, data, offsets in text_slices(batch["_text_to_score"])]
+            parts = [shared.value.score(text_statistics(data, offsets)) for _, _, data, offsets in text_slices(batch["text"])]
             scores = np.concatenate(parts) if parts else np.zeros(0)
             good = scores >= threshold
-            own = [batch[c] for c in keep]
+            names, own = batch.schema.names[:-1], batch.columns[:-1]
             if only_good:
-                yield pa.record_batch(own, names=keep).filter(pa.array(good))
+                yield pa.record_batch(own, names=names).filter(pa.array(good))
             else:
-                yield pa.record_batch([*own, pa.array(scores), pa.array(good.astype(np.int32))], names=[*keep, "score", "predicted"])
+                yield pa.record_batch([*own, pa.array(scores), pa.array(good.astype(np.int32))], names=[*names, "score", "predicted"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
-    return source.mapInArrow(score, ", ".join(fields + ([] if only_good else ["score double", "predicted int"])))
+    fields = StructType(source.schema.fields[:-1])
+    if only_good:
+        return source.mapInArrow(score, fields).toDF(*keep)
+    return source.mapInArrow(score, fields.add("score", "double").add("predicted", "int")).toDF(*keep, "score", "predicted")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
