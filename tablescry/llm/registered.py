@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tablescry.llm.conversation_trie import OP11_SQL, op11_conversation_trie
 from tablescry.llm.decontaminate import op4_decontaminate
 from tablescry.llm.exact_search import OP5_SQL, op5_exact_search
 from tablescry.llm.language_id import op6_language_id
@@ -26,7 +27,8 @@ QUERIES = {
     "op8_token_output": op8_token_output,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_secret_scan": op13_secret_scan,
 }
-ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL, "op5_exact_search": OP5_SQL, "op9_line_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL, "op5_exact_search": OP5_SQL, "op9_line_dedup": OP9_SQL, "op11_conversation_trie": OP11_SQL}
