@@ -5,17 +5,21 @@ a random order drawn for the round (Lacki, Mirrokni and Wlodarczyk, "Connected C
 Scale via Local Contractions"), and on from there once more; nodes that went the same way
 become one node, and edges within it go. Whatever the ids and however long the paths, a
 round leaves less than half of the nodes, so the number of rounds grows with the logarithm
-of the number of nodes.
+of the number of nodes. The last ``LAST_EDGES`` edges, a constant, are joined in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescry.llm.common import Tables
 
 COMPOSED = 4  # rounds whose steps are joined in one job
+LAST_EDGES = 2_000
 
 
 def components(edges: DataFrame, tables: Tables) -> DataFrame:
@@ -27,7 +31,7 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
     whole = edges.where("a is not null and b is not null").select(F.col("a").cast("long"), F.col("b").cast("long"))
     first = tables.keep(whole.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     left, steps, spent = first.where("a <> b"), [], [first]
-    while not left.isEmpty():
+    while (edges_left := left.count()) > LAST_EDGES:
         step = _step(left, len(steps))
         beyond = step.toDF("into", "beyond")
         steps.append(tables.keep(step.join(beyond, "into").select("node", F.col("beyond").alias("into"))))
@@ -37,6 +41,8 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
         spent.append(left)
         tables.drop(*spent[1:-1])
         del spent[1:-1]
+    if edges_left:
+        steps.append(tables.keep(left.coalesce(1).mapInArrow(_joined, "node long, into long")))
     nodes = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     roots = nodes.select("node", F.col("node").alias("root")) if not steps else steps[-1].toDF("node", "root")
     for number, step in enumerate(reversed(steps[:-1]), 1):
@@ -59,3 +65,19 @@ def _step(edges: DataFrame, number: int) -> DataFrame:
     both = edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other")
     first = both.groupBy("node").agg(F.min(place("other")).alias("first"))
     return first.select("node", F.least("first", place("node")).getField("node").alias("into"))
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node of a few edges with the representative of its component."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
+            parent[root(a)] = root(b)
+    nodes = list(parent)
+    yield pa.record_batch({"node": pa.array(nodes, pa.int64()), "into": pa.array([root(x) for x in nodes], pa.int64())})

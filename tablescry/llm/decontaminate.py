@@ -217,12 +217,10 @@ def with_verdict(found: DataFrame, least_share: int = LEAST_SHARE) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_share: int = LEAST_SHARE) -> DataFrame:
     """The rows of ``docs`` that are not contaminated."""
-    names = [c for c in docs.columns if c != "text"]
-    safe = {n: f"_kept_{i}" for i, n in enumerate(names)}  # free of clashes with the columns made here
-    renamed = docs.select(*[F.col(f"`{n}`").alias(safe[n]) for n in names], "text")
-    judged = with_verdict(find_items(renamed, items, window, list(safe.values())), least_share)
-    back = {n: F.col(safe[n]).alias(n) for n in names} | {"text": F.col("_text").alias("text")}
-    return judged.where(~F.col("contaminated")).select(*[back[c] for c in docs.columns])
+    safe = [f"_kept_{i}" for i in range(len(docs.columns))]  # free of clashes with the columns made here
+    text = safe[docs.columns.index("text")]
+    judged = with_verdict(find_items(docs.toDF(*safe).withColumnRenamed(text, "text"), items, window, [c for c in safe if c != text]), least_share)
+    return judged.where(~F.col("contaminated")).withColumnRenamed("_text", text).select(*safe).toDF(*docs.columns)
 
 
 def without_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_words: int = WINDOW) -> DataFrame:

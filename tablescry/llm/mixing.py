@@ -129,9 +129,9 @@ def mix(
 def in_mixed_order(docs: DataFrame, weights: dict[str | None, int] | None = None, **options: int) -> DataFrame:
     """All rows and columns of ``docs``, sorted into the mixture."""
     safe = [f"_kept_{i}" for i in range(len(docs.columns))]
-    carried = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, safe, strict=True)], "doc_id", "source", "text")
-    mixed = mix(carried, weights, keep=safe, **options).orderBy("_slot", "_offset")
-    return mixed.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, safe, strict=True)])
+    named = [F.col(safe[docs.columns.index(c)]).alias(c) for c in ("doc_id", "source", "text")]
+    mixed = mix(docs.toDF(*safe).select("*", *named), weights, keep=safe, **options).orderBy("_slot", "_offset")
+    return mixed.select(*safe).toDF(*docs.columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

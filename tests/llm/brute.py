@@ -162,3 +162,39 @@ def base_secrets(text):
     names = ("assign", "access", "hex")
     joined = ",".join(f"{names[k]}:{s}:{e}" for s, k, e in sorted(found))
     return (*(sum(k == i for _, k, _ in found) for i in range(3)), hashlib.sha256(joined.encode()).hexdigest())
+
+
+def rebuilt_conversations(rows):
+    """Turns (role, text) of each rebuilt conversation, by conv_id; rows are (conv_id, turn, role, text)."""
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            mark = hashlib.md5(f"{len(role.encode())}:{role}{text}".encode()).digest()
+            own[c].append(((turn is not None, turn or 0), mark, (role, text)))
+    own = {c: [t for _, _, t in sorted(turns, key=lambda x: x[:2])] for c, turns in own.items()}
+    out = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        out[c] = own.get(c - c % 5, [])[:h] + turns[h:]
+    return out
+
+
+def trie(rows):
+    """The node rows of the prefix trie."""
+    whole = rebuilt_conversations(rows)
+    members = defaultdict(list)
+    for c in sorted(whole):
+        for d in range(len(whole[c]) + 1):
+            members[tuple(whole[c][:d])].append(c)
+    children = Counter(p[:-1] for p in members if p)
+    leaves, saved = Counter(), Counter()
+    for p, convs in members.items():
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += children[p] == 0
+            saved[p[:d]] += (len(convs) - 1) * len(p[-1][1].encode()) if p else 0
+    out = []
+    for p, convs in members.items():
+        ends = ",".join(str(c) for c in convs if len(whole[c]) == len(p))
+        out.append((convs[0], len(p), members[p[:-1]][0] if p else None, len(convs), children[p], leaves[p], saved[p], hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=repr)

@@ -10,6 +10,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tablescry.llm import components as component_rounds
+from tablescry.llm.components import components
 from tablescry.llm import common, decontaminate, exact_search, language_id, line_dedup, lm_scoring, mixing, near_dup, quality, substring_dedup, token_output
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, start int, label int, key string, anchor string, uid int, _text string"
@@ -287,6 +289,68 @@ def test_near_duplicates_in_a_large_group(spark):
     same(out, ["doc_id", "n_shingles", "component_id"], rows, brute.near_duplicates(rows))
 
 
+@pytest.mark.parametrize("last_edges", [0, 2_000])
+def test_components_of_a_shuffled_path_take_few_rounds(spark, monkeypatch, last_edges):
+    monkeypatch.setattr(component_rounds, "LAST_EDGES", last_edges)
+    ids = list(range(2000))
+    random.Random(1).shuffle(ids)
+    tables = common.Tables(spark)
+    edges = spark.createDataFrame([*zip(ids, ids[1:]), (5000, 5001), (5001, 5000), (7000, 7000), (None, 1)], "a long, b long")
+    found = {r.node: r.label for r in components(edges, tables).collect()}
+    assert found == {i: 0 for i in ids} | {5000: 5000, 5001: 5000, 7000: 7000}
+    assert len(tables.paths) <= 2 * 20 + 4
+    assert components(edges.limit(0), common.Tables(spark)).count() == 0
+
+
+def test_drifting_copies_are_one_group(spark):
+    rng = random.Random(6)
+    words, rows = [f"w{i}" for i in range(90)], []
+    ids = list(range(800))
+    rng.shuffle(ids)
+    for i in ids:
+        rows.append((i, " ".join(words)))
+        words[rng.randrange(90)] = f"e{rng.randrange(10**6)}"
+    out = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    same(out, ["doc_id", "n_shingles", "component_id"], rows, brute.near_duplicates(rows))
+
+
+def test_rows_are_judged_by_their_text(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(3, a), (5, a), (5, b), (7, b), (None, "c " + a), (None, None), (8, None), (8, None)]
+    table = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, `meta.url` string, label int")
+    got = sorted((tuple(r) for r in near_dup.near_duplicates(table).select("doc_id", "component_id", "kept").collect()), key=repr)
+    expected = [(3, 3, True), (5, 3, False), (5, 5, True), (7, 5, False), (None, 3, False), (None, None, True), (8, 8, True), (8, 8, True)]
+    assert got == sorted(expected, key=repr)
+    kept = near_dup.without_near_duplicates(table)
+    assert kept.columns == table.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(3, a), (5, b), (None, None), (8, None)], key=repr)
+
+
+def test_a_null_id_joins_its_neighbours(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(w) for w in (words, [*words[:-3], "x", "y", "z"], [*words[3:-3], "x", "y", "z", "p", "q", "r"])]
+    sets = [brute.shingles(t, 3) for t in texts]
+    share = [100 * len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in ((0, 1), (1, 2), (0, 2))]
+    percent = int(min(share[:2]))
+    assert share[2] < percent
+    rows = [(1, texts[0]), (None, texts[1]), (2, texts[2])]
+    out = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent)
+    assert {r.component_id for r in out.collect()} == {1}
+
+
+def test_fewer_places_are_asked_of_less_similar_sets(spark):
+    assert [near_dup.matches(p) for p in (100, 85, 80, 60, 5)] == sorted((near_dup.matches(p) for p in (100, 85, 80, 60, 5)), reverse=True)
+    rng, rows = random.Random(8), []
+    for i in range(120):
+        words = [f"d{i}w{k}" for k in range(60)]
+        rows.append((2 * i, " ".join(words)))
+        for k in rng.sample(range(0, 60, 4), 5):
+            words[k] = f"x{k}"
+        rows.append((2 * i + 1, " ".join(words)))
+    out = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=60)
+    same(out, ["doc_id", "n_shingles", "component_id"], rows, brute.near_duplicates(rows, 3, 60))
+
+
 def test_shingle_sets_are_those_of_each_text_alone():
     texts = ["a b c d", "", "a", "A  b", "a b c d a b c d"]
     data = np.frombuffer("".join(texts).encode(), np.uint8)

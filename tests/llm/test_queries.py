@@ -3,6 +3,7 @@
 import brute
 import pytest
 from oracle_check import compare, connect
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tablescry.llm.registered import ORACLES, QUERIES
@@ -75,3 +76,16 @@ def test_pipeline_stage_by_stage(spark, con, tmp_path):
     assert sorted(mixture) == sorted(clean)
     assert [r.doc_id for r in tokens] == [d for d, _ in mixture]
     assert [r.start for r in tokens] == [sum(t.n_tokens for t in tokens[:i]) for i in range(len(tokens))]
+
+
+def test_pipeline_takes_any_column_names(spark, tmp_path):
+    extra = {"meta.url": "u", "score": "s", "_text_to_score": "t", "id": "i", "label": "l", "k_doc": "d", "nth": "n", "`": "q"}
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60)
+    docs = docs.select("*", *(F.lit(v).alias(c) for c, v in extra.items()))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        stage(spark, docs, FOLDER).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns == columns
+    assert {tuple(r)[-len(extra):] for r in docs.collect()} == {tuple(extra.values())}
+    assert corpus_pipeline.STAGES[4][1](spark, docs, FOLDER).count() == docs.count()
