@@ -43,6 +43,7 @@ PERCENT = 85
 COORDINATES, MISS = 64, 1e-5
 HUBS, FEWER = 4, 0.9  # hub rounds go on while they leave fewer than this share of the open components
 HASH_BITS = 48
+PARITY = 8  # 64-bit words of a set's parity bits
 
 
 def matches(percent: int) -> int:
@@ -123,6 +124,21 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         })
 
 
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each set's parity bits: bit k says whether an odd number of its shingles has hash k.
+
+    Shared shingles cancel, so two sets' bits differ in no more places than there are
+    shingles that only one of them has.
+    """
+    for batch in batches:
+        bits = np.zeros((batch.num_rows, PARITY * 64), np.int64)
+        for i, v in enumerate(batch["shingles"]):
+            places = mixed(np.frombuffer(v.as_buffer(), np.uint64)) % np.uint64(PARITY * 64)
+            bits[i] = np.bincount(places.astype(np.int64), minlength=PARITY * 64)
+        packed = np.packbits((bits & 1).astype(np.uint8), axis=1).view(np.int64)
+        yield pa.record_batch([batch["id"], *(pa.array(packed[:, k]) for k in range(PARITY))], names=["id", *(f"bits{k}" for k in range(PARITY))])
+
+
 def _confirm(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,7 +226,8 @@ class _Linker:
         Their classes' shingles are put in order: first those of one component alone, then the
         rarest of the others. Similar sets share a shingle early enough in both for the rest of
         either to hold the overlap that is needed; so a class with too many shingles of its own
-        component meets nobody.
+        component meets nobody. Of those that meet, pairs whose parity bits differ in too many places
+        can't be similar and are not even paired.
         """
         open_ids = self.posts.join(self._open(), "code").groupBy("id").agg(F.min("label").alias("label"))
         sets = self.tables.keep(self.full.join(open_ids, "id").select("id", "label", "shingles"))
@@ -222,14 +239,18 @@ class _Linker:
         reach = F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1  # places in which a similar set must meet this one
         first = F.col("n") - F.size("held")
         early = shared.select("id", "label", "n", first.alias("first"), F.posexplode(F.slice("held", 1, F.greatest(F.lit(0), (reach - first).cast("int")))).alias("at", "p"))
-        early = self.tables.keep(early.select("id", "label", "n", (F.col("n") - F.col("first") - F.col("at")).alias("left"), F.col("p.shingle").alias("shingle")))
+        early = early.select("id", "label", "n", (F.col("n") - F.col("first") - F.col("at")).alias("left"), F.col("p.shingle").alias("shingle"))
+        bits = [f"bits{k}" for k in range(PARITY)]
+        early = self.tables.keep(early.join(sets.mapInArrow(_parities, f"id long, {', '.join(f'{c} long' for c in bits)}"), "id"))
         sizes = early.groupBy("shingle", "label").agg(F.count("*").alias("size"))
         largest = sizes.groupBy("shingle").agg(F.max_by("label", F.struct("size", "label")).alias("most"), F.count("*").alias("labels"))
         largest = self.tables.keep(largest.where("labels > 1").drop("labels"))
-        apart = early.join(largest, "shingle").where("label <> most").select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("id", "label", "n", "left")])
-        others = early.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("id", "label", "n", "left")])
+        apart, others = (t.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "label", "n", "left", *bits)])
+                         for t, side in ((early.join(largest, "shingle").where("label <> most"), "a"), (early, "b")))
         needed = F.ceil((F.col("n_a") + F.col("n_b")) * self.percent / (100 + self.percent))
-        met = apart.join(others, "shingle").where((F.col("label_a") != F.col("label_b")) & (F.least("left_a", "left_b") >= needed))
+        differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bits), F.lit(0))
+        similar = (F.least("left_a", "left_b") >= needed) & (differ <= F.col("n_a") + F.col("n_b") - 2 * needed)
+        met = apart.join(others, (apart["shingle"] == others["shingle"]) & (F.col("label_a") != F.col("label_b")) & similar)
         ends = F.array_sort(F.array(F.struct(F.col("id_a").alias("id"), F.col("label_a").alias("label")), F.struct(F.col("id_b").alias("id"), F.col("label_b").alias("label"))))
         pairs = met.select(ends.alias("e")).select(*[F.col("e")[i][c].alias(name) for i, c, name in ((0, "id", "a"), (1, "id", "b"), (0, "label", "label_a"), (1, "label", "label_b"))])
         self._link(pairs.distinct())
