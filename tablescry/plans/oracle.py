@@ -205,6 +205,9 @@ ORACLES["category_counts"] = """
 SELECT p_brand AS value, count(*) AS n, (SELECT count(DISTINCT p_brand) FROM part) AS n_categories FROM part GROUP BY 1 ORDER BY n DESC, value LIMIT 15"""
 ORACLES["quantiles"] = " UNION ALL ".join(
     f"SELECT '{m}' AS measure, {p}::DOUBLE AS p, round(quantile_cont({m}, {p}), 4) AS q FROM lineitem" for m in MEASURES for p in (0.1, 0.25, 0.5, 0.75, 0.9))
+ORACLES["quantiles_of_large_groups"] = " UNION ALL ".join(
+    f"""SELECT "line.status", {p}::DOUBLE AS p, round(quantile_cont(v, {p}), 4) AS q FROM (
+  SELECT nullif(l_linestatus, 'O') AS "line.status", unnest([{", ".join(f"{m}::DOUBLE" for m in MEASURES)}]) AS v FROM lineitem) GROUP BY 1""" for p in (0.01, 0.5, 0.999))
 ORACLES["distinct_days"] = "SELECT count(DISTINCT l_shipdate::DATE) AS n_days FROM lineitem"
 ORACLES["overview"] = f"""
 WITH p AS ({profile_sql('orders', ORDERS)}), r AS ({ORACLES['route_time_series']})
@@ -307,6 +310,18 @@ ORACLES["trends"] = " UNION ALL ".join(
 ORACLES["series_stats"] = f"""WITH {SPARSE_SQL} SELECT round(avg(value), 4) AS mean, round(min(value), 4) AS "min", round(max(value), 4) AS "max",
   round(stddev_samp(value), 4) AS std, min(period) AS first_period, max(period) AS last_period, count(*) AS n_periods, count(value) AS n_observed
 FROM {resample_sql('sparse', 'ts', 'value', 'D', 'avg')}"""
+ORACLES["forecast_by_type"] = f"""WITH {SPARSE_SQL},
+d AS (SELECT event_type, ts::DATE AS day, avg(value) AS v FROM sparse GROUP BY ALL),
+calendar AS (SELECT event_type, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM d GROUP BY 1),
+s AS (SELECT event_type, day, last_value(v IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY day) AS y, v IS NULL AS filled FROM calendar LEFT JOIN d USING (event_type, day)),
+p AS (SELECT event_type, count(*) AS n_periods, count(*) FILTER (filled) AS n_filled FROM s WHERE y IS NOT NULL GROUP BY 1),
+f AS (SELECT event_type, day, y, lag(y) OVER (PARTITION BY event_type ORDER BY day) AS l1, lag(y, 7) OVER (PARTITION BY event_type ORDER BY day) AS l7 FROM s WHERE y IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day) > floor(0.8 * count(*) OVER (PARTITION BY event_type)) AS test FROM f WHERE l7 IS NOT NULL),
+m AS (SELECT event_type, round(avg(abs(y - l1)) FILTER (test), 4) AS baseline_mae, count(*) FILTER (NOT test) AS n_train, count(*) FILTER (test) AS n_test
+  FROM r GROUP BY 1 HAVING count(*) >= 30)
+SELECT event_type, CASE WHEN n_test IS NULL THEN 'insufficient_data' ELSE 'ok' END AS status, baseline_mae, coalesce(n_train, 0) AS n_train, coalesce(n_test, 0) AS n_test,
+  n_periods, n_filled, n_filled / n_periods::DOUBLE > 0.3 AS heavily_filled, CASE WHEN n_test IS NOT NULL THEN 7 END::BIGINT AS n_projected, CASE WHEN n_test IS NOT NULL THEN true END AS in_range
+FROM p LEFT JOIN m USING (event_type)"""
 ORACLES["forecast_readiness"] = """SELECT count(DISTINCT o_orderdate::DATE) AS days_observed, min(o_orderdate)::DATE AS first_day, max(o_orderdate)::DATE AS last_day,
   30::BIGINT AS days_needed, count(DISTINCT o_orderdate::DATE) >= 30 AS ready FROM orders"""
 

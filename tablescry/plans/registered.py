@@ -22,9 +22,11 @@ from tablescry.operators import (
     correlation as co,
     findings as fi,
     forecast as fc,
+    forests as fo,
     geo as ge,
     profile as pr,
     quality as qu,
+    quantiles as qt,
     routing as ro,
     textjobs as tx,
     timeseries as ts,
@@ -325,6 +327,14 @@ def quantiles(spark, folder):
     return tidy(ag.quantiles(load(spark, folder, "lineitem"), MEASURES, [0.1, 0.25, 0.5, 0.75, 0.9]))
 
 
+@query
+def quantiles_of_large_groups(spark, folder):
+    """Over a million rows a key at sf0.1; one key is null and the key's name has a dot."""
+    items = load(spark, folder, "lineitem")
+    side = items.select(F.nullif("l_linestatus", F.lit("O")).alias("line.status"), F.explode(F.array(*MEASURES)).alias("v"))
+    return tidy(qt.exact_quantiles(side, ["line.status"], [0.01, 0.5, 0.999]))
+
+
 @query
 def distinct_days(spark, folder):
     return tidy(load(spark, folder, "lineitem").agg(F.count_distinct(F.to_date("l_shipdate")).alias("n_days")))
@@ -509,6 +519,18 @@ def forecast_metrics(spark, folder):
     return tidy(fc.forecast(load(spark, folder, "orders"), "o_orderdate", "o_totalprice", 7)["metrics"])
 
 
+@query
+def forecast_by_type(spark, folder):
+    """What SQL can tell of the forecasts of all event types: sizes, baseline, gaps, and that every projected day lies within the known values."""
+    events = sparse_events(spark, folder)
+    found = fo.forecast_by_key(events, "ts", "value", ["event_type"], 7)
+    known = fc.daily_series(events, "ts", "value", ["event_type"]).groupBy("event_type").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
+    future = found["future"].join(known, "event_type").groupBy("event_type").agg(
+        F.count("predicted").alias("n_projected"), F.bool_and(F.col("predicted").between(F.col("lo"), F.col("hi"))).alias("in_range"))
+    metrics = found["metrics"].join(future, "event_type", "left")
+    return tidy(metrics.select("event_type", "status", "baseline_mae", "n_train", "n_test", "n_periods", "n_filled", "heavily_filled", "n_projected", "in_range"))
+
+
 @query
 def forecast_future(spark, folder):
     return tidy(fc.forecast(load(spark, folder, "orders"), "o_orderdate", "o_totalprice", 14)["future"])

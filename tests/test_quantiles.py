@@ -14,41 +14,48 @@ def data(spark):
     rnd = random.Random(3)
     rows = [
         (rnd.gauss(0, 1), 10 ** rnd.uniform(-5, 12), float(rnd.choice([1, 1, 1, 2, 7])), None if i % 3 else float(i),
-         1e300 if i == 5 else rnd.random(), "hot" if i % 3 == 0 else f"g{i % 7}")
-        for i in range(3000)
+         1e300 if i == 5 else rnd.random(), None if i % 3 == 0 else f"g{i % 7}")
+        for i in range(6000)
     ]
-    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, g string").repartition(6)
-    return df, rows
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, `g.r` string").repartition(6)
+    return df.cache(), rows
 
 
 def expected(values):
     return np.quantile([v for v in values if v is not None], PROBABILITIES)
 
 
-@pytest.mark.parametrize("few, bracket, bins, passes", [(50_000, 2_000, 512, 16), (10, 20, 16, 16), (10, 20, 16, 1)])
-def test_columns(data, monkeypatch, few, bracket, bins, passes):
-    monkeypatch.setattr(qt, "FEW_ROWS", few)
-    monkeypatch.setattr(qt, "FEW_BRACKET_ROWS", bracket)
-    monkeypatch.setattr(qt, "TABLE_BINS", bins)
-    monkeypatch.setattr(qt, "MAX_TABLE_PASSES", passes)
+#: plain; coarse sketches and several narrowing scans; sketches too coarse for the slack, so that brackets miss
+SETTINGS = [(4096, 0.003, 512, 2_000_000), (200, 0.03, 64, 40), (8, 0.01, 64, 10), (8, 0.001, 512, 1)]
+
+
+@pytest.mark.parametrize("sketch, slack, grid, held", SETTINGS)
+def test_columns(data, monkeypatch, sketch, slack, grid, held):
+    for name, value in (("SKETCH", sketch), ("SLACK", slack), ("GRID", grid), ("HELD_ROWS", held)):
+        monkeypatch.setattr(qt, name, value)
     df, rows = data
     table = qt.quantile_table(df, {c: F.col(c) for c in "abcde"}, PROBABILITIES)
     for i, c in enumerate("abcde"):
         np.testing.assert_allclose([table[c][p] for p in PROBABILITIES], expected([r[i] for r in rows]), rtol=1e-12)
 
 
-@pytest.mark.parametrize("group, bracket, bins", [(2_000_000, 2_000_000, 1024), (500, 60, 8), (1, 1, 3)])
-def test_groups_with_one_hot_group(data, monkeypatch, group, bracket, bins):
-    monkeypatch.setattr(qt, "SHORT_GROUP_ROWS", group)
-    monkeypatch.setattr(qt, "SHORT_BRACKET_ROWS", bracket)
-    monkeypatch.setattr(qt, "BINS", bins)
+@pytest.mark.parametrize("sketch, slack, grid, held", SETTINGS)
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_groups_with_a_large_null_group(data, monkeypatch, sketch, slack, grid, held, broadcast):
+    for name, value in (("SKETCH", sketch), ("SLACK", slack), ("GRID", grid), ("HELD_ROWS", held), ("BROADCAST_KEYS", broadcast)):
+        monkeypatch.setattr(qt, name, value)
     df, rows = data
-    got = {(r["g"], r["p"]): r["q"] for r in qt.exact_quantiles(df.select("g", F.col("b").alias("v")), ["g"], PROBABILITIES).collect()}
+    got = {(r["g.r"], r["p"]): r["q"] for r in qt.exact_quantiles(df.select("`g.r`", F.col("b").alias("v")), ["g.r"], PROBABILITIES).collect()}
     for g in {r[5] for r in rows}:
-        np.testing.assert_allclose([got[g, p] for p in PROBABILITIES], expected([r[1] for r in rows if r[5] == g]), rtol=1e-9)
+        np.testing.assert_allclose([got[g, p] for p in PROBABILITIES], expected([r[1] for r in rows if r[5] == g]), rtol=1e-12)
+    assert len(got) == 7 * 8
 
 
-def test_no_values(spark):
+def test_few_values(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert qt.quantile_table(df, {"x": F.col("x")}, [0.5]) == {}
     assert qt.exact_quantiles(df.select(F.col("x").alias("v")).where("v is not null"), [], [0.5]).count() == 0
+    for values in ([4.0], [1.0, 2.0], [5.0] * 9, [-0.0, 0.0, 3.0]):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        got = [r["q"] for r in qt.exact_quantiles(df, [], PROBABILITIES).orderBy("p").collect()]
+        np.testing.assert_allclose(got, expected(values))
