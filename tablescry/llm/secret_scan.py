@@ -147,7 +147,15 @@ def scan_documents(docs: DataFrame, ledger: BlobLedger, rules: tuple[Rule, ...]
 
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_documents(load(spark, sf_dir, "documents"), BlobLedger(spark, scratch_folder(spark)))
+    return digests(found)
+
+
+def digests(found: DataFrame) -> DataFrame:
+    """doc_id, the numbers of the base kinds, and all spans in words."""
     kinds = [rule.kind for rule in BASE_RULES]
     base = F.filter("found", lambda x: x["kind"].isin(kinds))
-    counts = [F.size(F.filter("found", lambda x, k=kind: x["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in kinds]
-    return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, kinds), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"))

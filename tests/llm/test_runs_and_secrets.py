@@ -90,6 +90,9 @@ def test_secret_spans(spark, tmp_path):
         expected.append((repr(d), brute.base_secrets(t)[0], [(s, e) for s, _, e in order]))
     got = [(repr(r.doc_id), sum(f.kind == "assign" for f in r.found), [(f.start, f.end) for f in r.found if f.kind == "assign"]) for r in out]
     assert sorted(got) == sorted(expected)
+    told = ss.digests(ss.scan_documents(table(spark, rows), ss.BlobLedger(spark, str(tmp_path / "again")), ss.RULES)).collect()
+    assert sorted((repr(r.doc_id), *r[1:5]) for r in told) == sorted((repr(d), *brute.base_secrets(t)) for d, t in rows)
+    assert [r.spans for r in told if r.doc_id == 3][0] == "assign:0:20"
     assert ss.scan_documents(table(spark, rows).limit(0), ss.BlobLedger(spark, str(tmp_path / "none"))).count() == 0
     text = b"-----BEGIN RSA PRIVATE KEY-----\n" + b"A" * 40 + b"\n-----END RSA PRIVATE KEY----- https://me:pass1@host/ ghp_" + b"a" * 36
     assert [f["kind"] for f in ss.scan_text(text, ss.FURTHER_RULES)] == ["private_key", "url_password", "hosted_token"]
