@@ -216,7 +216,8 @@ def overview(df: DataFrame) -> DataFrame:
 
 def kpis(df: DataFrame, known: TableProfile | None = None) -> DataFrame:
     """Headline numbers: size, period, two leading measures, and for a table with
-    fewer than four of those the vocabulary of its first category. At most five."""
+    fewer than four of those the vocabulary of its first category with its most common
+    value. At most five."""
     known = known or profile_table(df, "sketch")
     roles = route_profile(known)
     measures = chart_measures(known, roles.target_col)
@@ -242,12 +243,15 @@ def kpis(df: DataFrame, known: TableProfile | None = None) -> DataFrame:
         cards.append((
             "Total" if total else "Average", m, totals[m] if total else facts["mean"], facts["min"], facts["max"], "measure",
         ))
+    most = (None, None)
     if len(cards) < 4 and categories:
         c = known.column(categories[0])
         cards.append(("Distinct", categories[0], float(c["n_unique"]), None, None, "category"))
-    rows = [(i + 1, *card) for i, card in enumerate(cards[:5])]
+        top = category_counts(df, categories[0], 1).first()
+        most = (str(top["value"]), top["n"]) if top else most
+    rows = [(i + 1, *card, *(most if card[-1] == "category" else (None, None))) for i, card in enumerate(cards[:5])]
     return df.sparkSession.createDataFrame(
-        rows, "position int, label string, column string, value double, lowest double, highest double, kind string"
+        rows, "position int, label string, column string, value double, lowest double, highest double, kind string, most_common string, most_common_rows long"
     )
 
 

@@ -31,7 +31,7 @@ APPLY_ORDER = (
 STRATEGIES = ("median", "mean", "zero", "forward", "drop", "label")
 CHUNKS, CHUNK_ROWS = 1000, 1_000_000
 
-RECEIPT_SCHEMA = "step int, action string, column string, rows_before long, rows_after long, cells_changed long"
+RECEIPT_SCHEMA = "step int, action string, column string, rows_before long, rows_after long, cells_changed long, cells_lost long"
 
 
 class CleanError(NotCalculable):
@@ -158,16 +158,17 @@ class _Cleaning:
         self.closed: list[DataFrame] = []
         self.removed: set[str] = set()
 
-    def replace(self, step: int, action: str, column: str, value: Column, changed: Column) -> None:
-        mark = f"_changed_{step}"
-        self.frame = self.frame.withColumns({mark: F.coalesce(changed, F.lit(False)), column: value})
-        self.open.append((step, action, column, self.alive, self.alive, F.col(mark)))
+    def replace(self, step: int, action: str, column: str, value: Column, changed: Column, lost: Column | None = None) -> None:
+        mark, gone = f"_changed_{step}", f"_lost_{step}"
+        marks = {mark: F.coalesce(changed, F.lit(False)), gone: F.lit(False) if lost is None else F.coalesce(lost, F.lit(False))}
+        self.frame = self.frame.withColumns(marks | {column: value})
+        self.open.append((step, action, column, self.alive, self.alive, F.col(mark), F.col(gone)))
 
     def remove_rows(self, step: int, action: str, column: str, bad: Column) -> None:
         mark = f"_removed_{step}"
         self.frame = self.frame.withColumn(mark, F.coalesce(bad, F.lit(False)))
         before, self.alive = self.alive, self.alive & ~F.col(mark)
-        self.open.append((step, action, column, before, self.alive, F.lit(False)))
+        self.open.append((step, action, column, before, self.alive, F.lit(False), F.lit(False)))
 
     def living(self) -> DataFrame:
         return self.frame.where(self.alive).select(*[F.col(f"`{c}`") for c in self.visible])
@@ -176,12 +177,12 @@ class _Cleaning:
         """Count the open steps in one aggregate and start again without marks."""
         if self.open:
             wanted = []
-            for step, action, column, before, after, changed in self.open:
+            for step, action, column, before, after, changed, lost in self.open:
                 wanted.append(
                     F.struct(
                         F.lit(step).alias("step"), F.lit(action).alias("action"), F.lit(column).cast("string").alias("column"),
                         F.count_if(before).alias("rows_before"), F.count_if(after).alias("rows_after"),
-                        F.count_if(before & changed).alias("cells_changed"),
+                        F.count_if(before & changed).alias("cells_changed"), F.count_if(before & lost).alias("cells_lost"),
                     ).alias(f"s{step}")
                 )
             names = [f"s{step}" for step, *_ in self.open]
@@ -194,8 +195,10 @@ class _Cleaning:
 def clean(df: DataFrame, steps: Sequence[dict[str, Any]], order_by: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(cleaned table, receipt) for a list of ``{action, column, ...}`` steps.
 
-    All steps are checked before any is planned, and both results are lazy. A
-    step on a column that an earlier step drops is left out of the receipt.
+    All steps are checked before any is planned. Both results are lazy, but planning reads
+    the table for what a step needs to know: markers of a number column, fences, means and
+    medians. A step on a column that an earlier step drops is left out of the receipt.
+    Values that a number conversion can't read become null and are counted as lost.
     """
     work = _Cleaning(df, order_by)
     for number, step in enumerate(in_order(steps)):
@@ -238,7 +241,8 @@ def _to_numeric(work: _Cleaning, number: int, column: str, step: dict[str, Any])
     value = undecorated_number(F.col(f"`{column}`"), *markers)
     if work.living().where(value.isNotNull()).isEmpty():
         raise CleanError(f"nothing in `{column}` reads as a number")
-    work.replace(number, "to_numeric", column, value, value.isNotNull())
+    present = F.col(f"`{column}`").isNotNull()
+    work.replace(number, "to_numeric", column, value, value.isNotNull(), present & value.isNull())
 
 
 def _drop_column(work: _Cleaning, number: int, column: str, step: dict[str, Any]) -> None:
@@ -246,7 +250,7 @@ def _drop_column(work: _Cleaning, number: int, column: str, step: dict[str, Any]
         raise CleanError(f"`{column}` is the only column left")
     work.visible.remove(column)
     work.removed.add(column)
-    work.open.append((number, "drop_column", column, work.alive, work.alive, F.lit(True)))
+    work.open.append((number, "drop_column", column, work.alive, work.alive, F.lit(True), F.lit(False)))
 
 
 def _drop_invalid(work: _Cleaning, number: int, column: str, step: dict[str, Any]) -> None:
@@ -275,7 +279,7 @@ def _drop_duplicates_step(work: _Cleaning, number: int) -> None:
     counts = before.agg(F.count("*").alias("rows_before")).withColumn("rows_after", after.agg(F.count("*")).scalar())
     work.closed.append(counts.select(
         F.lit(number).alias("step"), F.lit("drop_duplicates").alias("action"), F.lit(None).cast("string").alias("column"),
-        "rows_before", "rows_after", F.lit(0).cast("long").alias("cells_changed"),
+        "rows_before", "rows_after", *(F.lit(0).cast("long").alias(c) for c in ("cells_changed", "cells_lost")),
     ))
     work.frame = after
 
@@ -304,7 +308,7 @@ def _fill(work: _Cleaning, number: int, column: str, step: dict[str, Any]) -> No
         ready = ready.withColumn(column, number_of(work.frame, column))
         filled = forward_fill(ready, column, work.order_by)
         work.frame = filled
-        work.open.append((number, "fill_missing", column, F.lit(True), F.lit(True), F.col(f"_gap_{number}")))
+        work.open.append((number, "fill_missing", column, F.lit(True), F.lit(True), F.col(f"_gap_{number}"), F.lit(False)))
         return
     if strategy == "zero":
         fill: float | None = 0.0
@@ -335,5 +339,5 @@ def receipt_totals(receipt: DataFrame) -> DataFrame:
     return receipt.agg(
         F.count("*").alias("n_steps"),
         F.coalesce(F.sum(F.col("rows_before") - F.col("rows_after")), F.lit(0)).alias("rows_removed"),
-        F.coalesce(F.sum("cells_changed"), F.lit(0)).alias("cells_changed"),
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("cells_changed", "cells_lost")),
     )

@@ -19,7 +19,7 @@ MIN_PCT = 2.0
 MIN_SHIFT = 3.0
 ROWS_DIFFER = 0.02
 
-CHANGE_SCHEMA = "kind string, column string, direction string, before double, after double, pct_change double, score double"
+CHANGE_SCHEMA = "kind string, column string, direction string, before double, after double, pct_change double, score double, names string"
 CHANGE_COLUMNS = [item.split()[0] for item in CHANGE_SCHEMA.split(", ")]
 
 
@@ -61,19 +61,19 @@ def matched_names(known_a: TableProfile, known_b: TableProfile) -> dict[str, str
 
 
 def shape_changes(known_a: TableProfile, known_b: TableProfile, spark) -> DataFrame:
-    """Row count and columns gained or lost."""
+    """Row count, and which columns were gained or lost."""
     shared = matched_names(known_a, known_b)
-    n_removed = len(known_a.columns) - len(shared)
-    n_added = len(known_b.columns) - len(set(shared.values()))
+    removed = sorted(c["column"] for c in known_a.columns if c["column"] not in shared)
+    added = sorted(c["column"] for c in known_b.columns if c["column"] not in set(shared.values()))
     rows = []
     before, after = known_a.n_rows, known_b.n_rows
     if before != after:
         pct = 100.0 * (after - before) / before if before else None
-        rows.append(("row_count", None, "up" if after > before else "down", float(before), float(after), pct, 95.0))
-    if n_added:
-        rows.append(("columns_added", None, "added", None, float(n_added), None, 70.0))
-    if n_removed:
-        rows.append(("columns_removed", None, "removed", float(n_removed), None, None, 75.0))
+        rows.append(("row_count", None, "up" if after > before else "down", float(before), float(after), pct, 95.0, None))
+    if added:
+        rows.append(("columns_added", None, "added", None, float(len(added)), None, 70.0, ", ".join(added)))
+    if removed:
+        rows.append(("columns_removed", None, "removed", float(len(removed)), None, None, 75.0, ", ".join(removed)))
     return spark.createDataFrame(rows, CHANGE_SCHEMA)
 
 
@@ -111,15 +111,16 @@ def measure_changes(a: DataFrame, b: DataFrame, measures: dict[str, str], rows_a
         "spread_pct": pct_change(F.col("std_a"), F.col("std_b")),
     })
     direction = F.when(F.col("after") > F.col("before"), "up").otherwise("down")
+    nobody = F.lit(None).cast("string").alias("names")
     moved = both.where(F.abs("pct") >= MIN_PCT).select(
         F.lit("measure").alias("kind"), "column", direction.alias("direction"), "before", "after",
-        F.col("pct").alias("pct_change"), (40.0 + F.least(F.abs("pct"), F.lit(200.0)) / 4.0).alias("score"),
+        F.col("pct").alias("pct_change"), (40.0 + F.least(F.abs("pct"), F.lit(200.0)) / 4.0).alias("score"), nobody,
     )
     centre_still = (F.abs("pct") < 10.0) & ((F.abs("pct") >= MIN_PCT) if strict else F.lit(True))
     spread = both.where(centre_still & (F.abs("spread_pct") >= 25.0)).select(
         F.lit("spread").alias("kind"), "column", F.when(F.col("spread_pct") > 0, "up").otherwise("down").alias("direction"),
         F.col("std_a").alias("before"), F.col("std_b").alias("after"), F.col("spread_pct").alias("pct_change"),
-        (35.0 + F.least(F.abs("spread_pct"), F.lit(100.0)) / 10.0).alias("score"),
+        (35.0 + F.least(F.abs("spread_pct"), F.lit(100.0)) / 10.0).alias("score"), nobody,
     )
     return moved.unionByName(spread)
 
@@ -140,7 +141,7 @@ def _shares(counts: DataFrame, side: str) -> DataFrame:
 
 
 def category_changes(a: DataFrame, b: DataFrame, categories: dict[str, str]) -> DataFrame:
-    """Values that appeared or vanished, and the largest shift in share of 3 points or more."""
+    """Which values appeared or vanished, and the value with the largest shift in share, of 3 points or more."""
     spark = a.sparkSession
     if not categories:
         return spark.createDataFrame([], CHANGE_SCHEMA)
@@ -149,6 +150,8 @@ def category_changes(a: DataFrame, b: DataFrame, categories: dict[str, str]) ->
     summary = category_shares(a, b, categories).groupBy("column").agg(
         F.count_if(F.col("share_a").isNull()).alias("n_appeared"),
         F.count_if(F.col("share_b").isNull()).alias("n_vanished"),
+        *(F.array_join(F.array_sort(F.collect_list(F.when(F.col(f"share_{side}").isNull(), F.col("value")))), ", ").alias(name)  # of a category: few values
+          for side, name in (("a", "appeared"), ("b", "vanished"))),
         F.count("share_a").alias("n_a"),
         F.count("share_b").alias("n_b"),
         F.max(shift).alias("shift"),
@@ -156,14 +159,14 @@ def category_changes(a: DataFrame, b: DataFrame, categories: dict[str, str]) ->
     none = F.lit(None).cast("double")
     appeared = summary.where("n_appeared > 0").select(
         F.lit("category_added").alias("kind"), "column", F.lit("added").alias("direction"), none.alias("before"),
-        F.col("n_appeared").cast("double").alias("after"), none.alias("pct_change"), F.lit(55.0).alias("score"))
+        F.col("n_appeared").cast("double").alias("after"), none.alias("pct_change"), F.lit(55.0).alias("score"), F.col("appeared").alias("names"))
     vanished = summary.where("n_vanished > 0").select(
         F.lit("category_removed").alias("kind"), "column", F.lit("removed").alias("direction"),
-        F.col("n_vanished").cast("double").alias("before"), none.alias("after"), none.alias("pct_change"), F.lit(58.0).alias("score"))
+        F.col("n_vanished").cast("double").alias("before"), none.alias("after"), none.alias("pct_change"), F.lit(58.0).alias("score"), F.col("vanished").alias("names"))
     shifted = summary.where("shift is not null").select(
         F.lit("category_shift").alias("kind"), "column", F.when(F.col("shift.delta") > 0, "up").otherwise("down").alias("direction"),
         F.col("shift.share_a").alias("before"), F.col("shift.share_b").alias("after"), F.col("shift.delta").alias("pct_change"),
-        (45.0 + F.least("shift.size", F.lit(50.0)) / 2.0).alias("score"))
+        (45.0 + F.least("shift.size", F.lit(50.0)) / 2.0).alias("score"), F.col("shift.value").alias("names"))
     return reduce(DataFrame.unionByName, [appeared, vanished, shifted])
 
 
@@ -174,7 +177,7 @@ def quality_change(report_a: DataFrame, report_b: DataFrame) -> DataFrame:
     return both.where(F.abs(delta) >= 3).select(
         F.lit("quality").alias("kind"), F.lit(None).cast("string").alias("column"),
         F.when(delta > 0, "up").otherwise("down").alias("direction"), "before", "after", delta.alias("pct_change"),
-        F.when(delta < 0, 85.0).otherwise(60.0).alias("score"),
+        F.when(delta < 0, 85.0).otherwise(60.0).alias("score"), F.lit(None).cast("string").alias("names"),
     )
 
 
@@ -203,10 +206,25 @@ def rank_changes(changes: DataFrame, limit: int = MAX_CHANGES) -> DataFrame:
 
 
 def comparable(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Whether two tables share any column, with the counts that say why."""
-    names_a, names_b = {c.lower() for c in a.columns}, {c.lower() for c in b.columns}
-    shared = len(names_a & names_b)
-    return a.sparkSession.createDataFrame(
-        [(shared > 0, shared, len(names_a - names_b), len(names_b - names_a))],
-        "comparable boolean, n_shared int, n_only_first int, n_only_second int",
-    )
+    """Whether two tables share any column, and for each shared one how far its values meet.
+
+    One row per column that either has, by lower-case name: whether both have it, the values
+    that are there on each side, the different ones, and those found on both. Values are
+    matched as text; each table is read once.
+    """
+    names_a, names_b = ({c.lower(): c for c in x.columns} for x in (a, b))
+    shared = sorted(set(names_a) & set(names_b))
+    every = [(name, name in names_a, name in names_b) for name in sorted(set(names_a) | set(names_b))]
+    columns = a.sparkSession.createDataFrame(every, "column string, in_first boolean, in_second boolean")
+    if shared:
+        counts = [value_counts(x.select(*(F.col(f"`{names[c]}`").cast("string").alias(f"s{i}") for i, c in enumerate(shared))), [f"s{i}" for i in range(len(shared))])
+                  .toDF("place", "value", f"n_{side}") for x, names, side in ((a, names_a, "a"), (b, names_b, "b"))]
+        met = counts[0].join(counts[1], ["place", "value"], "full_outer").groupBy("place").agg(
+            *(F.coalesce(F.sum(f"n_{s}"), F.lit(0)).alias(f"n_{w}") for s, w in (("a", "first"), ("b", "second"))),
+            *(F.count(f"n_{s}").alias(f"distinct_{w}") for s, w in (("a", "first"), ("b", "second"))),
+            F.count(F.col("n_a") + F.col("n_b")).alias("distinct_common"))
+        places = a.sparkSession.createDataFrame([(f"s{i}", c) for i, c in enumerate(shared)], "place string, column string")
+        columns = columns.join(F.broadcast(met.join(F.broadcast(places), "place").drop("place")), "column", "left")  # a row per column
+    else:
+        columns = columns.withColumns({c: F.lit(None).cast("long") for c in ("n_first", "n_second", "distinct_first", "distinct_second", "distinct_common")})
+    return columns.withColumn("comparable", F.lit(bool(shared)))

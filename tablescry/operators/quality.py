@@ -465,7 +465,7 @@ def health(df: DataFrame, known: TableProfile | None = None) -> tuple[DataFrame,
 
 
 def data_issue_findings(df: DataFrame, known: TableProfile | None = None, n_duplicates: int | None = None) -> DataFrame:
-    """Gappy columns (20 % missing or more) and repeated rows, as findings.
+    """Gappy columns (20 % missing or more; ``columns`` names each with its share) and repeated rows, as findings.
 
     An audit has counted the repeated rows already and may pass them on.
     """
@@ -473,14 +473,15 @@ def data_issue_findings(df: DataFrame, known: TableProfile | None = None, n_dupl
     rows = []
     gappy = [c for c in known.columns if c["null_pct"] >= MANY_NULLS_PCT]
     if gappy:
-        worst = max(gappy, key=lambda c: c["null_pct"])
-        rows.append(("blanks", worst["column"], float(worst["null_pct"]), len(gappy), 12.0))
+        gappy = sorted(gappy, key=lambda c: (-c["null_pct"], c["column"]))
+        named = ", ".join(f"{c['column']} {c['null_pct']:.2f}" for c in gappy)
+        rows.append(("blanks", gappy[0]["column"], float(gappy[0]["null_pct"]), len(gappy), 12.0, named))
     n = n_duplicates
     if n is None:
         n = duplicate_rows(df).first()["n_duplicates"] if known.n_rows else 0
     if n:
-        rows.append(("duplicates", None, float(n), known.n_rows, 10.0))
-    return df.sparkSession.createDataFrame(rows, "issue string, subject string, value double, n long, score double")
+        rows.append(("duplicates", None, float(n), known.n_rows, 10.0, None))
+    return df.sparkSession.createDataFrame(rows, "issue string, subject string, value double, n long, score double, columns string")
 
 
 def empty_report(spark: SparkSession) -> DataFrame:

@@ -220,11 +220,18 @@ WITH s AS (SELECT count(*) AS n, stddev_samp(p_size) / avg(p_size) > stddev_samp
   avg(p_partkey) AS a0, min(p_partkey)::DOUBLE AS l0, max(p_partkey)::DOUBLE AS h0,
   avg(p_size) AS a1, min(p_size)::DOUBLE AS l1, max(p_size)::DOUBLE AS h1,
   avg(p_retailprice) AS a2, min(p_retailprice) AS l2, max(p_retailprice) AS h2 FROM part)
-SELECT 1::BIGINT AS position, 'Rows' AS label, NULL::VARCHAR AS "column", n::DOUBLE AS value, NULL::DOUBLE AS lowest, NULL::DOUBLE AS highest, 'shape' AS kind FROM s
-UNION ALL SELECT 2, 'Columns', NULL, 6.0, NULL, NULL, 'shape' FROM s
-UNION ALL SELECT 3, 'Average', 'p_partkey', round(a0, 2), l0, h0, 'measure' FROM s
+SELECT 1::BIGINT AS position, 'Rows' AS label, NULL::VARCHAR AS "column", n::DOUBLE AS value, NULL::DOUBLE AS lowest, NULL::DOUBLE AS highest, 'shape' AS kind,
+  NULL::VARCHAR AS most_common, NULL::BIGINT AS most_common_rows FROM s
+UNION ALL SELECT 2, 'Columns', NULL, 6.0, NULL, NULL, 'shape', NULL, NULL FROM s
+UNION ALL SELECT 3, 'Average', 'p_partkey', round(a0, 2), l0, h0, 'measure', NULL, NULL FROM s
 UNION ALL SELECT 4, 'Average', CASE WHEN size_first THEN 'p_size' ELSE 'p_retailprice' END, round(CASE WHEN size_first THEN a1 ELSE a2 END, 2),
-  CASE WHEN size_first THEN l1 ELSE l2 END, CASE WHEN size_first THEN h1 ELSE h2 END, 'measure' FROM s"""
+  CASE WHEN size_first THEN l1 ELSE l2 END, CASE WHEN size_first THEN h1 ELSE h2 END, 'measure', NULL, NULL FROM s"""
+ORACLES["kpis_of_categories"] = """
+SELECT 1::BIGINT AS position, 'Rows' AS label, NULL::VARCHAR AS "column", count(*)::DOUBLE AS value, NULL::DOUBLE AS lowest, NULL::DOUBLE AS highest, 'shape' AS kind,
+  NULL::VARCHAR AS most_common, NULL::BIGINT AS most_common_rows FROM part
+UNION ALL SELECT 2, 'Columns', NULL, 2.0, NULL, NULL, 'shape', NULL, NULL
+UNION ALL SELECT 3, 'Distinct', 'p_brand', (SELECT count(DISTINCT p_brand) FROM part)::DOUBLE, NULL, NULL, 'category', v, n FROM (
+  SELECT p_brand AS v, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, v LIMIT 1)"""
 
 
 def segment_sql(table: str, column: str, target: str) -> str:
@@ -464,10 +471,12 @@ def worst_sql(c: str) -> str:
 ORACLES["worst_outliers"] = f"""WITH {MESSY_SQL} SELECT measure, position, customer_ref, round(value, 4) AS value, round(ratio, 4) AS ratio, direction
 FROM ({worst_sql('balance')} UNION ALL {worst_sql('age')}) WHERE position <= 12"""
 ORACLES["data_issue_findings"] = f"""WITH {MESSY_SQL}
-SELECT 'blanks' AS issue, 'notes' AS subject, 100.0::DOUBLE AS value, (notes >= 20)::BIGINT + (segment >= 20)::BIGINT + (gappy >= 20)::BIGINT AS n, 12.0::DOUBLE AS score FROM (
+SELECT 'blanks' AS issue, 'notes' AS subject, 100.0::DOUBLE AS value, (notes >= 20)::BIGINT + (segment >= 20)::BIGINT + (gappy >= 20)::BIGINT AS n, 12.0::DOUBLE AS score,
+  list_aggregate(list_transform(list_reverse_sort(list_filter([{{'p': notes, 'c': 'notes'}}, {{'p': segment, 'c': 'segment'}}, {{'p': gappy, 'c': 'gappy'}}], lambda x: x.p >= 20)),
+    lambda x: x.c || ' ' || printf('%.2f', x.p)), 'string_agg', ', ') AS columns FROM (
   SELECT round(100.0::DOUBLE * count(*) FILTER (notes IS NULL) / count(*), 2) AS notes, round(100.0::DOUBLE * count(*) FILTER (segment IS NULL) / count(*), 2) AS segment,
     round(100.0::DOUBLE * count(*) FILTER (gappy IS NULL) / count(*), 2) AS gappy FROM messy)
-UNION ALL SELECT 'duplicates', NULL, ((SELECT count(*) FROM messy) - count(*))::DOUBLE, (SELECT count(*) FROM messy), 10.0 FROM (SELECT DISTINCT * FROM messy)"""
+UNION ALL SELECT 'duplicates', NULL, ((SELECT count(*) FROM messy) - count(*))::DOUBLE, (SELECT count(*) FROM messy), 10.0, NULL FROM (SELECT DISTINCT * FROM messy)"""
 
 # ------------------------------------------------------------------ cleaning --
 ORACLES["clean_trim_whitespace"] = f"WITH {MESSY_SQL} SELECT {strip('city')} AS city, count(*) AS n FROM messy GROUP BY 1"
@@ -498,21 +507,25 @@ SELECT row_number() OVER (ORDER BY {PLACE}, split_part(id, ':', 2)) - 1 AS step,
 RECEIPT = f"""
 t AS (SELECT count(*) AS n, count(*) FILTER (city != {strip('city')}) AS trimmed,
     count(*) FILTER ({strip('city')} IN ({", ".join(f"'{k}'" for k in CITY_SPELLINGS)})) AS merged,
-    count(TRY_CAST(replace(substr(spend, 4), ',', '') AS DOUBLE)) AS parsed, count(*) FILTER (NOT (age < 0 OR age > 130)) AS valid FROM messy),
+    count(TRY_CAST(replace(substr(spend, 4), ',', '') AS DOUBLE)) AS parsed, count(*) FILTER (NOT (age < 0 OR age > 130)) AS valid, count(spend) AS n_spend FROM messy),
 d AS (SELECT DISTINCT {MERGED} AS city, * EXCLUDE (city, notes) FROM messy WHERE NOT (age < 0 OR age > 130)),
 u AS (SELECT count(*) AS n, count(*) FILTER (gappy IS NULL) AS gaps, count(*) FILTER ({LABELLED} = 'Unknown') AS labelled FROM d),
 receipt AS (
-  SELECT 0::BIGINT AS step, 'trim_whitespace' AS action, 'city' AS "column", n AS rows_before, n AS rows_after, trimmed AS cells_changed FROM t
-  UNION ALL SELECT 1, 'merge_categories', 'city', n, n, merged FROM t
-  UNION ALL SELECT 2, 'to_numeric', 'spend', n, n, parsed FROM t
-  UNION ALL SELECT 3, 'drop_column', 'notes', n, n, n FROM t
-  UNION ALL SELECT 4, 'drop_invalid', 'age', n, valid, 0 FROM t
-  UNION ALL SELECT 5, 'drop_duplicates', NULL, t.valid, u.n, 0 FROM t, u
-  UNION ALL SELECT 6, 'fill_missing', 'gappy', n, n, gaps FROM u
-  UNION ALL SELECT 7, 'fill_missing', 'segment', n, n, labelled FROM u)"""
+  SELECT 0::BIGINT AS step, 'trim_whitespace' AS action, 'city' AS "column", n AS rows_before, n AS rows_after, trimmed AS cells_changed, 0::BIGINT AS cells_lost FROM t
+  UNION ALL SELECT 1, 'merge_categories', 'city', n, n, merged, 0 FROM t
+  UNION ALL SELECT 2, 'to_numeric', 'spend', n, n, parsed, n_spend - parsed FROM t
+  UNION ALL SELECT 3, 'drop_column', 'notes', n, n, n, 0 FROM t
+  UNION ALL SELECT 4, 'drop_invalid', 'age', n, valid, 0, 0 FROM t
+  UNION ALL SELECT 5, 'drop_duplicates', NULL, t.valid, u.n, 0, 0 FROM t, u
+  UNION ALL SELECT 6, 'fill_missing', 'gappy', n, n, gaps, 0 FROM u
+  UNION ALL SELECT 7, 'fill_missing', 'segment', n, n, labelled, 0 FROM u)"""
 ORACLES["clean_receipt"] = f"WITH {MESSY_SQL}, {RECEIPT} SELECT * FROM receipt"
 ORACLES["clean_totals"] = f"""WITH {MESSY_SQL}, {RECEIPT}
-SELECT count(*) AS n_steps, sum(rows_before - rows_after)::BIGINT AS rows_removed, sum(cells_changed)::BIGINT AS cells_changed FROM receipt"""
+SELECT count(*) AS n_steps, sum(rows_before - rows_after)::BIGINT AS rows_removed, sum(cells_changed)::BIGINT AS cells_changed, sum(cells_lost)::BIGINT AS cells_lost FROM receipt"""
+ORACLES["clean_receipt_with_losses"] = f"""WITH {MESSY_SQL}, t AS (SELECT count(*) AS n, count(*) FILTER (city != {strip('city')}) AS trimmed,
+  count(TRY_CAST(label AS DOUBLE)) AS parsed, count(label) - count(TRY_CAST(label AS DOUBLE)) AS lost FROM messy)
+SELECT 0::BIGINT AS step, 'trim_whitespace' AS action, 'city' AS "column", n AS rows_before, n AS rows_after, trimmed AS cells_changed, 0::BIGINT AS cells_lost FROM t
+UNION ALL SELECT 1, 'to_numeric', 'label', n, n, parsed, lost FROM t"""
 
 # ------------------------------------------------------- anomalies, findings --
 ORACLES["anomalies"] = f"""WITH {MESSY_SQL}, b AS ({fence_sql('balance')}), a AS ({fence_sql('age')}),
@@ -629,7 +642,7 @@ SELECT kind, subject, round(value, 4) AS value, round(score, 4) AS score FROM (
   UNION ALL SELECT 'shape', count(*) || ' rows, {len(STORY_ALL)} columns', count(*)::DOUBLE, 30.0 FROM story) ORDER BY score DESC LIMIT 5"""
 ORACLES["quality_change"] = f"""WITH {MESSY_SQL}, i AS ({ALL_ISSUES}), s AS (SELECT round(greatest(0, 100 - sum(penalty)), 1)::DOUBLE AS after FROM i),
 odd AS (SELECT quantile_cont(c_acctbal, 0.25) AS q1, quantile_cont(c_acctbal, 0.75) AS q3, min(c_acctbal) AS lo, max(c_acctbal) AS hi, count(DISTINCT c_custkey) = count(*) AS keyed FROM customer)
-SELECT 'quality' AS kind, NULL::VARCHAR AS "column", 'down' AS direction, 100.0::DOUBLE AS before, after, round(after - 100, 1) AS pct_change, 85.0::DOUBLE AS score
+SELECT 'quality' AS kind, NULL::VARCHAR AS "column", 'down' AS direction, 100.0::DOUBLE AS before, after, round(after - 100, 1) AS pct_change, 85.0::DOUBLE AS score, NULL::VARCHAR AS names
 FROM s, odd WHERE keyed AND lo >= q1 - 3 * (q3 - q1) AND hi <= q3 + 3 * (q3 - q1)"""
 ORACLES["analysis_report_story"] = f"""WITH {STORY_SQL}, i AS ({story_issues()}), found AS ({story_findings()})
 SELECT 'issue' AS section, kind, split_part(id, ':', 2) AS subject, pct_affected AS value, penalty AS score FROM i
@@ -674,10 +687,10 @@ SELECT a."column" AS column_a, CASE WHEN b."column" = 'o_orderkey' THEN 'O_ORDER
   coalesce(a.semantic_type != b.semantic_type, false) AS type_conflict
 FROM a FULL OUTER JOIN b ON a."column" = b."column" """
 SHAPE_CHANGES = """SELECT 'row_count' AS kind, NULL::VARCHAR AS "column", CASE WHEN nb > na THEN 'up' ELSE 'down' END AS direction, na::DOUBLE AS before,
-  nb::DOUBLE AS after, 100.0::DOUBLE * (nb - na) / na AS pct_change, 95.0::DOUBLE AS score
+  nb::DOUBLE AS after, 100.0::DOUBLE * (nb - na) / na AS pct_change, 95.0::DOUBLE AS score, NULL::VARCHAR AS names
   FROM (SELECT (SELECT count(*) FROM before_half) AS na, (SELECT count(*) FROM after_half) AS nb) WHERE na != nb
-  UNION ALL SELECT 'columns_added', NULL, 'added', NULL, 1.0, NULL, 70.0"""
-CHANGE = 'kind, "column", direction, round(before, 4) AS before, round(after, 4) AS after, round(pct_change, 4) AS pct_change, round(score, 4) AS score'
+  UNION ALL SELECT 'columns_added', NULL, 'added', NULL, 1.0, NULL, 70.0, 'rebate'"""
+CHANGE = 'kind, "column", direction, round(before, 4) AS before, round(after, 4) AS after, round(pct_change, 4) AS pct_change, round(score, 4) AS score, names'
 ORACLES["shape_changes"] = f"WITH {HALVES} SELECT {CHANGE} FROM ({SHAPE_CHANGES})"
 MEASURE_STATS = """SELECT *, CASE WHEN differ THEN mean_a ELSE sum_a END AS b, CASE WHEN differ THEN mean_b ELSE sum_b END AS a FROM (
   SELECT x."column", sum_a, mean_a, std_a, sum_b, mean_b, std_b,
@@ -687,8 +700,8 @@ MEASURE_STATS = """SELECT *, CASE WHEN differ THEN mean_a ELSE sum_a END AS b, C
   (SELECT 'o_totalprice' AS "column", sum(o_totalprice) AS sum_b, avg(o_totalprice) AS mean_b, stddev_samp(o_totalprice) AS std_b FROM after_half
    UNION ALL SELECT 'o_orderkey', sum(o_orderkey)::DOUBLE, avg(o_orderkey), stddev_samp(o_orderkey) FROM after_half) y ON x."column" = y."column")"""
 MEASURE_CHANGES = f"""SELECT 'measure' AS kind, "column", CASE WHEN a > b THEN 'up' ELSE 'down' END AS direction, b AS before, a AS after, pct AS pct_change,
-    40 + least(abs(pct), 200) / 4.0::DOUBLE AS score FROM (SELECT *, (a - b) / abs(b) * 100 AS pct FROM ({MEASURE_STATS})) WHERE abs(pct) >= 2
-  UNION ALL SELECT 'spread', "column", CASE WHEN s > 0 THEN 'up' ELSE 'down' END, std_a, std_b, s, 35 + least(abs(s), 100) / 10.0::DOUBLE
+    40 + least(abs(pct), 200) / 4.0::DOUBLE AS score, NULL::VARCHAR AS names FROM (SELECT *, (a - b) / abs(b) * 100 AS pct FROM ({MEASURE_STATS})) WHERE abs(pct) >= 2
+  UNION ALL SELECT 'spread', "column", CASE WHEN s > 0 THEN 'up' ELSE 'down' END, std_a, std_b, s, 35 + least(abs(s), 100) / 10.0::DOUBLE, NULL
   FROM (SELECT *, (a - b) / abs(b) * 100 AS pct, (std_b - std_a) / std_a * 100 AS s FROM ({MEASURE_STATS})) WHERE abs(pct) < 10 AND abs(s) >= 25"""
 ORACLES["measure_changes"] = f"WITH {HALVES} SELECT {CHANGE} FROM ({MEASURE_CHANGES})"
 
@@ -701,15 +714,20 @@ def shares_sql(column: str) -> str:
 
 SHARES = " UNION ALL ".join(shares_sql(c) for c in ("o_orderstatus", "o_orderpriority"))
 ORACLES["category_shares"] = f'WITH {HALVES} SELECT "column", value, round(share_a, 4) AS share_a, round(share_b, 4) AS share_b FROM ({SHARES})'
-CATEGORY_CHANGES = f"""SELECT 'category_added' AS kind, "column", 'added' AS direction, NULL::DOUBLE AS before, count(*)::DOUBLE AS after, NULL::DOUBLE AS pct_change, 55.0::DOUBLE AS score
+CATEGORY_CHANGES = f"""SELECT 'category_added' AS kind, "column", 'added' AS direction, NULL::DOUBLE AS before, count(*)::DOUBLE AS after, NULL::DOUBLE AS pct_change, 55.0::DOUBLE AS score, string_agg(value, ', ' ORDER BY value) AS names
     FROM ({SHARES}) WHERE share_a IS NULL GROUP BY 2
-  UNION ALL SELECT 'category_removed', "column", 'removed', count(*)::DOUBLE, NULL, NULL, 58.0 FROM ({SHARES}) WHERE share_b IS NULL GROUP BY 2
-  UNION ALL SELECT 'category_shift', "column", CASE WHEN share_b > share_a THEN 'up' ELSE 'down' END, share_a, share_b, share_b - share_a, 45 + least(abs(share_b - share_a), 50) / 2
+  UNION ALL SELECT 'category_removed', "column", 'removed', count(*)::DOUBLE, NULL, NULL, 58.0, string_agg(value, ', ' ORDER BY value) FROM ({SHARES}) WHERE share_b IS NULL GROUP BY 2
+  UNION ALL SELECT 'category_shift', "column", CASE WHEN share_b > share_a THEN 'up' ELSE 'down' END, share_a, share_b, share_b - share_a, 45 + least(abs(share_b - share_a), 50) / 2, value
     FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY abs(share_b - share_a) DESC, value DESC) AS i FROM ({SHARES}) WHERE abs(share_b - share_a) >= 3) WHERE i = 1"""
 ORACLES["category_changes"] = f"WITH {HALVES} SELECT {CHANGE} FROM ({CATEGORY_CHANGES})"
 ORACLES["compare"] = f"""WITH {HALVES} SELECT {CHANGE} FROM (SELECT * FROM ({SHAPE_CHANGES}) UNION ALL SELECT * FROM ({MEASURE_CHANGES}) UNION ALL SELECT * FROM ({CATEGORY_CHANGES}))
 ORDER BY score DESC LIMIT 12"""
-ORACLES["comparable"] = "SELECT true AS comparable, 5::BIGINT AS n_shared, 0::BIGINT AS n_only_first, 1::BIGINT AS n_only_second"
+ORACLES["comparable"] = f"WITH {HALVES} " + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", true AS in_first, true AS in_second, (SELECT count({c}) FROM before_half) AS n_first, (SELECT count({c}) FROM after_half) AS n_second,
+  (SELECT count(DISTINCT {c}) FROM before_half) AS distinct_first, (SELECT count(DISTINCT {c}) FROM after_half) AS distinct_second,
+  (SELECT count(*) FROM (SELECT {c} FROM before_half INTERSECT SELECT {c} FROM after_half)) AS distinct_common, true AS comparable"""
+    for c in ("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderdate", "o_orderpriority")
+) + " UNION ALL SELECT 'rebate', false, true, NULL, NULL, NULL, NULL, NULL, true"
 ORACLES["simulate_direct"] = """
 SELECT 'ok' AS status, 'direct' AS basis, 'l_extendedprice' AS target, 'l_extendedprice' AS driver, 200.0::DOUBLE AS pct_change, round(sum(l_extendedprice), 2) AS base_total,
   round(avg(l_extendedprice), 2) AS base_average, round(sum(l_extendedprice) * 3, 2) AS projected_total, round(avg(l_extendedprice) * 3, 2) AS projected_average,

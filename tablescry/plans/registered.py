@@ -350,6 +350,11 @@ def kpis(spark, folder):
     return tidy(ag.kpis(load(spark, folder, "part")), 2)
 
 
+@query
+def kpis_of_categories(spark, folder):
+    return tidy(ag.kpis(load(spark, folder, "part").select("p_brand", "p_type")), 2)
+
+
 @query
 def segments(spark, folder):
     return tidy(ag.segments(load(spark, folder, "orders"), ["o_orderstatus", "o_orderpriority"], "o_totalprice", min_gap_pct=0.0))
@@ -709,6 +714,13 @@ def clean_receipt(spark, folder):
     return tidy(cl.clean(messy_customers(spark, folder), RECEIPT_STEPS)[1])
 
 
+@query
+def clean_receipt_with_losses(spark, folder):
+    """Three in four labels are no numbers, and neither are the words for missing."""
+    steps = [{"action": "to_numeric", "column": "label"}, {"action": "trim_whitespace", "column": "city"}]
+    return tidy(cl.clean(messy_customers(spark, folder), steps)[1])
+
+
 @query
 def clean_totals(spark, folder):
     return tidy(cl.receipt_totals(cl.clean(messy_customers(spark, folder), RECEIPT_STEPS)[1]))
