@@ -230,8 +230,8 @@ ORACLES["kpis_of_categories"] = """
 SELECT 1::BIGINT AS position, 'Rows' AS label, NULL::VARCHAR AS "column", count(*)::DOUBLE AS value, NULL::DOUBLE AS lowest, NULL::DOUBLE AS highest, 'shape' AS kind,
   NULL::VARCHAR AS most_common, NULL::BIGINT AS most_common_rows FROM part
 UNION ALL SELECT 2, 'Columns', NULL, 2.0, NULL, NULL, 'shape', NULL, NULL
-UNION ALL SELECT 3, 'Distinct', 'p_brand', (SELECT count(DISTINCT p_brand) FROM part)::DOUBLE, NULL, NULL, 'category', v, n FROM (
-  SELECT p_brand AS v, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, v LIMIT 1)"""
+UNION ALL SELECT 3, 'Distinct', 'p_type', (SELECT count(DISTINCT p_type) FROM part)::DOUBLE, NULL, NULL, 'category', v, n FROM (
+  SELECT p_type AS v, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, v LIMIT 1)"""
 
 
 def segment_sql(table: str, column: str, target: str) -> str:
