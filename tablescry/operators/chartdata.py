@@ -114,12 +114,12 @@ def chart_candidates(
     if latitude and longitude and primary:
         rows.append(("map", "map", f"{latitude[0]},{longitude[0]}", primary, None, 8.5))
     if len(measures) >= 2:
-        usable = [m for m in measures if known.facts.columns[m]["n_numbers"] >= 10][:12]
+        usable = [m for m in measures if known.facts.columns[m]["n_numbers"] >= 10]
         pair = best_pair(df, usable).first() if len(usable) >= 2 else None
         if pair and abs(pair["r"]) >= SCATTER_MIN_R:
             rows.append(("relationship", "scatter", pair["a"], pair["b"], None, 6.0 + 4.0 * abs(pair["r"])))
     if len(measures) >= GRID_MIN_COLUMNS:
-        rows.append(("correlations", "heatmap", ",".join(measures[:12]), None, None, 5.5 + min(len(measures) / 20.0, 0.5)))
+        rows.append(("correlations", "heatmap", ",".join(measures), None, None, 5.5 + min(len(measures) / 20.0, 0.5)))
     if primary:
         rows.append(("distribution", "histogram", primary, None, None, 4.0 + min(variation(known.facts.columns[primary]), 2.0)))
     if category:

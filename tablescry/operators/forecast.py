@@ -81,12 +81,13 @@ def _forest(rows: DataFrame) -> RandomForestRegressionModel:
     return forest.fit(rows)
 
 
-def forecast(df: DataFrame, time: str, target: str, horizon: int = 7) -> dict[str, Any]:
+def forecast(df: DataFrame, time: str, target: str, horizon: int = 7, project: bool = True) -> dict[str, Any]:
     """Fit, score against the baseline, and project ``horizon`` days forward.
 
     Returns ``status`` and DataFrames ``metrics`` (one row), ``predictions``
     (test days), ``future`` and ``importances``; only ``status`` and ``metrics``
-    for a series with fewer than 30 modelling days.
+    for a series with fewer than 30 modelling days. Without ``project`` no second
+    forest is fitted on all days and there is no ``future``.
     """
     if horizon < 1:
         raise NotCalculable(f"the horizon must be at least one day, not {horizon}")
@@ -118,8 +119,10 @@ def forecast(df: DataFrame, time: str, target: str, horizon: int = 7) -> dict[st
     weights = spark.createDataFrame(
         [(name, float(w)) for name, w in zip(FEATURES, model.featureImportances.toArray())], "feature string, importance double"
     )
-    future = recursive_projection(_forest(rows.repartition(_model_partitions(spark, n_rows))), series, horizon)
-    return {"status": "ok", "metrics": metrics, "predictions": predictions.drop("lag_1"), "future": future, "importances": weights}
+    found = {"status": "ok", "metrics": metrics, "predictions": predictions.drop("lag_1"), "importances": weights}
+    if project:
+        found["future"] = recursive_projection(_forest(rows.repartition(_model_partitions(spark, n_rows))), series, horizon)
+    return found
 
 
 _METRICS = (

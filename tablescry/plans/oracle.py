@@ -25,6 +25,8 @@ def number(c: str) -> str:
 
 
 # ------------------------------------------------------------ sources, sinks --
+ORACLES["csv_with_line_breaks"] = """SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name || chr(10) || 'said "no", twice' || chr(10) || c_mktsegment
+  WHEN 1 THEN chr(10) || ',' || c_name ELSE c_mktsegment || ' ' END AS note, round(c_acctbal, 4) AS c_acctbal FROM customer"""
 ORACLES["csv_round_trip"] = "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, round(c_acctbal, 4) AS c_acctbal, c_mktsegment FROM customer"
 ORACLES["infer_column_types"] = """
 SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 4) AS o_totalprice, o_orderdate, o_orderpriority FROM orders"""

@@ -76,6 +76,16 @@ def csv_round_trip(spark, folder):
     return tidy(sc.read_csv_table(spark, path))
 
 
+@query
+def csv_with_line_breaks(spark, folder):
+    """Cells of several lines and with quotes, written as CSV and read back by many tasks."""
+    path = scratch_folder(spark) + "/notes"
+    key = F.col("c_custkey")
+    note = F.when(key % 3 == 0, F.concat_ws("\n", "c_name", F.lit('said "no", twice'), "c_mktsegment")).when(key % 3 == 1, F.concat(F.lit("\n,"), F.col("c_name"))).otherwise(F.concat(F.col("c_mktsegment"), F.lit(" ")))
+    st.write_csv(load(spark, folder, "customer").select("c_custkey", note.alias("note"), "c_acctbal"), path)
+    return tidy(sc.read_csv_table(spark, path))
+
+
 @query
 def dotted_names_profile(spark, folder):
     """A file whose header repeats a name and holds dots, read back and profiled."""
@@ -521,7 +531,7 @@ def naive_baseline(spark, folder):
 
 @query
 def forecast_metrics(spark, folder):
-    return tidy(fc.forecast(load(spark, folder, "orders"), "o_orderdate", "o_totalprice", 7)["metrics"])
+    return tidy(fc.forecast(load(spark, folder, "orders"), "o_orderdate", "o_totalprice", 7, project=False)["metrics"])
 
 
 @query

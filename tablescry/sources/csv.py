@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,20 +51,61 @@ def _utf8(cell: Column) -> Column:
 
 def _has_broken_lines(spark: SparkSession, path: str) -> bool:
     """Whether a line holds an odd number of quotes, so a cell goes on in the next line."""
-    line = F.col("value")
-    return not spark.read.text(path).where((F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1).isEmpty()
+    return not spark.read.text(path).where(_quotes(F.col("value")) % 2 == 1).isEmpty()
 
 
-def read_text_table(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+def _quotes(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+
+
+def _split_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Cells of files whose quoted cells hold line breaks, with the file and an id in file order, read by many tasks.
+
+    The files are cut into blocks of lines as usual. Each block's number of quotes says whether
+    a cell is open behind it, and a prefix sum over a file's blocks whether one is open before
+    it, so every line knows whether a record begins with it. Records of one line are parsed as
+    they are; the lines of others are put together, from two blocks where they span them.
+    """
+    scanned = spark.read.text(path, lineSep="\n").select(
+        F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("line"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    along = Window.partitionBy("file", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    counted = scanned.withColumn("q", _quotes(F.col("line"))).withColumn("through", F.sum("q").over(along))
+    blocks = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    odd = scanned.groupBy("file", "block").agg(F.sum(_quotes(F.col("line"))).alias("q"))
+    odd = odd.select("file", "block", (F.coalesce(F.sum("q").over(blocks), F.lit(0)) % 2).alias("open"))
+    placed = counted.join(odd, ["file", "block"])
+    begins = (F.col("through") - F.col("q") + F.col("open")) % 2 == 0
+    ends = (F.col("through") + F.col("open")) % 2 == 0
+    started = placed.select("file", "block", "n", "line", begins.alias("begins"), ends.alias("ends"))
+    started = started.withColumn("record", F.last(F.when(F.col("begins"), F.col("n")), ignorenulls=True).over(along))
+    carried = started.groupBy("file", "block").agg(F.max(F.when(F.col("begins"), F.col("n"))).alias("last"))
+    carried = carried.select("file", "block", F.last("last", ignorenulls=True).over(blocks).alias("before"))
+    alone = started.where("begins and ends").select("file", "n", F.rtrim(F.col("line"), F.lit("\r")).alias("record"))
+    parts = started.where("not (begins and ends)").join(carried, ["file", "block"]).withColumn("record", F.coalesce("record", "before"))
+    whole = parts.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("lines"))  # of one record
+    joined = whole.select("file", F.col("record").alias("n"), F.rtrim(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\r")).alias("record"))
+    headers = scanned.where("block = 0").groupBy("file").agg(F.min("n").alias("n"))
+    records = alone.unionByName(joined).where(F.trim("record") != "").join(headers, ["file", "n"], "left_anti")
+    cells = F.from_csv("record", _ddl(schema), {"escape": '"', "encoding": "ISO-8859-1"})
+    return records.select("file", "n", cells.alias("cells")).select("cells.*", F.col("file").alias("_file"), F.col("n").alias("_n"))
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{n.replace('`', '``')}` string" for n in schema.fieldNames())
+
+
+def read_text_table(spark: SparkSession, path: str, multi_line: bool | None = None, ordered: bool = False) -> DataFrame:
     """All cells as text, header repaired, each file UTF-8 or else Latin-1.
 
     Files are read as Latin-1, which keeps every byte; a file whose cells are
-    all valid UTF-8 is then decoded as that. ``multi_line`` makes each file one
-    task; left open, it is chosen where a cell holds a line break.
+    all valid UTF-8 is then decoded as that. Where a cell holds a line break, files
+    are cut at true record ends and still read by many tasks; ``multi_line`` makes each
+    file one task instead (True) or takes every line for a record (False). ``ordered``
+    keeps the rows in file order on the way.
     """
-    if multi_line is None:
-        multi_line = _has_broken_lines(spark, path)
-    head = spark.read.csv(path, header=False, multiLine=multi_line, escape='"', encoding="ISO-8859-1").limit(1).first()
+    split = multi_line is None and _has_broken_lines(spark, path)
+    head = spark.read.csv(path, header=False, multiLine=split or bool(multi_line), escape='"', encoding="ISO-8859-1").limit(1).first()
     if head is None:
         raise EmptyTable(f"{path} holds nothing")
     try:
@@ -72,14 +113,21 @@ def read_text_table(spark: SparkSession, path: str, multi_line: bool | None = No
     except UnicodeDecodeError:
         names = list(head)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in repaired_header(names)])
-    table = _read(spark, path, schema, multi_line, "ISO-8859-1")
+    inner = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(schema))])
+    if split:
+        table = _split_records(spark, path, inner)
+        table = table.orderBy("_file", "_n") if ordered else table
+    else:
+        table = _read(spark, path, inner, bool(multi_line), "ISO-8859-1").withColumn("_file", F.col("_metadata.file_path"))
     sound = F.lit(True)
-    for name in schema.fieldNames():
-        sound = sound & F.coalesce(F.is_valid_utf8(_utf8(F.col(f"`{name}`"))), F.lit(True))
-    file = F.col("_metadata.file_path")
-    latin = [r[0] for r in table.where(~sound).select(file).distinct().collect()]  # the names of files that are not UTF-8
-    decoded = {n: _utf8(F.col(f"`{n}`")) for n in schema.fieldNames()}
-    return table.select(*[(F.when(file.isin(latin), F.col(f"`{n}`")).otherwise(c) if latin else c).alias(n) for n, c in decoded.items()])
+    for name in inner.fieldNames():
+        sound = sound & F.coalesce(F.is_valid_utf8(_utf8(F.col(name))), F.lit(True))
+    latin = table.where(~sound).select("_file").distinct()  # files that are not UTF-8
+    if latin.isEmpty():
+        return table.select(*(_utf8(F.col(n)) for n in inner.fieldNames())).toDF(*schema.fieldNames())
+    marked = table.join(latin.withColumn("_latin", F.lit(True)), "_file", "left")
+    marked = marked.orderBy("_file", "_n") if split and ordered else marked
+    return marked.select(*(F.when(F.col("_latin"), F.col(n)).otherwise(_utf8(F.col(n))) for n in inner.fieldNames())).toDF(*schema.fieldNames())
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -134,7 +182,7 @@ def with_row_id(df: DataFrame, name: str = "_row_id") -> DataFrame:
 
 def read_csv_table(spark: SparkSession, path: str, multi_line: bool | None = None, row_id: bool = False) -> DataFrame:
     """A delimited file as a typed table, refused when empty."""
-    table = read_text_table(spark, path, multi_line)
+    table = read_text_table(spark, path, multi_line, ordered=row_id)
     if row_id:
         table = with_row_id(table)
     return infer_types(require_rows(table))

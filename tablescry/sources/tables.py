@@ -29,7 +29,7 @@ def preview(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, escape='"')
+    df.write.mode("overwrite").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def as_records(df: DataFrame) -> DataFrame:

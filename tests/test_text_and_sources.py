@@ -110,3 +110,28 @@ def test_preview(spark):
 def test_parquet_nan_is_missing(spark, tmp_path):
     spark.createDataFrame([(float("nan"),), (2.0,)], "v double").write.parquet(str(tmp_path / "p"))
     assert sc.read_parquet_table(spark, str(tmp_path / "p")).agg(F.count("v").alias("n")).first()["n"] == 1
+
+
+def test_quoted_line_breaks_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    import csv
+    import random
+
+    rng, expected = random.Random(2), []
+    cells = ["plain", "a\nb", 'q"uo\nte"d', "x,\n\ny,z", "é" * 5, "line\r\nend", "", "\n" * 60 + "t"]
+    for number, (code, end) in enumerate((("utf-8", "\n"), ("latin-1", "\r\n"))):
+        rows = [(str(number * 1000 + i), rng.choice(cells), rng.choice(["k", 'a "b"', ""])) for i in range(200)]
+        expected += rows
+        with open(tmp_path / f"p{number}.csv", "w", newline="", encoding=code) as out:
+            writer = csv.writer(out, lineterminator=end)
+            writer.writerows([["id", "te.xt", "k"], *rows])
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k, v in zip(kept, ("2k", "1"), strict=True):
+            spark.conf.set(k, v)
+        table = sc.read_text_table(spark, str(tmp_path), ordered=True)
+        assert [tuple(c or "" for c in r) for r in table.collect()] == expected
+        blocks = spark.read.text(str(tmp_path), lineSep="\n").select("_metadata.file_path", "_metadata.file_block_start").distinct().count()
+        assert blocks > 4
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
