@@ -19,7 +19,10 @@ Scoring carries the state through each complete document. The tasks know the cou
 
 Defined cases: null or empty text is the end token alone; a null doc_id trains as empty
 text's id would; without training documents N and V are 0 and every token has the chance
-of an unseen one; repeated rows count each; an empty table gives an empty result.
+of an unseen one; repeated rows count each; very long texts are read like any other, a
+window at a time, and take the memory of their symbols; other columns, whatever their
+names, are not looked at; an empty table gives an empty result. Weights depend in the last
+digits on how files are split into tasks and batches, and so do scores.
 """
 
 from __future__ import annotations
@@ -43,7 +46,7 @@ from tablescry.plans.derived import load
 from tablescry.session import cut_lineage
 
 NET_WORDS, CLASS_WORDS, KNOWN_WORDS = 4096, 64, 1 << 16
-WIDTH, LANES, STEPS = 16, 384, 16
+WIDTH, LANES, STEPS, MOST_STEPS = 16, 384, 16, 256
 RATE, SEED = 0.08, 7
 ROUND_SHARES = (1, 1, 2, 4, 8)  # sixteenths of the training documents
 END = b"\x00"  # no word holds it alone: it is written as its own token below
@@ -255,7 +258,10 @@ class Adagrad:
 
 
 class Lanes:
-    """Documents' symbols dealt to lanes of about equal length, one behind the other."""
+    """Documents' symbols dealt to lanes of about equal length, one lane behind the other in flat arrays.
+
+    Memory is that of the symbols, however much longer than the others one document is.
+    """
 
     def __init__(self, documents: list[np.ndarray], most: int = LANES):
         self.count = min(most, len(documents))
@@ -265,27 +271,33 @@ class Lanes:
             load, lane = loads[0]
             dealt[lane].append(d)
             heapreplace(loads, (load + len(documents[d]), lane))
-        self.steps = max(load for load, _ in loads)
-        self.targets = np.zeros((self.count, self.steps), np.int32)
-        self.document = np.full((self.count, self.steps), -1, np.int32)
-        self.fresh = np.zeros((self.count, self.steps), bool)
         dealt.sort(key=lambda own: -sum(len(documents[d]) for d in own))  # lanes end from the last to the first
         self.loads = np.array([sum(len(documents[d]) for d in own) for own in dealt])
-        for lane, own in enumerate(dealt):
-            at = 0
-            for d in own:
-                end = at + len(documents[d])
-                self.targets[lane, at:end], self.document[lane, at:end], self.fresh[lane, at] = documents[d], d, True
-                at = end
+        self.begins = np.cumsum(self.loads) - self.loads
+        order = [d for own in dealt for d in own]
+        sizes = np.array([len(documents[d]) for d in order])
+        self.targets = np.concatenate([documents[d] for d in order]).astype(np.int32)
+        self.document = np.repeat(np.array(order, np.int32), sizes)
+        self.fresh = np.zeros(len(self.targets), bool)
+        self.fresh[np.cumsum(sizes) - sizes] = True
         self.inputs = np.zeros_like(self.targets)  # the end token, symbol 0, stands before a document
-        self.inputs[:, 1:] = self.targets[:, :-1]
+        self.inputs[1:] = self.targets[:-1]
         self.inputs[self.fresh] = 0
 
     def windows(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(inputs, targets, documents, fresh) with steps first, of the lanes that have not ended."""
-        for s in range(0, self.steps, STEPS):
-            live = int((self.loads > s).sum())
-            yield tuple(np.ascontiguousarray(a[:live, s : s + STEPS].T) for a in (self.inputs, self.targets, self.document, self.fresh))
+        """(inputs, targets, documents, fresh) with steps first, of the lanes that have not ended.
+
+        A window has STEPS steps, and up to MOST_STEPS where few lanes are left; behind a
+        lane's end the document is -1.
+        """
+        s = 0
+        while live := int((self.loads > s).sum()):
+            steps = int(min(max(STEPS, STEPS * self.count // live), MOST_STEPS, self.loads[0] - s))
+            at = np.arange(s, s + steps)[:, None]
+            ended = at >= self.loads[None, :live]
+            at = np.where(ended, 0, at + self.begins[None, :live])
+            yield self.inputs[at], np.where(ended, 0, self.targets[at]), np.where(ended, -1, self.document[at]), self.fresh[at] & ~ended
+            s += steps
 
 
 def _documents(batch: pa.RecordBatch, vocabulary: Vocabulary) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
@@ -307,7 +319,7 @@ def _trainer(vocabulary, flat) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             h = np.zeros((lanes.count, WIDTH), np.float32)
             for inputs, targets, document, fresh in lanes.windows():
                 h = network.learn(inputs, targets, (document >= 0).astype(np.float32), fresh, h[: inputs.shape[1]], speed)
-            tokens += int((lanes.document >= 0).sum())
+            tokens += len(lanes.targets)
         if network is not None:
             yield _weights_row(network.flat.astype(float) * tokens, tokens)
 

@@ -91,6 +91,18 @@ def test_lm_chances_sum_to_one_and_carry_the_state(spark):
     assert np.allclose(np.concatenate(parts), whole["h"], atol=1e-6)
 
 
+def test_lm_lanes_take_the_memory_of_their_symbols():
+    documents = [np.full(20, i, np.int32) for i in range(400)] + [np.arange(1_000_000, dtype=np.int32)]
+    lanes = lm_scoring.Lanes(documents)
+    assert sum(getattr(lanes, name).nbytes for name in ("targets", "document", "fresh", "inputs")) < 14 * sum(map(len, documents))
+    seen, windows = np.zeros(len(documents), np.int64), 0
+    for inputs, targets, document, fresh in lanes.windows():
+        assert inputs.size <= 2 * lm_scoring.LANES * lm_scoring.STEPS and (targets[document == 400] >= 0).all()
+        seen += np.bincount(document[document >= 0], minlength=len(documents))
+        windows += 1
+    assert seen.tolist() == [len(d) for d in documents] and windows < 1_000_000 // lm_scoring.MOST_STEPS + 40
+
+
 def test_lm_every_token_is_learnt_from(spark, monkeypatch):
     counts = spark.createDataFrame([(lm_scoring.END, 5)] + [(f"w{i}".encode(), 200 - i) for i in range(150)], "word binary, n long")
     vocabulary = lm_scoring.Vocabulary(counts)
