@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import json
 import math
+from collections import Counter
 from collections.abc import Sequence
 from typing import Any
 
+import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablescry.functions.names import NotCalculable, columns_of, resolve_column
 from tablescry.functions.scalars import as_ordinal, is_missing_word, is_numeric_type, is_text_type, present, strip_ws, undecorated_number
@@ -96,36 +99,47 @@ def without_missing_words(df: DataFrame, column: str) -> Column:
     return F.when(~is_missing_word(c), c) if is_text_type(data_type) else c
 
 
-def forward_fill(df: DataFrame, column: str, order_by: str, keys: Sequence[str] = ()) -> DataFrame:
+def forward_fill(df: DataFrame, column: str, order_by: str, keys: Sequence[str] = (), ties: Sequence[str] | None = None) -> DataFrame:
     """Last known value carried down, then the first known one carried up.
 
-    The table is cut into ranges of the order column, about a million rows
-    each. Each range reports its last and first known value (one row per
-    range), those rows are carried across ranges, and every range then fills
-    itself, so no task sees more than one range however long the table is.
+    Rows are in a total order: by the order column, nulls first, and rows of one order
+    value by the MD5 of their ``ties`` columns (all that read as text, unless named). The
+    table is cut into ranges of that order, about a million rows each: the order column
+    is cut at its quantiles, and a value that holds a range or more, or null, is a range of
+    its own, cut by the MD5. Each range reports its last and first known value (one row
+    per range), those rows are carried across ranges, and every range then fills itself,
+    so no task sees more than one range however long the table is and however many rows
+    share an order value.
     """
     c, o = F.col(f"`{column}`"), F.col(f"`{order_by}`")
     as_number = as_ordinal(o, df.schema[order_by].dataType)
     ends = df.select(as_number.alias("o")).agg(
-        F.count("*").alias("n"), F.min("o").alias("lo"), F.max("o").alias("hi"),
+        F.count("*").alias("n"), F.count_if(F.col("o").isNull()).alias("n_null"), F.min("o").alias("lo"), F.max("o").alias("hi"),
         F.percentile_approx("o", [i / CHUNKS for i in range(1, CHUNKS)], 10 * CHUNKS).alias("splits"),
     ).first()
-    edges = sorted({e for e in ends["splits"] or [] if ends["lo"] < e < ends["hi"]})
-    ordered = df.withColumn("_o", as_number).withColumn("_chunk", F.lit(0.0)).withColumn("_part", F.lit(0))
+    splits, lo, hi = Counter(ends["splits"] or []), ends["lo"], ends["hi"]
+    common = {e for e, n in splits.items() if n > 1}  # a value that fills a range is a range of its own
+    edges = sorted({e for e in splits if lo < e <= hi} | {float(np.nextafter(e, np.inf)) for e in common if e < hi})
+    named = ties if ties is not None else [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))]
+    tie = F.md5(F.concat_ws("|", *(F.coalesce(F.col(f"`{t}`").cast("string"), F.lit("")) for t in named)).cast("binary"))
+    ordered = df.withColumns({"_o": as_number, "_tie": tie})
     if edges:
-        outer = [float("-inf"), *edges, float("inf")]
-        ordered = Bucketizer(splits=outer, inputCol="_o", outputCol="_bucket", handleInvalid="keep").transform(ordered)
-        parts = math.ceil(ends["n"] / (CHUNKS * CHUNK_ROWS))
-        limits = F.array(*[F.lit(e) for e in [ends["lo"], *edges, ends["hi"]]])
-        at = F.col("_bucket").cast("int")
-        low, high = F.get(limits, at), F.get(limits, at + 1)
-        within_bucket = F.floor((F.col("_o") - low) / (high - low) * parts)
-        ordered = ordered.withColumns({
-            "_chunk": F.coalesce(F.col("_bucket"), F.lit(-1.0)),
-            "_part": F.coalesce(F.least(within_bucket, F.lit(parts - 1)).cast("int"), F.lit(0)) if parts > 1 else F.lit(0),
-        }).drop("_bucket")
+        ordered = Bucketizer(splits=[float("-inf"), *edges, float("inf")], inputCol="_o", outputCol="_bucket", handleInvalid="keep").transform(ordered)
+        ordered = ordered.withColumn("_chunk", F.coalesce(F.col("_bucket"), F.lit(-1.0))).drop("_bucket")
+    else:
+        ordered = ordered.withColumn("_chunk", F.when(F.col("_o").isNull(), -1.0).otherwise(0.0))
+    bounds = [lo or 0.0, *edges, hi or 0.0]
+    rows_of = [(splits[v] + 1) * ends["n"] / CHUNKS if v in common or lo == hi else 0 for v in bounds[:-1]]  # of chunks with one value only
+    at, limits = F.col("_chunk").cast("int"), F.array(*[F.lit(float(e)) for e in bounds])
+    low, high, pieces = F.get(limits, at), F.get(limits, at + 1), F.get(F.array(*[F.lit(math.ceil(n / CHUNK_ROWS)) for n in rows_of]), at)
+    parts = math.ceil(ends["n"] / (CHUNKS * CHUNK_ROWS))
+    linear = F.coalesce(F.least(F.floor((F.col("_o") - low) / F.nullif(high - low, F.lit(0.0)) * parts), F.lit(parts - 1)), F.lit(0))
+    by_tie = F.conv(F.substring("_tie", 1, 8), 16, 10).cast("double") / float(1 << 32)
+    of_null = F.floor(by_tie * math.ceil(ends["n_null"] / CHUNK_ROWS))
+    part = F.when(F.col("_o").isNull(), of_null).when(pieces > 0, F.floor(by_tie * pieces)).otherwise(linear)
+    ordered = ordered.withColumn("_part", part.cast("int"))
     place = ["_chunk", "_part"]
-    known = F.when(c.isNotNull(), F.struct(o.alias("o"), c.alias("v")))
+    known = F.when(c.isNotNull(), F.struct(o.alias("o"), F.col("_tie").alias("tie"), c.alias("v")))
     reported = ordered.groupBy(*columns_of(keys), *place).agg(F.max(known)["v"].alias("_last"), F.min(known)["v"].alias("_first"))
     along = Window.partitionBy(*(columns_of(keys) or [F.lit(1)])).orderBy(*place)  # a row per range
     back = Window.partitionBy(*(columns_of(keys) or [F.lit(1)])).orderBy(*[F.desc(p) for p in place])
@@ -134,7 +148,7 @@ def forward_fill(df: DataFrame, column: str, order_by: str, keys: Sequence[str]
         F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_above"),
         F.last("_first", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("_below"),
     )
-    within = Window.partitionBy(*columns_of(keys), *place).orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*columns_of(keys), *place).orderBy(o, "_tie").rowsBetween(Window.unboundedPreceding, 0)
     # Only rows before the first known value of all are left to fill from below.
     filled = F.coalesce(F.last(c, ignorenulls=True).over(within), "_above", "_own", "_below")
     # Null keys are a group too, so they must meet in the join.

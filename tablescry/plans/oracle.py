@@ -501,6 +501,10 @@ ORACLES["clean_fill_forward"] = f"""WITH {SPARSE_SQL} SELECT event_id, round(coa
 ORACLES["forward_fill_by_user"] = f"""WITH {SPARSE_SQL} SELECT event_id, user_id, round(coalesce(
   last_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING),
   first_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 4) AS value FROM sparse"""
+ORACLES["forward_fill_of_ties"] = f"""WITH {SPARSE_SQL}, placed AS (SELECT event_id, value, md5(event_id::VARCHAR) AS tie,
+  CASE WHEN event_id % 3 != 0 THEN 7.0::DOUBLE WHEN event_id % 10 != 0 THEN (event_id % 20)::DOUBLE END AS day FROM sparse)
+SELECT event_id, round(coalesce(last_value(value IGNORE NULLS) OVER (ORDER BY day NULLS FIRST, tie ROWS UNBOUNDED PRECEDING),
+  first_value(value IGNORE NULLS) OVER (ORDER BY day NULLS FIRST, tie ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 4) AS value FROM placed"""
 PLACE = "CASE fix_action " + " ".join(f"WHEN '{a}' THEN {i}" for i, a in enumerate((
     "trim_whitespace", "merge_categories", "to_numeric", "drop_column", "drop_invalid", "cap_outliers", "drop_duplicates", "fill_missing"))) + " END"
 ORACLES["clean_plan"] = f"""WITH {MESSY_SQL}, i AS ({ALL_ISSUES})

@@ -700,6 +700,14 @@ def forward_fill_by_user(spark, folder):
     return tidy(cl.forward_fill(sparse_events(spark, folder), "value", "event_id", ["user_id"]).select("event_id", "user_id", "value"))
 
 
+@query
+def forward_fill_of_ties(spark, folder):
+    """Two rows in three have one order value and a few have none: their ids' MD5 settles the order."""
+    e = sparse_events(spark, folder)
+    day = F.when(F.col("event_id") % 3 != 0, 7.0).when(F.col("event_id") % 10 != 0, (F.col("event_id") % 20).cast("double"))
+    return tidy(cl.forward_fill(e.withColumn("day", day), "value", "day", ties=["event_id"]).select("event_id", "value"))
+
+
 @query
 def clean_plan(spark, folder):
     steps = cl.plan_clean(qu.health_issues(messy_customers(spark, folder)))

@@ -107,6 +107,24 @@ def test_forward_fill_against_brute_force(spark, monkeypatch, chunks, rows_each)
     assert sorted(map(tuple, cl.forward_fill(df, "v", "i", ["k"]).collect())) == expected
 
 
+@pytest.mark.parametrize("chunks, rows_each", [(1000, 1_000_000), (4, 7), (20, 3), (2, 1)])
+def test_forward_fill_of_ties_and_null_order_values(spark, monkeypatch, chunks, rows_each):
+    import hashlib
+
+    monkeypatch.setattr(cl, "CHUNKS", chunks)
+    monkeypatch.setattr(cl, "CHUNK_ROWS", rows_each)
+    for days in ([7.0], [None], [None, 1.0, 7.0, 7.0, 7.0, 7.0, 9.0]):
+        data = [(i, days[i * 5 % len(days)], float(i) if i % 9 == 4 else None) for i in range(150)]
+        df = spark.createDataFrame(data, "i long, day double, v double").repartition(4)
+        known, expected = None, []
+        for i, day, v in sorted(data, key=lambda r: (r[1] is not None, r[1] or 0, hashlib.md5(str(r[0]).encode()).hexdigest())):
+            known = v if v is not None else known
+            expected.append((i, known))
+        first = next(v for _, v in expected if v is not None)
+        got = sorted((r["i"], r["v"]) for r in cl.forward_fill(df, "v", "day", ties=["i"]).collect())
+        assert got == sorted((i, first if v is None else v) for i, v in expected)
+
+
 def test_fill_by_time_across_a_clock_change(spark):
     from datetime import datetime, timedelta
 
