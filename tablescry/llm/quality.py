@@ -222,7 +222,7 @@ def score_quality(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD, k
     fields = StructType(source.schema.fields[:-1])
     if only_good:
         return source.mapInArrow(score, fields).toDF(*keep)
-    return source.mapInArrow(score, fields.add("score", "double").add("predicted", "int")).toDF(*keep, "score", "predicted")
+    return source.mapInArrow(score, fields.add("score", "double").add("predicted", "integer")).toDF(*keep, "score", "predicted")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
