@@ -121,6 +121,47 @@ def test_lm_every_token_is_learnt_from(spark, monkeypatch):
     assert learnt == every and tokens == every.total()
 
 
+def test_lm_words_are_cut_like_plain_text(spark, monkeypatch):
+    texts = ["A b  a", None, "", "  ", " x\x0b\x0cB\t\r\nx ", "\x00 \x00\x00 \x1c", "É é ÄB a\u00a0b a\u2028b", "end."] * 3
+    monkeypatch.setattr(lm_scoring, "SLICE", 10)  # several slices, the later ones do not begin with the array
+    counts = spark.createDataFrame([(lm_scoring.END, 5), (b"a", 4), (b"x", 2)], "word binary, n long")
+    vocabulary = lm_scoring.Vocabulary(counts)
+    got = [one.tolist() for _, symbol, _, tokens, offsets in lm_scoring._encoded(pa.array(texts), vocabulary) for one in lm_scoring._by_text(symbol[tokens], offsets)]
+    plain = [[*(t or "").encode().lower().split(), lm_scoring.END] for t in texts]
+    assert got == [vocabulary.symbols(words)[0].tolist() for words in plain]
+    counted = Counter()
+    for out in lm_scoring._count(iter([pa.record_batch({"text": texts})])):
+        counted.update(dict(zip(out["word"].to_pylist(), out["n"].to_pylist(), strict=True)))
+    assert counted == {lm_scoring.END: len(texts)} | Counter(w for words in plain for w in words[:-1])  # U+0000 is a word of its own
+
+
+def test_lm_short_rounds_take_longer_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a b{i % 7} c") for i in range(400)], "doc_id long, text string").repartition(64).localCheckpoint()
+    vocabulary = lm_scoring.Vocabulary(spark.createDataFrame([(lm_scoring.END, 400), (b"a", 400), (b"c", 400)], "word binary, n long"))
+    parts, plain = [], type(docs).mapInArrow
+
+    def noted(frame, function, *others):
+        if function.__name__ == "train":
+            parts.append(frame.rdd.getNumPartitions())
+        return plain(frame, function, *others)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", noted)
+    assert np.isfinite(lm_scoring.train(docs, vocabulary)).all()
+    least = spark.sparkContext.defaultParallelism
+    assert parts == [max(least, n) for n in (8, 8, 16, 32, 64)]
+
+
+def test_lm_softmax_of_large_weights(spark):
+    counts = spark.createDataFrame([(lm_scoring.END, 5)] + [(f"w{i}".encode(), 200 - i) for i in range(150)], "word binary, n long")
+    vocabulary = lm_scoring.Vocabulary(counts)
+    network = lm_scoring.Network(vocabulary)
+    every, state = np.arange(vocabulary.net + lm_scoring.TAIL_CLASSES), np.ones((1, lm_scoring.WIDTH), np.float32)
+    for name in ("wc", "wo"):
+        network.w[name] *= 40
+    logs, _ = network.log_chances(np.repeat(state, len(every), axis=0), every)
+    assert np.isfinite(logs).all() and np.exp(logs.astype(float)).sum() == pytest.approx(1, abs=1e-3)
+
+
 def test_lm_gradient_is_the_slope():
     class Known:
         net, classes, n = 70, 2, np.arange(70, 0, -1.0)
